@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.session import ship_package
+
 # Fields one document may hold before an order is split into several.
 FIELDS_PER_DOCUMENT = 1000
 
@@ -175,3 +177,48 @@ def documents(spark: SparkSession, sf_dir: str, variant: str = "a") -> DataFrame
 def files(docs: DataFrame) -> DataFrame:
     """Documents in the shape of scanned files."""
     return docs.select("path", F.encode("xml", "UTF-8").alias("content"))
+
+
+def with_broken(docs: DataFrame) -> DataFrame:
+    """Every 50th order's documents cut off in the middle."""
+    half = F.expr("substring(xml, 1, CAST(length(xml) / 2 AS INT))")
+    return docs.withColumn("xml", F.when(F.col("o") % 50 == 0, half).otherwise(F.col("xml")))
+
+
+def with_repeated_source(docs: DataFrame) -> DataFrame:
+    """Every 10th order's documents name two data sources alike."""
+    twice = '<datasources><datasource name="twin"/><datasource name="twin"/>'
+    repeated = F.replace("xml", F.lit("\n<datasources>"), F.lit("\n" + twice))
+    return docs.withColumn("xml", F.when(F.col("o") % 10 == 0, repeated).otherwise(F.col("xml")))
+
+
+def noisy(docs: DataFrame) -> DataFrame:
+    """The same documents as another save would write them: comments, window
+    state, a build number, other attribute order."""
+    xml = F.replace("xml", F.lit("\n<datasources>"), F.lit("\n<!-- saved --><windows><window a='1'/></windows><datasources>"))
+    xml = F.regexp_replace(xml, "<workbook", '<workbook source-build="2026.1"')
+    xml = F.regexp_replace(xml, r'<column( name="[^"]*")( datatype="[^"]*")', "<column$2$1")
+    return docs.withColumn("xml", xml)
+
+
+def packaged(docs: DataFrame) -> DataFrame:
+    """Zipped documents; every 40th order holds two members, every 41st none."""
+    def pack(batches):
+        import io
+        import zipfile
+
+        for frame in batches:
+            contents = []
+            for o, xml in zip(frame["o"], frame["xml"]):
+                buffer = io.BytesIO()
+                with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+                    archive.writestr("data/extract.txt", "x")
+                    if o % 41 != 0:
+                        archive.writestr("book.twb", xml)
+                        if o % 40 == 0:
+                            archive.writestr("copy.TWB", xml)
+                contents.append(buffer.getvalue())
+            yield frame.assign(content=contents, path=frame["path"] + "x")[["path", "content"]]
+
+    ship_package(docs.sparkSession)
+    return docs.select("o", "path", "xml").mapInPandas(pack, "path string, content binary")
