@@ -8,17 +8,24 @@ shared folder, as a scan would do, and then queried from there.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import sample_estate
+from quire.functions.text import normalize_formula
 from quire.operators import tables
 from quire.operators.keyed_diff import keyed_diff
+from quire.operators.transforms import Clause, Filter, any_column_contains
 from quire.operators.upsert import EstateStore
-from quire.plans import diff, inventory, scan
+from quire.plans import diff, inventory, normalize, scan
 from quire.plans.audit import GovernanceConfig, default_registry, reports
+from quire.plans.pipeline import Pipeline
 from quire.session import configure, fresh_path
+from quire.sinks.findings import findings_json, findings_sarif
+from quire.sinks.tabular import export_result
+from quire.sources.tabular import CsvSource
 from quire.sources.workbooks import parse_workbooks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -248,3 +255,233 @@ def diff_duplicate_names(spark, sf_dir):
     a = parse_workbooks(sample_estate.files(docs))
     b = parse_workbooks(sample_estate.files(later))
     return diff.diff_workbooks(a, b).groupBy("kind", "category").agg(F.count("*").alias("n"))
+
+
+# ---- canonical forms --------------------------------------------------------------
+@query
+def norm_duplicates(spark, sf_dir):
+    docs = sample_estate.documents(spark, sf_dir)
+    both = sample_estate.files(docs).unionByName(sample_estate.files(sample_estate.noisy(docs)))
+    groups = normalize.duplicate_groups(normalize.canonical_forms(both))
+    return groups.groupBy("copies").agg(F.count("*").alias("groups"))
+
+
+@query
+def diff_lines(spark, sf_dir):
+    forms = [
+        normalize.canonical_forms(sample_estate.files(sample_estate.documents(spark, sf_dir, v)))
+        for v in ("a", "b")
+    ]
+    lines = F.slice(F.split("diff", "\n"), 3, F.length("diff"))
+    marks = F.transform(F.filter(lines, lambda x: x != ""), lambda x: x.substr(1, 1))
+    return normalize.diff_lines(*forms).select(
+        "a_path",
+        F.size(F.filter(marks, lambda m: m != "+")).alias("old_lines"),
+        F.size(F.filter(marks, lambda m: m != "-")).alias("new_lines"),
+    )
+
+
+@query
+def conformance(spark, sf_dir):
+    docs = sample_estate.with_broken(sample_estate.documents(spark, sf_dir))
+    xsd = sample_estate.schema_file(spark)
+    return normalize.conformance_summary(normalize.conformance(sample_estate.files(docs), xsd))
+
+
+@query
+def dup_text_documents(spark, sf_dir):
+    digest = F.sha2(normalize_formula(F.col("text")), 256)
+    return (
+        table(spark, sf_dir, "documents")
+        .groupBy(digest.alias("text_sha"))
+        .agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc_id"))
+        .filter("copies > 1")
+        .select("first_doc_id", "copies")
+    )
+
+
+# ---- export -----------------------------------------------------------------------
+@query
+def export_json(spark, sf_dir):
+    documents = findings_json(default_registry().run(estate(spark, sf_dir)))
+    parsed = F.from_json("json", "tool string, findings array<struct<rule_id:string,severity:string>>")
+    return documents.withColumn("j", parsed).select(
+        "workbook_path",
+        F.size("j.findings").alias("findings"),
+        F.size(F.filter("j.findings", lambda f: f["severity"] == "error")).alias("errors"),
+    )
+
+
+@query
+def export_sarif(spark, sf_dir):
+    registry = default_registry()
+    documents = findings_sarif(registry.run(estate(spark, sf_dir)), registry.rules)
+    results = F.from_json(F.get_json_object("sarif", "$.runs[0].results"), "array<struct<ruleId:string,level:string>>")
+    rules = F.from_json(F.get_json_object("sarif", "$.runs[0].tool.driver.rules"), "array<struct<id:string>>")
+    return documents.withColumn("r", results).select(
+        "workbook_path",
+        F.size("r").alias("results"),
+        F.size(F.filter("r", lambda f: f["level"] == "warning")).alias("warnings"),
+        F.size(rules).alias("rules"),
+    )
+
+
+# ---- pipelines ----------------------------------------------------------------------
+def _pipeline(spark: SparkSession, spec: str, **paths: str) -> DataFrame:
+    """Run a spec that writes to ``{out}`` and read what it wrote."""
+    out = fresh_path(spark, "pipeline")
+    Pipeline.from_yaml(spec.format(out=out, **paths)).run(spark)
+    return spark.read.parquet(out)
+
+
+@query
+def pipe_cast_filter(spark, sf_dir):
+    return _pipeline(spark, """
+        name: cast and filter
+        source: {{type: parquet, path: "{sf}/orders.parquet"}}
+        transforms:
+          - type: filter
+            where:
+              - {{col: o_orderdate, op: "<", value: 1997-01-01}}
+              - {{col: O_ORDERSTATUS, op: "!=", value: P}}
+              - {{col: o_custkey, op: ">=", value: "10.5"}}
+          - type: cast
+            columns: {{o_totalprice: int64, o_custkey: string, missing: int8}}
+          - type: filter
+            where:
+              - {{col: o_totalprice, op: ">", value: "100,000"}}
+              - {{col: o_custkey, op: "<=", value: 900}}
+        sink: {{type: parquet, path: "{out}"}}
+        """, sf=sf_dir)
+
+
+@query
+def pipe_rename_select_drop(spark, sf_dir):
+    return _pipeline(spark, """
+        name: columns
+        source: {{type: parquet, path: "{sf}/lineitem.parquet"}}
+        transforms:
+          - {{type: rename, columns: {{l_orderkey: order_id, L_QUANTITY: qty, nothing: x}}}}
+          - {{type: select, columns: [qty, order_id, l_shipdate, l_tax, L_DISCOUNT]}}
+          - {{type: drop, columns: [L_TAX, nothing]}}
+        sink: {{type: parquet, path: "{out}"}}
+        """, sf=sf_dir)
+
+
+@query
+def pipe_metrics(spark, sf_dir):
+    out = fresh_path(spark, "pipeline")
+    result = Pipeline.from_yaml(f"""
+        name: metrics
+        source: {{type: parquet, path: "{sf_dir}/lineitem.parquet"}}
+        transforms:
+          - {{type: filter, where: [{{col: l_quantity, op: ">", value: 25}}]}}
+          - {{type: select, columns: [l_orderkey]}}
+        sink: {{type: table, path: "{out}"}}
+        """).run(spark)
+    stored = spark.read.parquet(f"{out}/Extract").agg(F.count("*").alias("stored"))
+    return stored.select(
+        F.lit(result.name).alias("name"), F.lit(result.rows_in).alias("rows_in"),
+        F.lit(result.rows_out).alias("rows_out"), "stored", F.lit(",".join(result.columns)).alias("columns"))
+
+
+@query
+def pipe_in_notin_nulls(spark, sf_dir):
+    kind = F.nullif("event_type", F.lit("click"))
+    amount = F.when(F.col("event_id") % 7 != 0, F.col("value"))
+    rows = table(spark, sf_dir, "events").select("event_id", kind.alias("kind"), amount.alias("amount"))
+    tests = {
+        "in": Filter([Clause("kind", "in", ["view", "error"])]),
+        "in_null": Filter([Clause("kind", "in", ["view", None])]),
+        "not_in": Filter([Clause("kind", "not_in", ["view"])]),
+        "not_in_null": Filter([Clause("kind", "not_in", ["view", None])]),
+        "below": Filter([Clause("amount", "<", "5")]),
+        "not_below": Filter([Clause("amount", ">=", "5")]),
+        "unequal": Filter([Clause("kind", "!=", "view")]),
+        "is_null": Filter([Clause("amount", "==", None)]),
+        "above_null": Filter([Clause("amount", ">", None), Clause("kind", "<=", "purchase")]),
+    }
+    parts = [f.apply(rows).select(F.lit(name).alias("test"), "event_id") for name, f in tests.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def pipe_text_ladder(spark, sf_dir):
+    k = F.col("c_custkey")
+    day = F.lpad((1 + k % 28).cast("string"), 2, "0")
+    mixed = (
+        F.when(k % 6 == 0, k.cast("string"))
+        .when(k % 6 == 1, F.concat(F.lit("("), k.cast("string"), F.lit(")")))
+        .when(k % 6 == 2, F.concat(F.lit("w"), k.cast("string")))
+        .when(k % 6 == 3, F.concat(F.lit("2024-01-"), day))
+        .when(k % 6 == 4, F.concat(F.lit("01/"), day, F.lit("/2024")))
+    )
+    rows = table(spark, sf_dir, "customer").select("c_custkey", mixed.alias("mixed"))
+    tests = {
+        "number": Clause("mixed", ">=", "1,00"),
+        "time": Clause("mixed", "<", "2024-01-15"),
+        "text": Clause("mixed", "!=", "w2"),
+        "list": Clause("mixed", "in", ["100", "(7)", "w8", None, "2024-01-05"]),
+        "negative": Clause("mixed", "<", "-5"),
+    }
+    parts = [
+        Filter([clause]).apply(rows).select(F.lit(name).alias("test"), "c_custkey")
+        for name, clause in tests.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def pipe_csv_roundtrip(spark, sf_dir):
+    middle = fresh_path(spark, "pipeline")
+    Pipeline.from_yaml(f"""
+        name: to text
+        source: {{type: parquet, path: "{sf_dir}/supplier.parquet"}}
+        sink: {{type: csv, path: "{middle}", separator: ";"}}
+        """).run(spark)
+    return _pipeline(spark, """
+        name: from text
+        source: {{type: csv, path: "{middle}", separator: ";"}}
+        transforms:
+          - {{type: filter, where: [{{col: s_acctbal, op: ">", value: 0}}]}}
+          - {{type: cast, columns: {{s_suppkey: int64, s_nationkey: int32, s_acctbal: float64}}}}
+        sink: {{type: parquet, path: "{out}"}}
+        """, middle=middle)
+
+
+@query
+def pipe_parquet_roundtrip(spark, sf_dir):
+    return _pipeline(spark, """
+        name: widening
+        source: {{type: parquet, path: "{sf}/part.parquet"}}
+        transforms:
+          - {{type: cast, columns: {{p_size: int8, p_retailprice: int32, p_partkey: uint64}}}}
+        sink: {{type: parquet, path: "{out}"}}
+        """, sf=sf_dir)
+
+
+@query
+def pipe_table_append(spark, sf_dir):
+    out = fresh_path(spark, "pipeline")
+    job = Pipeline.from_yaml(f"""
+        name: twice
+        source: {{type: parquet, path: "{sf_dir}/nation.parquet"}}
+        transforms: []
+        sink: {{type: table, path: "{out}", table: nations, mode: Append}}
+        """)
+    job.run(spark)
+    job.run(spark)
+    return spark.read.parquet(f"{out}/nations")
+
+
+@query
+def result_any_column_filter(spark, sf_dir):
+    return any_column_contains(table(spark, sf_dir, "supplier"), " r#00000000 ")
+
+
+@query
+def result_export_csv(spark, sf_dir):
+    out = fresh_path(spark, "export")
+    rows = inventory.embedded_credentials(estate(spark, sf_dir))
+    export_result(any_column_contains(rows, "asia.INTERNAL"), out)
+    return CsvSource(out).read(spark)

@@ -129,7 +129,9 @@ def artifact_uri(path: Column) -> Column:
     slashed = F.replace(path, F.lit("\\"), F.lit("/"))
     # url_encode is made for forms: undo what it does to path characters.
     encoded = F.url_encode(slashed)
-    for code, char in (("%2F", "/"), ("%3A", ":"), (r"\+", "%20"), ("%7E", "~")):
+    kept = {"%20": r"\+"} | {f"%{ord(ch):02X}": ch for ch in "/:~!$&'(),;=@"}
+    for code, char in [(kept.pop("%20"), "%20"), ("%2B", "+"), *kept.items()]:
+        char = r"\$" if char == "$" else char
         encoded = F.regexp_replace(encoded, code, char)
     return (
         F.when(path.rlike(r"^[A-Za-z]:[\\/]"), F.concat(F.lit("file:///"), encoded))

@@ -323,3 +323,102 @@ SELECT kind, category, count(*) AS n FROM (
   UNION ALL SELECT 'error', 'datasource' FROM wb WHERE o % 10 = 0)
 GROUP BY 1, 2
 """, _CHANGES)
+
+# ---- canonical forms --------------------------------------------------------------
+ORACLES["norm_duplicates"] = _on_estate("""
+SELECT copies, count(*) AS groups FROM (SELECT 2 * count(*) AS copies FROM doc GROUP BY xml) GROUP BY copies
+""", _documents(False))
+
+
+def _line_count(later: bool) -> str:
+    """CTE ``lines_{a|b} (path, n)``: lines of the canonical text of a document."""
+    kept = "s % 5 <> 0" if later else "true"
+    return f"""
+lines_{'b' if later else 'a'} AS (
+  SELECT wb.path,
+    4 + coalesce(1 + n_ds, 0) + 2 + n_sheets
+    + CASE WHEN o % 3 = 0 THEN 1 ELSE 6 + CASE WHEN n_zones = 0 THEN 1 ELSE 2 + n_zones END END AS n
+  FROM wb
+  LEFT JOIN (SELECT path, sum(3 + n_plain + 3 * n_calc) AS n_ds FROM (
+      SELECT path, s, count(*) AS n_plain, count(*) FILTER (p % 4 = 0) AS n_calc
+      FROM doc_rows WHERE {kept} GROUP BY 1, 2) GROUP BY path) d ON d.path = wb.path
+  JOIN (SELECT path, sum(6 + CASE WHEN s % 4 = 0 THEN 1 ELSE 3 END) AS n_sheets,
+      count(*) FILTER (s % 2 = 0) AS n_zones FROM ds GROUP BY path) w ON w.path = wb.path
+)"""
+
+
+ORACLES["diff_lines"] = _on_estate("""
+SELECT a_path, CAST(a.n AS INTEGER) AS old_lines, CAST(b.n AS INTEGER) AS new_lines
+FROM (SELECT DISTINCT a_path FROM changes) JOIN lines_a a ON a.path = a_path JOIN lines_b b ON b.path = a_path
+""", _CHANGES + "," + _line_count(False) + "," + _line_count(True))
+
+ORACLES["conformance"] = _on_estate("""
+SELECT count(*) AS documents, count(*) FILTER (version IS NOT NULL AND o % 50 <> 0) AS valid,
+  count(*) - count(*) FILTER (version IS NOT NULL AND o % 50 <> 0) AS errors
+FROM wb
+""")
+
+ORACLES["dup_text_documents"] = """
+SELECT min(doc_id) AS first_doc_id, count(*) AS copies FROM documents
+GROUP BY sha256(lower(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')))
+HAVING count(*) > 1
+"""
+
+# ---- export -----------------------------------------------------------------------
+ORACLES["export_json"] = _on_estate("""
+SELECT workbook_path, CAST(count(*) AS INTEGER) AS findings,
+  CAST(count(*) FILTER (severity = 'error') AS INTEGER) AS errors FROM findings GROUP BY 1
+""", _FINDINGS)
+ORACLES["export_sarif"] = _on_estate("""
+SELECT workbook_path, CAST(count(*) AS INTEGER) AS results,
+  CAST(count(*) FILTER (severity = 'warn') AS INTEGER) AS warnings, 11 AS rules FROM findings GROUP BY 1
+""", _FINDINGS)
+
+# ---- pipelines --------------------------------------------------------------------
+ORACLES["pipe_cast_filter"] = """
+SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus,
+  CAST(round_even(o_totalprice, 0) AS BIGINT) AS o_totalprice, o_orderdate, o_orderpriority
+FROM orders
+WHERE o_orderdate < TIMESTAMP '1997-01-01' AND o_orderstatus <> 'P' AND o_custkey BETWEEN 11 AND 900
+  AND round_even(o_totalprice, 0) > 100000
+"""
+ORACLES["pipe_rename_select_drop"] = "SELECT l_orderkey AS order_id, l_quantity AS qty, l_shipdate FROM lineitem"
+ORACLES["pipe_metrics"] = """
+SELECT 'metrics' AS name, count(*) AS rows_in, count(*) FILTER (l_quantity > 25) AS rows_out,
+  count(*) FILTER (l_quantity > 25) AS stored, 'l_orderkey' AS columns FROM lineitem
+"""
+ORACLES["pipe_in_notin_nulls"] = """
+WITH r AS (SELECT event_id, nullif(event_type, 'click') AS kind,
+  CASE WHEN event_id % 7 <> 0 THEN value END AS amount FROM events)
+SELECT 'in' AS test, event_id FROM r WHERE kind IN ('view', 'error')
+UNION ALL SELECT 'in_null', event_id FROM r WHERE kind = 'view' OR kind IS NULL
+UNION ALL SELECT 'not_in', event_id FROM r WHERE kind IS DISTINCT FROM 'view'
+UNION ALL SELECT 'not_in_null', event_id FROM r WHERE kind IS NOT NULL AND kind <> 'view'
+UNION ALL SELECT 'below', event_id FROM r WHERE amount IS NULL OR amount < 5
+UNION ALL SELECT 'not_below', event_id FROM r WHERE amount >= 5
+UNION ALL SELECT 'unequal', event_id FROM r WHERE kind IS DISTINCT FROM 'view'
+UNION ALL SELECT 'is_null', event_id FROM r WHERE amount IS NULL
+UNION ALL SELECT 'above_null', event_id FROM r WHERE amount IS NOT NULL AND (kind IS NULL OR kind <= 'purchase')
+"""
+ORACLES["pipe_text_ladder"] = """
+WITH r AS (SELECT c_custkey, c_custkey % 6 AS m, 1 + c_custkey % 28 AS day FROM customer)
+SELECT 'number' AS test, c_custkey FROM r WHERE (m = 0 AND c_custkey >= 100) OR m IN (2, 3)
+UNION ALL SELECT 'time', c_custkey FROM r
+  WHERE (m = 0 AND CAST(c_custkey AS VARCHAR) < '2024-01-15') OR m IN (1, 5) OR (m IN (3, 4) AND day < 15)
+UNION ALL SELECT 'text', c_custkey FROM r WHERE NOT (m = 2 AND c_custkey = 2)
+UNION ALL SELECT 'list', c_custkey FROM r
+  WHERE (m = 0 AND c_custkey = 100) OR (m = 1 AND c_custkey = 7) OR (m = 2 AND c_custkey = 8) OR m = 5
+     OR (m IN (3, 4) AND day = 5)
+UNION ALL SELECT 'negative', c_custkey FROM r WHERE (m = 1 AND c_custkey > 5) OR m = 5
+"""
+ORACLES["pipe_csv_roundtrip"] = "SELECT * FROM supplier WHERE s_acctbal > 0"
+ORACLES["pipe_parquet_roundtrip"] = """
+SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand, p_type, p_size,
+  CAST(round_even(p_retailprice, 0) AS INTEGER) AS p_retailprice FROM part
+"""
+ORACLES["pipe_table_append"] = "SELECT * FROM nation UNION ALL SELECT * FROM nation"
+ORACLES["result_any_column_filter"] = "SELECT * FROM supplier WHERE contains(lower(s_name), 'r#00000000')"
+ORACLES["result_export_csv"] = _on_estate("""
+SELECT DISTINCT path, coalesce(version, '') AS version, name AS datasource, server, dbname
+FROM ds JOIN wb USING (path) WHERE has_r AND server LIKE 'asia.internal%'
+""")

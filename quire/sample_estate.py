@@ -8,6 +8,8 @@ share of rows one order happens to hold.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -222,3 +224,10 @@ def packaged(docs: DataFrame) -> DataFrame:
 
     ship_package(docs.sparkSession)
     return docs.select("o", "path", "xml").mapInPandas(pack, "path string, content binary")
+
+
+def schema_file(spark: SparkSession) -> str:
+    """Name under which executors find the XML schema of the documents."""
+    path = os.path.join(os.path.dirname(os.path.abspath(__file__)), "resources", "sample_estate.xsd")
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)

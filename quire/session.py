@@ -60,3 +60,9 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_dir(spark)}/quire/{label}-{uuid.uuid4().hex}"
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system, whichever kind that is."""
+    handle = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return handle, handle.getFileSystem(spark._jsc.hadoopConfiguration())
