@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators.upsert import EstateStore, newest_per_key
+from quire.operators.upsert import EstateStore
 from quire.session import fresh_path
 from quire.sources.workbooks import (
     find_workbooks, parse_workbooks, readable, unreadable, with_file_facts,
@@ -38,7 +38,8 @@ def scan_files(files: DataFrame, store: EstateStore) -> ScanResult:
 
     The parsed batch is written once and read back for both the counts and the
     upsert, so no file is parsed twice and a lost executor costs only its tasks.
-    A file that fails keeps the rows of its last good scan.
+    A file that fails keeps the rows of its last good scan. Each path may occur
+    once, as in a file listing (else see ``newest_per_key``).
     """
     spark = files.sparkSession
     staged_at = fresh_path(spark, "scan")
@@ -46,8 +47,7 @@ def scan_files(files: DataFrame, store: EstateStore) -> ScanResult:
     staged = spark.read.parquet(staged_at)
     counts = summary(staged).first()
     if counts.indexed:
-        newest = newest_per_key(readable(staged), "path", F.desc("mtime"), F.desc("sha256"))
-        store.upsert(newest)
+        store.upsert(readable(staged))
     return ScanResult(counts.scanned, counts.indexed, counts.skipped, unreadable(staged))
 
 
