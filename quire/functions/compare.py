@@ -117,9 +117,10 @@ def _compare_text(cell: Column, op: str, text: str, number: float | None, time)
 def _compare_real(cell: Column, op: str, number: float) -> Column:
     """NaN lies below every number and equals itself; Spark puts it on top."""
     if math.isnan(number):
+        above = cell.isNotNull() & ~F.isnan(cell)
         return {
             "==": F.isnan(cell), "<=": F.isnan(cell),
-            "!=": ~F.isnan(cell), ">": ~F.isnan(cell),
+            "!=": above, ">": above,
             ">=": cell.isNotNull(), "<": F.lit(False),
         }[op]
     plain = _apply(cell, op, F.lit(number))

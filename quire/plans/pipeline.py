@@ -13,6 +13,7 @@ from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import yaml
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -238,14 +239,24 @@ class Pipeline:
             # Read completely before the files being read are replaced.
             staged = fresh_path(spark, "staged")
             out.write.parquet(staged)
-            counted = after.get["n"]
             self.sink.write(spark.read.parquet(staged))
         else:
             self.sink.write(out)
-            counted = after.get["n"]
+        rows_out = _observed(after)
         if rows_in is None:
-            rows_in = before.get["n"]
-        return PipelineResult(self.name, rows_in, counted, time.monotonic() - start, columns)
+            rows_in = _observed(before)
+        # A plan found to be empty before it ran is replaced as a whole, counts
+        # included: nothing came out, and what went in has to be counted.
+        if rows_in is None:
+            rows_in = self.source.read(spark).count()
+        return PipelineResult(self.name, rows_in, rows_out or 0, time.monotonic() - start, columns)
+
+
+def _observed(observation: Observation) -> int | None:
+    try:
+        return observation.get["n"]
+    except (Py4JError, KeyError):
+        return None
 
 
 def validate(text: str) -> Pipeline:

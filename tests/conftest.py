@@ -16,6 +16,7 @@ def spark():
         SparkSession.builder.master("local[8]").appName("quire-tests")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.maxMetadataStringLength", "4000")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("OFF")

@@ -1,0 +1,269 @@
+import os
+from datetime import datetime
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from quire.operators.transforms import Cast, Clause, Drop, Filter, Rename, Select, any_column_contains
+from quire.plans import pipeline as plans
+from quire.plans.pipeline import Pipeline, validate, validate_file
+from quire.sinks.tabular import CsvSink, ParquetSink, TableSink, export_result
+from quire.sources.tabular import CsvSource, JdbcSource, jdbc_url
+
+ORDERS = "order_id,total,order_date,customer\n1,10.50,2024-01-01,alice\n2,0.00,2024-01-02,bob\n" \
+         "3,99.99,2024-01-03,alice\n4,-5.00,2024-01-04,charlie\n"
+
+
+@pytest.fixture
+def orders(tmp_path):
+    path = tmp_path / "orders.csv"
+    path.write_text(ORDERS)
+    return path
+
+
+def spec(source="{type: csv, path: in.csv}", transforms="[]", sink="{type: csv, path: out.csv}", name="n"):
+    return f"name: {name}\nsource: {source}\ntransforms: {transforms}\nsink: {sink}\n"
+
+
+def test_run_from_file_with_relative_paths(spark, orders):
+    job = orders.parent / "job.yml"
+    job.write_text(spec("{type: csv, path: orders.csv}", """
+  - {type: cast, columns: {total: float64, order_id: int32}}
+  - {type: filter, where: [{col: TOTAL, op: ">", value: 0}]}
+  - {type: rename, columns: {order_id: id}}
+  - {type: select, columns: [customer, id, total]}""", "{type: parquet, path: out}", "job"))
+    result = Pipeline.from_file(str(job)).run(spark)
+    assert (result.name, result.rows_in, result.rows_out) == ("job", 4, 2)
+    assert result.columns == ["id", "total", "customer"] and result.duration_seconds > 0
+    out = spark.read.parquet(str(orders.parent / "out"))
+    assert out.dtypes == [("id", "int"), ("total", "double"), ("customer", "string")]
+    assert sorted(map(tuple, out.collect())) == [(1, 10.5, "alice"), (3, 99.99, "alice")]
+
+
+@pytest.mark.parametrize("clause,rows", [
+    ("{col: total, op: '>=', value: 10}", 2), ("{col: customer, op: in, value: [alice]}", 2),
+    ("{col: customer, op: not_in, value: [alice, bob]}", 1), ("{col: order_date, op: '<=', value: 2024-01-02}", 2),
+    ("{col: customer, op: '==', value: null}", 0), ("{col: customer, op: '==', value: 'null'}", 0),
+    ("{col: total, op: '==', value: 0}", 1),
+])
+def test_filters_on_text(spark, orders, clause, rows):
+    text = spec(f"{{type: csv, path: '{orders}'}}", f"[{{type: filter, where: [{clause}]}}]",
+                f"{{type: csv, path: '{orders.parent}/o'}}")
+    assert Pipeline.from_yaml(text).run(spark).rows_out == rows
+
+
+BAD = {
+    "no name": spec(name=""), "no source": "name: n\nsink: {type: csv, path: x}\n", "no sink": "name: n\nsource: {type: csv, path: x}",
+    "source type": spec("{type: xml, path: x}"), "sink type": spec(sink="{type: xml, path: x}"),
+    "transform type": spec(transforms="[{type: explode}]"), "no path": spec("{type: csv}"),
+    "empty path": spec("{type: csv, path: ''}"), "path list": spec("{type: csv, path: [a]}"),
+    "has_header list": spec("{type: csv, path: a, has_header: [false]}"),
+    "has_header word": spec("{type: csv, path: a, has_header: perhaps}"),
+    "separator map": spec("{type: csv, path: a, separator: {a: b}}"),
+    "jdbc connection": spec("{type: mssql, query: select 1}"), "jdbc query": spec("{type: mssql, connection_string: x}"),
+    "sink mode": spec(sink="{type: table, path: x, mode: upsert}"),
+    "rename value": spec(transforms="[{type: rename, columns: {a: [b]}}]"),
+    "rename list": spec(transforms="[{type: rename, columns: [a]}]"), "rename empty": spec(transforms="[{type: rename, columns: {}}]"),
+    "cast missing": spec(transforms="[{type: cast}]"), "cast dtype": spec(transforms="[{type: cast, columns: {a: decimal}}]"),
+    "select text": spec(transforms="[{type: select, columns: a}]"), "select map": spec(transforms="[{type: select, columns: {a: b}}]"),
+    "select nested": spec(transforms="[{type: select, columns: [[a]]}]"), "drop empty": spec(transforms="[{type: drop, columns: []}]"),
+    "where missing": spec(transforms="[{type: filter}]"), "where map": spec(transforms="[{type: filter, where: {col: a}}]"),
+    "where text": spec(transforms="[{type: filter, where: a}]"), "where scalar entry": spec(transforms="[{type: filter, where: [a]}]"),
+    "where empty": spec(transforms="[{type: filter, where: []}]"),
+    "no col": spec(transforms="[{type: filter, where: [{op: '==', value: 1}]}]"),
+    "no op": spec(transforms="[{type: filter, where: [{col: a, value: 1}]}]"),
+    "bad op": spec(transforms="[{type: filter, where: [{col: a, op: like, value: 1}]}]"),
+    "in text": spec(transforms="[{type: filter, where: [{col: a, op: in, value: alice}]}]"),
+    "in map": spec(transforms="[{type: filter, where: [{col: a, op: in, value: {x: y}}]}]"),
+    "not_in map": spec(transforms="[{type: filter, where: [{col: a, op: not_in, value: {x: y}}]}]"),
+    "in nested": spec(transforms="[{type: filter, where: [{col: a, op: in, value: [[x]]}]}]"),
+    "in null": spec(transforms="[{type: filter, where: [{col: a, op: in}]}]"),
+    "in empty": spec(transforms="[{type: filter, where: [{col: a, op: in, value: []}]}]"),
+    "equals list": spec(transforms="[{type: filter, where: [{col: a, op: '==', value: [x]}]}]"),
+    "unknown key": spec() + "schedule: daily\n", "repeated key": spec() + "name: again\n", "not yaml": "name: [", "not a map": "- a",
+}
+
+
+@pytest.mark.parametrize("why", list(BAD))
+def test_bad_specs_are_refused_before_any_read(why):
+    with pytest.raises(ValueError):
+        validate(BAD[why])
+
+
+def test_good_specs(tmp_path):
+    assert validate(spec("{type: csv, path: a, has_header: 'FALSE'}")).source.has_header is False
+    assert validate(spec(sink="{type: hyper, path: a, mode: Append}")).sink == TableSink("a", "Extract", "Append")
+    assert validate(spec(transforms="")).transforms == []
+    where = validate(spec(transforms="[{type: filter, where: [{col: a, op: '==', value: true}, {col: b, op: '<', value: ~}]}]"))
+    assert where.transforms[0].where == [Clause("a", "==", "true"), Clause("b", "<", None)]
+    path = tmp_path / "p.yml"
+    path.write_text(spec())
+    assert validate_file(str(path)).source.path == str(tmp_path / "in.csv")
+
+
+def test_casts_from_text(spark):
+    rows = spark.createDataFrame([(" 12 ", "1,000.5", "TRUE", "2024-01-02T03:04:05Z", None)], "i string, d string, b string, t string, n string")
+    out = Cast({"I": "int8", "d": "float64", "b": "boolean", "t": "date", "n": "uint64", "missing": "int8"}).apply(rows)
+    assert out.dtypes == [("i", "tinyint"), ("d", "double"), ("b", "boolean"), ("t", "timestamp_ntz"), ("n", "decimal(20,0)")]
+    assert tuple(out.first()) == (12, 1000.5, True, datetime(2024, 1, 2, 3, 4, 5), None)
+
+
+@pytest.mark.parametrize("text,dtype", [
+    ("1.5", "int32"), ("128", "int8"), ("-1", "uint8"), ("256", "uint8"), ("18446744073709551616", "uint64"),
+    ("yes", "bool"), ("1d", "float64"), ("(5)", "float64"), ("", "int64"), ("tomorrow", "datetime"),
+])
+def test_cells_that_do_not_fit_fail_the_run(spark, text, dtype):
+    rows = Cast({"c": dtype}).apply(spark.createDataFrame([(text,)], "c string"))
+    with pytest.raises(Exception, match="cannot cast"):
+        rows.collect()
+
+
+def test_casts_between_types(spark):
+    rows = spark.createDataFrame([(2.5, 3.5, True, 7, datetime(2024, 1, 2, 3, 4, 5), 1.0)],
+                                 "a double, b double, c boolean, d int, e timestamp_ntz, f double")
+    out = Cast({"a": "int32", "b": "int64", "c": "string", "d": "bool", "e": "string", "f": "string"}).apply(rows)
+    assert tuple(out.first()) == (2, 4, "True", True, "01/02/2024 03:04:05", "1")
+    assert Cast({"c": "uint16", "d": "float32"}).apply(rows).select("c", "d").first() == (1, 7.0)
+    assert Cast({"d": "uint64"}).apply(rows).first().d == Decimal(7)
+    with pytest.raises(ValueError):
+        Cast({"e": "int64"}).apply(rows)
+    with pytest.raises(Exception, match="cannot cast"):
+        Cast({"a": "int32"}).apply(rows.withColumn("a", F.lit(3e9))).collect()
+
+
+def test_column_transforms(spark):
+    rows = spark.createDataFrame([(1, 2, 3)], "a int, `b.c` int, D int")
+    assert Select(["D", "b.c", "A"]).apply(rows).columns == ["b.c", "D"]
+    assert Drop(["d", "zz", "b.c"]).apply(rows).columns == ["a"]
+    assert Rename({"A": "x", "x": "y", "none": "z"}).apply(rows).columns == ["y", "b.c", "D"]
+    assert Rename({"a": "A"}).apply(rows).columns == ["A", "b.c", "D"]
+    with pytest.raises(ValueError, match="already"):
+        Rename({"a": "d"}).apply(rows)
+    with pytest.raises(ValueError, match="does not exist"):
+        Filter([Clause("zz", "==", "1")]).apply(rows.limit(0))
+    assert Filter([Clause("B.C", "==", "2")]).apply(rows).count() == 1
+    assert Filter([]).apply(rows).count() == 1
+
+
+def test_csv_round_trip_keeps_every_character(spark, tmp_path):
+    values = [("a,b", 'say "x"'), ("line\nbreak", "  padded "), ("", None), ("é;ü", "'")]
+    rows = spark.createDataFrame(values, "k string, v string")
+    CsvSink(str(tmp_path / "o"), ";").write(rows)
+    back = CsvSource(str(tmp_path / "o"), separator=";").read(spark)
+    assert sorted(map(tuple, back.collect())) == sorted((k, v or "") for k, v in values)
+    assert dict(back.dtypes) == {"k": "string", "v": "string"}
+
+
+def test_csv_without_header(spark, orders):
+    rows = CsvSource(str(orders), has_header=False).read(spark)
+    assert rows.columns == ["Column1", "Column2", "Column3", "Column4"] and rows.count() == 5
+
+
+def test_csv_rows_of_wrong_width_fail(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("a,b\n1,2\n3\n")
+    with pytest.raises(Exception):
+        CsvSource(str(tmp_path / "x.csv")).read(spark).collect()
+
+
+def test_large_csv_is_split_only_where_that_is_exact(spark, tmp_path):
+    plain, quoted = tmp_path / "plain.csv", tmp_path / "quoted.csv"
+    plain.write_text("a,b\n" + '"x ""y""",1\n' * 2000)
+    quoted.write_text("a,b\n" + '"two\nlines",1\n' * 2000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        assert not CsvSource(str(plain))._needs_whole_files(spark)
+        assert CsvSource(str(quoted))._needs_whole_files(spark)
+        for path in (plain, quoted):
+            assert CsvSource(str(path)).read(spark).count() == 2000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_sinks_widen(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [(1, 2, 1.5, Decimal("2.50"), None)], "a tinyint, b int, f float, d decimal(9,2), n boolean")
+    rows = Cast({"b": "uint64"}).apply(rows)
+    ParquetSink(str(tmp_path / "p")).write(rows)
+    assert spark.read.parquet(str(tmp_path / "p")).dtypes == [
+        ("a", "int"), ("b", "string"), ("f", "float"), ("d", "double"), ("n", "boolean")]
+    sink = TableSink(str(tmp_path / "t"), mode="APPEND")
+    for _ in range(2):
+        sink.write(rows)
+    stored = spark.read.parquet(str(tmp_path / "t" / "Extract"))
+    assert stored.count() == 2 and dict(stored.dtypes)["f"] == "double"
+    with pytest.raises(ValueError, match="append"):
+        sink.write(rows.drop("n"))
+    TableSink(str(tmp_path / "t")).write(rows)
+    assert spark.read.parquet(str(tmp_path / "t" / "Extract")).count() == 1
+    with pytest.raises(ValueError):
+        TableSink("x", mode="merge")
+
+
+def test_times_keep_microseconds(spark, tmp_path):
+    rows = spark.createDataFrame([(datetime(2024, 1, 2, 3, 4, 5, 123456),)], "t timestamp_ntz")
+    TableSink(str(tmp_path)).write(rows)
+    assert spark.read.parquet(str(tmp_path / "Extract")).first().t.microsecond == 123456
+
+
+def test_sink_over_its_own_source(spark, tmp_path):
+    path = str(tmp_path / "same")
+    spark.range(10).write.parquet(path)
+    text = spec(f"{{type: parquet, path: '{path}'}}", "[{type: filter, where: [{col: id, op: '<', value: 4}]}]",
+                f"{{type: parquet, path: '{path}'}}")
+    assert Pipeline.from_yaml(text).run(spark).rows_out == 4
+    assert spark.read.parquet(path).count() == 4
+
+
+def test_filters_of_a_parquet_pipeline_reach_the_scan(spark):
+    job = Pipeline.from_yaml(spec(
+        "{type: parquet, path: /root/testdata/sf0.001/orders.parquet}",
+        "[{type: filter, where: [{col: o_custkey, op: '>', value: 5}]}, {type: select, columns: [o_orderkey]}]"))
+    plan = job.plan(job.source.read(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(o_custkey,5)" in plan and "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in plan
+
+
+def test_jdbc_options(monkeypatch):
+    assert jdbc_url("jdbc:x:y") == "jdbc:x:y"
+    assert jdbc_url("Server=tcp:h,1433; Database=d;User Id=u;Pwd=p;Encrypt=yes") == \
+        "jdbc:sqlserver://h:1433;databaseName=d;user=u;password=p;encrypt=true"
+    monkeypatch.setenv("QUIRE_TEST_CONN", "jdbc:x:z")
+    source = JdbcSource("select 1", connection_string_env="QUIRE_TEST_CONN")
+    assert source.options() == {"url": "jdbc:x:z", "query": "select 1"}
+    split = JdbcSource("select 1", "jdbc:x", partition_column="id", lower_bound="0", upper_bound="9", num_partitions="3")
+    assert split.options()["dbtable"] == "(select 1) q" and split.options()["numPartitions"] == "3"
+    with pytest.raises(ValueError):
+        JdbcSource("select 1", "jdbc:x", partition_column="id")
+    monkeypatch.delenv("QUIRE_TEST_CONN")
+    with pytest.raises(ValueError, match="unset"):
+        source.options()
+
+
+def test_types_of_users(spark, tmp_path, monkeypatch):
+    class Numbers:
+        counts_cheaply = False
+
+        def read(self, spark):
+            return spark.range(6)
+
+    class Double:
+        def apply(self, rows):
+            return rows.selectExpr("id * 2 AS id")
+
+    monkeypatch.setitem(plans.SOURCES, "numbers", lambda spec: Numbers())
+    monkeypatch.setitem(plans.TRANSFORMS, "double", lambda spec: Double())
+    text = spec("{type: numbers}", "[{type: double}]", f"{{type: parquet, path: '{tmp_path}/o'}}")
+    assert Pipeline.from_yaml(text).run(spark).rows_in == 6
+    assert spark.read.parquet(f"{tmp_path}/o").selectExpr("sum(id)").first()[0] == 30
+
+
+def test_result_filter_and_export(spark, tmp_path):
+    rows = spark.createDataFrame([("A*b", 1), ("c%d", 25), (None, 3)], "t string, n int")
+    assert any_column_contains(rows, " a* ").count() == 1
+    assert any_column_contains(rows, "%").count() == 1
+    assert any_column_contains(rows, "25").count() == 1
+    assert any_column_contains(rows, "  ").count() == 3
+    export_result(any_column_contains(rows, "5").orderBy("n"), str(tmp_path / "e"))
+    text = "".join(open(tmp_path / "e" / f).read() for f in sorted(os.listdir(tmp_path / "e")) if f.endswith(".csv"))
+    assert text == "t,n\nc%d,25\n"
