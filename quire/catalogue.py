@@ -45,17 +45,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def estate(spark: SparkSession, sf_dir: str, variant: str = "a") -> DataFrame:
-    """Ingested workbook rows of one snapshot."""
-    key = (spark.sparkContext.applicationId, sf_dir, variant)
+def _stored(spark: SparkSession, sf_dir: str, label: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Rows written to the shared folder on first use, read from there ever after."""
+    key = (spark.sparkContext.applicationId, sf_dir, label)
     if key not in _STORES:
-        path = fresh_path(spark, f"estate-{variant}")
-        files = sample_estate.files(sample_estate.documents(spark, sf_dir, variant))
-        parse_workbooks(files).write.parquet(path)
+        path = fresh_path(spark, label)
+        build().write.parquet(path)
         _STORES[key] = path
     return spark.read.parquet(_STORES[key])
 
 
+def documents(spark: SparkSession, sf_dir: str, variant: str = "a") -> DataFrame:
+    """``o, path, xml`` of one snapshot, in place of a tree of files."""
+    return _stored(
+        spark, sf_dir, f"documents-{variant}",
+        lambda: sample_estate.documents(spark, sf_dir, variant))
+
+
+def estate(spark: SparkSession, sf_dir: str, variant: str = "a") -> DataFrame:
+    """Ingested workbook rows of one snapshot."""
+    return _stored(
+        spark, sf_dir, f"estate-{variant}",
+        lambda: parse_workbooks(sample_estate.files(documents(spark, sf_dir, variant))))
+
+
 # ---- inventory ----------------------------------------------------------------
 @query
 def inv_embedded_credentials(spark, sf_dir):
@@ -145,19 +158,19 @@ def table_zones(spark, sf_dir):
 # ---- scan -----------------------------------------------------------------------
 @query
 def scan_summary(spark, sf_dir):
-    docs = sample_estate.with_broken(sample_estate.documents(spark, sf_dir))
+    docs = sample_estate.with_broken(documents(spark, sf_dir))
     return scan.summary(parse_workbooks(sample_estate.files(docs)))
 
 
 @query
 def scan_errors_first(spark, sf_dir):
-    docs = sample_estate.with_broken(sample_estate.documents(spark, sf_dir))
+    docs = sample_estate.with_broken(documents(spark, sf_dir))
     return inventory.first_scan_errors(parse_workbooks(sample_estate.files(docs))).select("path")
 
 
 @query
 def zip_ingest(spark, sf_dir):
-    packed = sample_estate.packaged(sample_estate.documents(spark, sf_dir))
+    packed = sample_estate.packaged(documents(spark, sf_dir))
     outcome = F.when(F.col("error").isNull(), "indexed").otherwise(
         F.regexp_extract("error.message", "(no workbook document|several workbook documents)", 1))
     return parse_workbooks(packed).groupBy(outcome.alias("outcome")).agg(
@@ -250,8 +263,8 @@ def diff_keyed_table(spark, sf_dir):
 
 @query
 def diff_duplicate_names(spark, sf_dir):
-    docs = sample_estate.documents(spark, sf_dir)
-    later = sample_estate.with_repeated_source(sample_estate.documents(spark, sf_dir, "b"))
+    docs = documents(spark, sf_dir)
+    later = sample_estate.with_repeated_source(documents(spark, sf_dir, "b"))
     a = parse_workbooks(sample_estate.files(docs))
     b = parse_workbooks(sample_estate.files(later))
     return diff.diff_workbooks(a, b).groupBy("kind", "category").agg(F.count("*").alias("n"))
@@ -260,7 +273,7 @@ def diff_duplicate_names(spark, sf_dir):
 # ---- canonical forms --------------------------------------------------------------
 @query
 def norm_duplicates(spark, sf_dir):
-    docs = sample_estate.documents(spark, sf_dir)
+    docs = documents(spark, sf_dir)
     both = sample_estate.files(docs).unionByName(sample_estate.files(sample_estate.noisy(docs)))
     groups = normalize.duplicate_groups(normalize.canonical_forms(both))
     return groups.groupBy("copies").agg(F.count("*").alias("groups"))
@@ -269,7 +282,7 @@ def norm_duplicates(spark, sf_dir):
 @query
 def diff_lines(spark, sf_dir):
     forms = [
-        normalize.canonical_forms(sample_estate.files(sample_estate.documents(spark, sf_dir, v)))
+        normalize.canonical_forms(sample_estate.files(documents(spark, sf_dir, v)))
         for v in ("a", "b")
     ]
     lines = F.slice(F.split("diff", "\n"), 3, F.length("diff"))
@@ -283,7 +296,7 @@ def diff_lines(spark, sf_dir):
 
 @query
 def conformance(spark, sf_dir):
-    docs = sample_estate.with_broken(sample_estate.documents(spark, sf_dir))
+    docs = sample_estate.with_broken(documents(spark, sf_dir))
     xsd = sample_estate.schema_file(spark)
     return normalize.conformance_summary(normalize.conformance(sample_estate.files(docs), xsd))
 
@@ -381,8 +394,8 @@ def pipe_metrics(spark, sf_dir):
         """).run(spark)
     stored = spark.read.parquet(f"{out}/Extract").agg(F.count("*").alias("stored"))
     return stored.select(
-        F.lit(result.name).alias("name"), F.lit(result.rows_in).alias("rows_in"),
-        F.lit(result.rows_out).alias("rows_out"), "stored", F.lit(",".join(result.columns)).alias("columns"))
+        F.lit(result.name).alias("name"), F.lit(result.rows_in).cast("long").alias("rows_in"),
+        F.lit(result.rows_out).cast("long").alias("rows_out"), "stored", F.lit(",".join(result.columns)).alias("columns"))
 
 
 @query

@@ -91,7 +91,7 @@ SELECT wb.path, version, CAST(NULL AS VARCHAR) AS source_build, platform AS sour
   {size}
   (SELECT count(*) FROM {ds} d WHERE d.path = wb.path) AS datasource_count,
   (SELECT count(*) FROM ds d WHERE d.path = wb.path) AS worksheet_count,
-  CASE WHEN o % 3 <> 0 THEN 1 ELSE 0 END AS dashboard_count,
+  CAST(o % 3 <> 0 AS BIGINT) AS dashboard_count,
   (SELECT count(*) FROM {ds} d WHERE d.path = wb.path AND has_r) AS embedded_cred_count
 FROM wb
 """
@@ -178,7 +178,8 @@ WHERE version = '18.1' AND server LIKE '%.vendor.example.net' GROUP BY caption
 """)
 
 ORACLES["table_fields"] = _on_estate("""
-SELECT f.path, ds_pos, row_number() OVER (PARTITION BY f.path, f.s ORDER BY is_calculated, p) - 1 AS field_pos,
+SELECT f.path, CAST(ds_pos AS INTEGER) AS ds_pos,
+  CAST(row_number() OVER (PARTITION BY f.path, f.s ORDER BY is_calculated, p) - 1 AS INTEGER) AS field_pos,
   'federated.s' || f.s AS datasource, f.name, f.caption,
   CASE WHEN is_calculated THEN 'real' ELSE 'string' END AS datatype,
   CASE WHEN is_calculated THEN 'measure' ELSE 'dimension' END AS role,

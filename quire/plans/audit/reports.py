@@ -7,8 +7,25 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.plans.audit.registry import SEVERITIES
-from quire.sources.workbooks import readable
+from quire.plans.audit.config import GovernanceConfig
+from quire.plans.audit.registry import SEVERITIES, Registry, default_registry
+from quire.session import fresh_path
+from quire.sources.workbooks import parse_workbooks, readable
+
+
+def audit_files(
+    files: DataFrame, pack: str | None = None, config: GovernanceConfig | None = None,
+    registry: Registry | None = None,
+) -> DataFrame:
+    """Findings over workbook files (``path, content``) that no store holds yet.
+
+    The files are parsed once, into the shared folder: the rules read their own
+    columns from there instead of each parsing the files again.
+    """
+    staged = fresh_path(files.sparkSession, "audit")
+    parse_workbooks(files).write.parquet(staged)
+    rows = files.sparkSession.read.parquet(staged)
+    return (registry or default_registry()).run(rows, pack, config)
 
 
 def severity_rank(severity: Column) -> Column:

@@ -186,3 +186,10 @@ def test_rules_of_users(spark, findings):
     found = {r.rule_id: r for r in registry.run(findings[0]).collect()}
     assert found["USR1"].location == "Spare" and found["USR2"].message == "12"
     assert registry.run(findings[0], only=[]).count() == 0
+
+
+def test_files_are_audited_without_a_store(spark):
+    files = spark.createDataFrame(
+        [(f"{rule}.twb", bytearray(xml.encode())) for rule, xml in ONE_EACH.items()], "path string, content binary")
+    found = reports.audit_files(files, "audit")
+    assert {r.rule_id for r in found.collect()} == {f"AUD00{i}" for i in range(1, 7)}
