@@ -33,15 +33,22 @@ def find_workbooks(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+# Larger files are reported, not read: a row cannot hold more than 2 GiB, and
+# the error for that would end the job.
+MAX_FILE_BYTES = 1 << 30
+
+
 def with_file_facts(files: DataFrame) -> DataFrame:
     """Add digest, time and size to binary files (``path, content, ...``)."""
-    return files.select(
-        "path",
-        F.sha2("content", 256).alias("sha256"),
-        (F.unix_millis("modificationTime") / 1000.0).alias("mtime"),
-        F.col("length").alias("size_bytes"),
-        "content",
-    )
+    mtime = (F.unix_millis("modificationTime") / 1000.0).alias("mtime")
+    size = F.col("length").alias("size_bytes")
+    # Both size conditions are answered from the file listing.
+    fitting = files.filter(F.col("length") <= MAX_FILE_BYTES).select(
+        "path", F.sha2("content", 256).alias("sha256"), mtime, size, "content")
+    oversized = files.filter(F.col("length") > MAX_FILE_BYTES).select(
+        "path", F.lit(None).cast("string").alias("sha256"), mtime, size,
+        F.lit(None).cast("binary").alias("content"))
+    return fitting.unionByName(oversized)
 
 
 def parse_workbooks(files: DataFrame) -> DataFrame:
@@ -86,8 +93,10 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def read_workbook(path: str, content: bytes | None) -> tuple[Document, tuple[str, str] | None]:
     """The document and no error, or an empty document and the reason; never raises."""
+    if content is None:
+        return Document(), ("parse", f"not read: larger than {MAX_FILE_BYTES} bytes")
     try:
-        return parse_document(document_bytes(path, content or b"")), None
+        return parse_document(document_bytes(path, content)), None
     except DocumentError as problem:
         return Document(), ("parse", str(problem))
     except Exception as problem:  # one bad file must not fail the scan

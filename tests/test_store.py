@@ -101,3 +101,13 @@ def test_new_files_are_indexed_once(spark, tree, tmp_path):
 
 def test_shared_folder_is_the_named_one(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_oversized_files_are_reported_not_read(spark, tree, tmp_path, monkeypatch):
+    from quire.sources import workbooks
+
+    monkeypatch.setattr(workbooks, "MAX_FILE_BYTES", 300)
+    store = EstateStore(spark, str(tmp_path / "store"))
+    result = scan_tree(spark, str(tree), store)
+    assert (result.scanned, result.indexed) == (4, 1)
+    assert "larger than" in {os.path.basename(r.path): r.message for r in result.errors.collect()}["a.twb"]
