@@ -26,7 +26,7 @@ from quire.session import configure, fresh_path
 from quire.sinks.findings import findings_json, findings_sarif
 from quire.sinks.tabular import export_result
 from quire.sources.tabular import CsvSource
-from quire.sources.workbooks import parse_workbooks
+from quire.sources.workbooks import ingest, parse_workbooks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -265,8 +265,7 @@ def diff_keyed_table(spark, sf_dir):
 def diff_duplicate_names(spark, sf_dir):
     docs = documents(spark, sf_dir)
     later = sample_estate.with_repeated_source(documents(spark, sf_dir, "b"))
-    a = parse_workbooks(sample_estate.files(docs))
-    b = parse_workbooks(sample_estate.files(later))
+    a, b = (ingest(sample_estate.files(rows)) for rows in (docs, later))
     return diff.diff_workbooks(a, b).groupBy("kind", "category").agg(F.count("*").alias("n"))
 
 

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.plans.audit.config import GovernanceConfig
 from quire.plans.audit.registry import SEVERITIES, Registry, default_registry
-from quire.session import fresh_path
-from quire.sources.workbooks import parse_workbooks, readable
+from quire.sources.workbooks import ingest, readable
 
 
 def audit_files(
@@ -22,10 +21,7 @@ def audit_files(
     The files are parsed once, into the shared folder: the rules read their own
     columns from there instead of each parsing the files again.
     """
-    staged = fresh_path(files.sparkSession, "audit")
-    parse_workbooks(files).write.parquet(staged)
-    rows = files.sparkSession.read.parquet(staged)
-    return (registry or default_registry()).run(rows, pack, config)
+    return (registry or default_registry()).run(ingest(files), pack, config)
 
 
 def severity_rank(severity: Column) -> Column:

@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators.upsert import EstateStore
-from quire.session import fresh_path
 from quire.sources.workbooks import (
-    find_workbooks, parse_workbooks, readable, unreadable, with_file_facts,
+    find_workbooks, ingest, readable, unreadable, with_file_facts,
 )
 
 
@@ -41,10 +40,7 @@ def scan_files(files: DataFrame, store: EstateStore) -> ScanResult:
     A file that fails keeps the rows of its last good scan. Each path may occur
     once, as in a file listing (else see ``newest_per_key``).
     """
-    spark = files.sparkSession
-    staged_at = fresh_path(spark, "scan")
-    parse_workbooks(files).write.parquet(staged_at)
-    staged = spark.read.parquet(staged_at)
+    staged = ingest(files)
     counts = summary(staged).first()
     if counts.indexed:
         store.upsert(readable(staged))

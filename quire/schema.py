@@ -38,6 +38,7 @@ CHILD_COLUMNS = dict(
 DOCUMENT_COLUMNS = dict(
     **ATTRIBUTE_COLUMNS,
     **{name: T.ArrayType(child) for name, child in CHILD_COLUMNS.items()},
+    names_unique=_B,  # no two parts of the workbook share a name that identifies one
     error=ERROR,
 )
 FILE_COLUMNS = dict(path=_S, sha256=_S, mtime=T.DoubleType(), size_bytes=T.LongType())

@@ -59,6 +59,21 @@ class Document:
     dashboards: list[Sequence] = field(default_factory=list)
     zones: list[Sequence] = field(default_factory=list)
 
+    def names_unique(self) -> bool:
+        """Whether data sources, their connections and fields, and dashboards can
+        each be told apart by what identifies them."""
+        return all(map(_distinct, (
+            [source[1] for source in self.datasources],
+            [board[1] for board in self.dashboards],
+            [(f[1], f[3]) for f in self.fields],
+            # Class, server, database and file; a missing one counts as empty.
+            [(c[1], "|".join(part or "" for part in (*c[3:6], c[8]))) for c in self.connections],
+        )))
+
+
+def _distinct(names: list) -> bool:
+    return len(set(names)) == len(names)
+
 
 def parse_document(xml: bytes) -> Document:
     """Record of one document; raises ``DocumentError`` if it is malformed."""

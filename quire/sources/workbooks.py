@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quire import schema
-from quire.session import ship_package
+from quire.session import fresh_path, ship_package
 from quire.sources.document import Document, document_bytes, parse_document
 from quire.sources.package import DocumentError
 
@@ -70,6 +70,17 @@ def parse_workbooks(files: DataFrame) -> DataFrame:
     return parsed.withColumn("scanned_at", F.current_timestamp()).select(schema.WORKBOOK.fieldNames())
 
 
+def ingest(files: DataFrame) -> DataFrame:
+    """Parsed rows as a table in the shared folder.
+
+    For plans that read the rows more than once: the files are parsed once, and
+    each reader takes only its own columns.
+    """
+    path = fresh_path(files.sparkSession, "parsed")
+    parse_workbooks(files).write.parquet(path)
+    return files.sparkSession.read.parquet(path)
+
+
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     facts: list[tuple] = []
     documents: list[Document] = []
@@ -112,6 +123,7 @@ def _to_batch(
         arrays.append(pa.array([getattr(d, name) for d in documents], pa.string()))
     for name in schema.CHILD_COLUMNS:
         arrays.append(_child_array([getattr(d, name) for d in documents], out.field(name).type))
+    arrays.append(pa.array([d.names_unique() for d in documents], pa.bool_()))
     error_type = out.field("error").type
     arrays.append(pa.array([e and dict(zip(("kind", "message"), e)) for e in errors], error_type))
     return pa.RecordBatch.from_arrays(arrays, schema=out)
