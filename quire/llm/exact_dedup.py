@@ -6,7 +6,7 @@ Three rounds, each grouping by digest *and* whole text, so that equal digests of
 2. partitions are dealt to ``salts`` salts; the winners of equal texts in one salt merge,
 3. the at most ``salts`` winners of a text merge into the one that stays.
 
-Every row then looks up the winner of its digest. Should one digest ever belong to two texts, that lookup stops the
+Every row then looks up the winner of its digest, again by digest and salt. Should one digest ever belong to two texts, that lookup stops the
 job instead of naming a wrong winner.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import kept_rows, lower_ascii, table, unused_name, with_row_id
 
-# Salts of the second round: a text held by a third of all rows reaches this many tasks, once per input partition.
+# Salts of the second round, 63 at most: a text held by a third of all rows reaches this many tasks, once per input partition.
 SALTS = 32
 
 _LEAST = F.lit(-(2 ** 63)).cast("long")
@@ -47,15 +47,19 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row
     salted = rows.groupBy("digest", "body", salt.alias("salt")).agg(
         _latest("row_id", "doc_id"), F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     winners = salted.groupBy("digest", "body").agg(
-        _latest("keep_row", "keep_id"), F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+        _latest("keep_row", "keep_id"), F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"),
+        F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salted"))
     by_digest = winners.groupBy("digest").agg(
         F.count(F.lit(1)).alias("texts"), F.max("keep_row").alias("keep_row"), F.max("keep_id").alias("keep_id"),
-        F.max("group_size").alias("group_size"))
+        F.max("group_size").alias("group_size"), F.bit_or("salted").alias("salted"))
+    # One row per salt that holds the text: copies look their winner up in as many tasks as they were dealt to.
+    by_salt = by_digest.withColumn("salt", F.explode(F.expr(
+        f"filter(sequence(0, {salts - 1}), s -> shiftrightunsigned(salted, s) & 1 = 1)")))
 
     one_text = F.when(F.col("texts") == 1, F.col("keep_row")).otherwise(
         F.raise_error(F.lit("two texts share one SHA-256 digest")).cast("long"))
     return (
-        rows.select("row_id", "doc_id", "digest").join(by_digest, "digest")
+        rows.select("row_id", "doc_id", "digest", salt.alias("salt")).join(by_salt, ["digest", "salt"])
         .withColumn("keep_row", one_text)
         .select("row_id", "doc_id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"),
                 F.lower(F.hex("digest")).alias("text_sha256"))

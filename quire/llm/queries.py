@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from quire.llm import bpe, exact_dedup, html_text, language, mixing, quality, simhash, toxicity
+from quire.llm import bpe, brown, exact_dedup, html_text, language, mixing, quality, simhash, toxicity
 
 QUERIES = {
     "op1_html_text": html_text.query,
     "op3_bpe": bpe.query,
+    "op4_brown_lm": brown.query,
     "op5_mixing": mixing.query,
     "op6_toxicity": toxicity.query,
     "op7_language": language.query,
