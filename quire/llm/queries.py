@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from quire.llm import bpe, brown, exact_dedup, html_text, language, mixing, quality, simhash, toxicity
+from quire.llm import bpe, brown, exact_dedup, html_text, language, mixing, nn_descent, quality, simhash, toxicity
 
 QUERIES = {
     "op1_html_text": html_text.query,
+    "op2_nn_descent": nn_descent.query,
     "op3_bpe": bpe.query,
     "op4_brown_lm": brown.query,
     "op5_mixing": mixing.query,
