@@ -4,7 +4,7 @@ The corpus is cut once into chunks of whole documents: a chunk row holds its dis
 into them. Word counts come from grouping all chunks' words; they flow back to the chunks by a join, so that later
 passes read numbers only.
 
-Classes are assigned to *units*: each of the ``KNOWN`` most frequent words is one, and every other word, met or not,
+Classes are assigned to *units*: each of the up to ``KNOWN`` most frequent words is one, and every other word, met or not,
 shares the unit of its ending (``ENDINGS`` hash buckets of its last three characters). The number of units is fixed,
 so the class of each is a small broadcast array, whatever the corpus. A round of exchange counts, for every unit, the
 classes before and after it over all training tokens, and moves half of the units to the class that raises the
@@ -21,6 +21,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,14 @@ _CHUNK_SCHEMA = ("chunk long, doc_ids array<long>, held array<boolean>, ends arr
                  "words array<string>, counts array<int>")
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(numbers.tobytes())
+
+
+def _unpacked(data: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+
+
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
 
@@ -72,7 +81,7 @@ class _Chunk:
         return pa.RecordBatch.from_arrays([
             pa.array([chunk], pa.int64()), pa.array([self.docs], pa.list_(pa.int64())),
             pa.array([self.held], pa.list_(pa.bool_())), pa.array([self.ends], pa.list_(pa.int32())),
-            pa.array([tokens.tobytes()], pa.binary()), pa.array([words], pa.list_(pa.string())),
+            pa.array([_packed(tokens)], pa.binary()), pa.array([words], pa.list_(pa.string())),
             pa.array([counts], pa.list_(pa.int32()))],
             ["chunk", "doc_ids", "held", "ends", "tokens", "words", "counts"])
 
@@ -104,6 +113,21 @@ def vocabulary(chunks: DataFrame) -> DataFrame:
     return staged(words.groupBy(F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("c")), "lm-words")
 
 
+def most_frequent(words: DataFrame, most: int) -> pd.DataFrame:
+    """The most frequent words, at most ``most``, in order; words of equal rank at the edge all stay out.
+
+    Counts are ranked in steps of a sixteenth of an octave, so that the driver sees a small table and then the words.
+    """
+    step = F.floor(F.log2("c") * 16).cast("int")
+    held = words.where("c > 0").groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).toPandas()
+    held = held.sort_values("step", ascending=False)
+    inside = held["step"][held["n"].cumsum() <= most]
+    if inside.empty:
+        return pd.DataFrame({"word": [], "c": []})
+    found = words.where("c > 0").where(step >= int(inside.min())).toPandas()
+    return found.sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
+
+
 def _attach(chunks: DataFrame, words: DataFrame, known: DataFrame) -> DataFrame:
     """Chunks with the training count and the unit of each of their words instead of the words, staged."""
     numbered = chunks.select("chunk", F.posexplode("words").alias("place", "word"))
@@ -115,7 +139,7 @@ def _attach(chunks: DataFrame, words: DataFrame, known: DataFrame) -> DataFrame:
         c, unit = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int32)
         c[counts["place"]] = counts["c"]
         unit[counts["place"]] = counts["unit"]
-        return rows.assign(c=[c.tobytes()] * len(rows), unit=[unit.tobytes()] * len(rows))
+        return rows.assign(c=[_packed(c)] * len(rows), unit=[_packed(unit)] * len(rows))
 
     slim = chunks.select("chunk", "doc_ids", "held", "ends", "tokens")
     return staged(slim.groupBy("chunk").cogroup(found.groupBy("of")).applyInPandas(
@@ -128,8 +152,8 @@ def _opened(batch: pa.RecordBatch):
     for i in range(batch.num_rows):
         ends = np.array(batch.column("ends")[i].as_py(), np.int64)
         held = np.array(batch.column("held")[i].as_py(), bool)
-        tokens = np.frombuffer(batch.column("tokens")[i].as_py(), np.int32)
-        unit = np.frombuffer(batch.column("unit")[i].as_py(), np.int32)
+        tokens = _unpacked(batch.column("tokens")[i].as_py(), np.int32)
+        unit = _unpacked(batch.column("unit")[i].as_py(), np.int32)
         sizes = np.diff(np.append(0, ends))
         yield i, ends, held, sizes, tokens, unit
 
@@ -169,7 +193,7 @@ def _exchange(chunks: DataFrame, classes: np.ndarray, end_unit: int, parity: int
             part = total[block * 2 * k:(block + BLOCK) * 2 * k]
             if part.any():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block]), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["block", "counts"])
+                    [pa.array([block]), pa.array([_packed(part)], pa.binary())], ["block", "counts"])
 
     rows = chunks.mapInArrow(neighbours, "block long, counts binary")
     # Class totals first (a k x 2k table), then each block's units choose by them.
@@ -179,7 +203,7 @@ def _exchange(chunks: DataFrame, classes: np.ndarray, end_unit: int, parity: int
         sums = np.zeros((k, 2 * k), np.int64)
         for batch in batches:
             for block, packed in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
-                part = np.frombuffer(zlib.decompress(packed), np.int32).reshape(-1, 2 * k)
+                part = _unpacked(packed, np.int32).reshape(-1, 2 * k)
                 np.add.at(sums, shared.value[block:block + len(part)], part)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums.ravel()[at])], ["cell", "n"])
@@ -200,7 +224,7 @@ def _exchange(chunks: DataFrame, classes: np.ndarray, end_unit: int, parity: int
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, packed in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
-                part = np.frombuffer(zlib.decompress(packed), np.int32)
+                part = _unpacked(packed, np.int32)
                 if block not in sums:
                     sums[block] = np.zeros(len(part), np.int64)
                 sums[block] += part
@@ -234,7 +258,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                        F.col(text).cast("binary").alias("body"))
     chunks = staged(rows.mapInArrow(_chunks, _CHUNK_SCHEMA), "lm-texts")
     words = vocabulary(chunks)
-    frequent = words.where("c > 0").orderBy(F.desc("c"), "word").limit(KNOWN).toPandas()
+    frequent = most_frequent(words, KNOWN)
     known = spark.createDataFrame(
         list(zip(frequent["word"].tolist(), range(len(frequent)))), "word string, rank int")
     encoded = _attach(chunks, words, known)
@@ -256,7 +280,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         classes, step, emit_total, total, distinct = shared.value
         for batch in batches:
             for i, ends, held, sizes, tokens, unit in _opened(batch):
-                c = np.frombuffer(batch.column("c")[i].as_py(), np.int64)
+                c = _unpacked(batch.column("c")[i].as_py(), np.int64)
                 of_word = classes[unit]
                 now = of_word[tokens]
                 base = np.log10((c + 1) / (total + distinct + 1))
