@@ -76,17 +76,31 @@ def hashed(texts: Sequence[str | None], orders: Sequence[int], bits: int, raw: b
 
 
 def distinct(texts: Sequence[str | None], orders: Sequence[int], bits: int, wanted: np.ndarray | None = None,
-             ) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs of text and bucket, by text; ``wanted`` masks the buckets that count."""
-    pairs = [np.zeros(0, np.int64)]
-    for owner, bucket in hashed(texts, orders, bits):
-        if wanted is not None:
-            hit = wanted[bucket]
-            owner, bucket = owner[hit], bucket[hit]
-        if len(owner):
-            pairs.append(np.unique(owner.astype(np.int64) << bits | bucket))
-    both = np.unique(np.concatenate(pairs))
-    return (both >> bits).astype(np.int64), (both & ((1 << bits) - 1)).astype(np.int64)
+             ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct pairs of text and bucket, some texts at a time; ``wanted`` masks the buckets that count."""
+    start = 0
+    while start < len(texts):
+        end, held = start, 0
+        while end < len(texts) and (end == start or held + len(texts[end] or "") <= PIECE):
+            held += len(texts[end] or "")
+            end += 1
+        pairs = [np.zeros(0, np.int64)]
+        for owner, bucket in hashed(texts[start:end], orders, bits):
+            if wanted is not None:
+                hit = wanted[bucket]
+                owner, bucket = owner[hit], bucket[hit]
+            key = owner.astype(np.int64) << bits | bucket
+            pairs.append(np.unique(key) if end - start == 1 else key)
+        both = np.unique(np.concatenate(pairs))
+        yield (both >> bits) + start, both & ((1 << bits) - 1)
+        start = end
+
+
+def all_distinct(texts: Sequence[str | None], orders: Sequence[int], bits: int, wanted: np.ndarray,
+                 ) -> tuple[np.ndarray, np.ndarray]:
+    """All of ``distinct`` at once: few pairs, as ``wanted`` masks most."""
+    parts = list(distinct(texts, orders, bits, wanted)) or [(np.zeros(0, np.int64),) * 2]
+    return np.concatenate([o for o, _ in parts]), np.concatenate([b for _, b in parts])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

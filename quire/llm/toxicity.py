@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import kept_rows, python_ready, remainder, table, unused_name, with_row_id
-from quire.llm.grams import distinct, sigmoid
+from quire.llm.grams import all_distinct, distinct, sigmoid
 
-ORDERS = (3, 4, 5, 6)
+ORDERS = (4, 5, 6)
 BITS = 20
 THRESHOLD = 0.7
 # Documented bound of the training sample; its n-grams go to the driver only as counts of at most 2^20 buckets.
-MOST_LABELLED = 40_000
+MOST_LABELLED = 20_000
 LEAST_TEXTS = 3
 LEAST_RATIO = 1.0
 # Ratios within this many standard errors of zero are noise.
@@ -47,10 +47,11 @@ def _counts(batches):
     texts = np.zeros(2, np.int64)
     for batch in batches:
         toxic = np.array(batch.column("toxic").to_pylist(), np.int64) > 0
-        owner, bucket = distinct(batch.column("body").to_pylist(), ORDERS, BITS)
         for of in (0, 1):
-            totals[of] += np.bincount(bucket[toxic[owner] == of], minlength=1 << BITS)
             texts[of] += int((toxic == of).sum())
+        for owner, bucket in distinct(batch.column("body").to_pylist(), ORDERS, BITS):
+            for of in (0, 1):
+                np.add.at(totals[of], bucket[toxic[owner] == of], 1)
     met = np.flatnonzero(totals.any(axis=0))
     yield pa.RecordBatch.from_arrays(
         [pa.array(np.append(met, -1)), pa.array(np.append(totals[0][met], texts[0])),
@@ -111,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
 
     def telling(batches):
         for batch in batches:
-            owner, bucket = distinct(batch.column("body").to_pylist(), ORDERS, BITS, wanted.value)
+            owner, bucket = all_distinct(batch.column("body").to_pylist(), ORDERS, BITS, wanted.value)
             lists = np.split(bucket, np.cumsum(np.bincount(owner, minlength=batch.num_rows))[:-1])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(batch.column("toxic").to_pylist(), pa.int32()),
@@ -143,7 +144,7 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     def scores(batches):
         weight, telling = model.value
         for batch in batches:
-            owner, bucket = distinct(batch.column("body").to_pylist(), ORDERS, BITS, telling)
+            owner, bucket = all_distinct(batch.column("body").to_pylist(), ORDERS, BITS, telling)
             total = bias + np.bincount(owner, weight[bucket], minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row_id"), batch.column("doc_id"), pa.array(sigmoid(total), pa.float64())],
