@@ -13,10 +13,10 @@ import json
 import re
 import unicodedata
 from array import array
+from functools import cache
 
 import ahocorasick
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,14 +36,34 @@ def _byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
-# Fixed value: the word pattern of the supported files.
+# Fixed value: the word pattern of the supported files. A contraction begins with an apostrophe, a word with a
+# letter, so the order of these alternatives does not matter.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # Below U+0250: letters, numbers, white space.
 _L, _N, _S = "a-zA-ZªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\x09-\x0d\x20\x85\xa0"
 _LATIN = f"[{_L}]+|'(?:s|t|re|ve|m|ll|d)|[{_N}]|[^{_S}{_L}{_N}]+"
+# Letters and numbers that Unicode 16 added, which the tokenizers library knows and Python 3.13 does not.
+_LETTERS_16 = ((0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65),
+               (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E),
+               (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0),
+               (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED),
+               (0x1E5F0, 0x1E5F0))
+_NUMBERS_16 = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79),
+               (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+_SPACES = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 
 
+@cache
+def _class(kind: str) -> str:
+    """The inside of a character class with all letters (L) or numbers (N)."""
+    added = _LETTERS_16 if kind == "L" else _NUMBERS_16
+    marks = bytearray(unicodedata.category(chr(i))[0] == kind for i in range(0x110000))
+    for first, last in added:
+        marks[first:last + 1] = b"\1" * (last + 1 - first)
+    return "".join(f"\\U{m.start():08x}-\\U{m.end() - 1:08x}" for m in re.finditer(b"\1+", marks))
+
+
 class Tokenizer:
     """A byte-level BPE vocabulary with word ends, read from a tokenizer file's JSON text."""
 
@@ -55,12 +75,15 @@ class Tokenizer:
         self.letters = _byte_letters()
         # Special tokens are found in the raw text, before anything is normalised.
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self._special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) \
+        self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) \
             if self.special else None
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self._words = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
+        if pattern != _PATTERN:
+            raise ValueError("only the word pattern of these files is supported")
+        letters, numbers = _class("L"), _class("N")
+        self._words = re.compile(f"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{numbers}]|[^{_SPACES}{letters}{numbers}]+")
         # The same for lower-cased texts of Latin letters only, with plain classes and the common case first.
-        self._latin = re.compile(_LATIN) if pattern == _PATTERN else None
+        self._latin = re.compile(_LATIN)
 
         def inner(token: str) -> str:
             return token[:-len(suffix)] + _END if token.endswith(suffix) else token
@@ -153,7 +176,7 @@ class Tokenizer:
             # Lower-casing goes character by character, without the special form of a final sigma.
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         text = text.lower()
-        if self._latin is not None and not _BEYOND_LATIN.search(text):
+        if not _BEYOND_LATIN.search(text):
             return self._latin.findall(text)
         return self._words.findall(text)
 

@@ -20,11 +20,11 @@ from quire.llm.common import kept_rows, lower_ascii, table, unused_name, with_ro
 # Salts of the second round, 63 at most: a text held by a third of all rows reaches this many tasks, once per input partition.
 SALTS = 32
 
-_LEAST = F.lit(-(2 ** 63)).cast("long")
+_LEAST = -(2 ** 63)
 
 
 def _latest(row: str, doc: str) -> Column:
-    return F.max_by(row, F.coalesce(F.col(doc), _LEAST)).alias("keep_row")
+    return F.max_by(row, F.coalesce(F.col(doc), F.lit(_LEAST))).alias("keep_row")
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row_id: str | None = None,

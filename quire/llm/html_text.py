@@ -130,6 +130,8 @@ def regions(lengths: list[int], window: int = WINDOW, surge: int = SURGE, dive:
     for i in range(len(lengths) - 1, -1, -1):
         total += lengths[i] - (lengths[i + window] if i + window < len(lengths) else 0)
         blocks[i] = total
+    # A page with less text than a surge is its own region.
+    surge = max(1, min(surge, max(blocks, default=0)))
     found, start = [], -1
     for i, block in enumerate(blocks):
         if start < 0 and block >= surge and lengths[i]:
@@ -146,9 +148,7 @@ def main_text(page: str | None) -> str:
     marked = any(article and not furniture for _, article, furniture in lines)
     # Furniture counts as empty lines; a run of it as long as the window is a dive.
     lengths = [0 if furniture or marked and not article else len(text) for text, article, furniture in lines]
-    longest = sum(lengths)
-    # A page with less text than a surge is its own region.
-    kept = regions(lengths, surge=min(SURGE, max(1, longest)))
+    kept = regions(lengths)
     if not kept:
         return ""
     if marked:
