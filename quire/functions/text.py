@@ -11,20 +11,18 @@ from pyspark.sql import functions as F
 # Functions that expose who is looking at the workbook.
 USER_IDENTITY_FUNCTIONS = ("USERNAME", "ISUSERNAME", "ISMEMBEROF", "FULLNAME", "USERDOMAIN")
 
-# Field-name vocabulary by label, in order of precedence. Words are joined by
-# one optional blank, "_" or "-"; "(x)" is an optional last word, "a|b" a choice.
+# Field-name vocabulary by label, in order of precedence.
 PII_TERMS = {
-    "ssn": ("ssn", "social security (number)"),
-    "dob": ("dob", "date of birth", "birth date"),
-    "email": ("email (address)", "e mail"),
-    "phone": ("phone (number)", "mobile (number)", "telephone"),
-    "address": ("street|home|mailing|residential address", "postal|zip code"),
-    "credit_card": (
-        "credit card", "cc num|number", "primary account number", "pan number", "card pan",
-    ),
-    "medical": ("mrn", "medical record (number)", "diagnosis (code)"),
-    "personal_name": ("first|last|middle|maiden|given|family|sur name", "full name"),
-    "ip_address": ("ip address", "ip addr", "ip4|ip6|ipv4|ipv6 address"),
+    "ssn": r"ssn|social[\s_-]?security(?:[\s_-]?number)?",
+    "dob": r"dob|date[\s_-]?of[\s_-]?birth|birth[\s_-]?date",
+    "email": r"email(?:[\s_-]?address)?|e[\s_-]?mail",
+    "phone": r"phone(?:[\s_-]?number)?|mobile(?:[\s_-]?number)?|telephone",
+    "address": r"(?:street|home|mailing|residential)[\s_-]?address|(?:postal|zip)[\s_-]?code",
+    "credit_card": r"credit[\s_-]?card|cc[\s_-]?(?:num|number)|primary[\s_-]?account[\s_-]?number"
+                   r"|pan[\s_-]?number|card[\s_-]?pan",
+    "medical": r"mrn|medical[\s_-]?record(?:[\s_-]?number)?|diagnosis(?:[\s_-]?code)?",
+    "personal_name": r"(?:first|last|middle|maiden|given|family|sur)[\s_-]?name|full[\s_-]?name",
+    "ip_address": r"ip[\s_-]?address|ip[\s_-]?addr|(?:ip4|ip6|ipv4|ipv6)[\s_-]?address",
 }
 
 # Servers that never count as external.
@@ -36,9 +34,6 @@ PROFILE_PATH = r"^(?:[A-Za-z]:\\(?i:Users)\\|/home/[^/]+/|/Users/[^/]+/)"
 COLUMN_REFERENCE = r"(\[[^\[\]\r\n]+\])"
 # -----------------------------------------------------------------------------
 
-_GAP = r"[\s_-]?"
-
-
 def calls_function(formula: Column, names: Iterable[str]) -> Column:
     """True where the formula calls one of the functions, in any letter case."""
     return formula.rlike(rf"(?iU)\b(?:{'|'.join(names)})\s*\(")
@@ -67,21 +62,7 @@ def field_words(name: Column, caption: Column) -> Column:
 
 def pii_pattern(*labels: str) -> str:
     """Regular expression for all terms of some labels."""
-    terms = [_term(term) for label in labels for term in PII_TERMS[label]]
-    return rf"(?iU)\b(?:{'|'.join(terms)})\b"
-
-
-def _term(term: str) -> str:
-    pattern = ""
-    for word in term.split(" "):
-        optional = word.startswith("(")
-        word = word.strip("()")
-        piece = f"(?:{word})" if "|" in word else word
-        if not pattern:
-            pattern = piece
-        else:
-            pattern += f"(?:{_GAP}{piece})?" if optional else _GAP + piece
-    return pattern
+    return rf"(?iU)\b(?:{'|'.join(PII_TERMS[label] for label in labels)})\b"
 
 
 def pii_label(name: Column, caption: Column, disabled: Iterable[str] = ()) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from quire.functions.values import text_of
@@ -13,6 +15,31 @@ from quire.operators.transforms import quoted
 from quire.session import hadoop_path
 
 
+def replace_folder(spark: SparkSession, target: str, write: Callable[[str], None]) -> None:
+    """Let ``write`` fill a new folder beside ``target``, then put it in its place.
+
+    Whatever spelling or part of the target the rows are read from, it stays intact until they are written, and a
+    failing job leaves it as it was.
+    """
+    plain = target.rstrip("/") or target
+    mark = uuid.uuid4().hex
+    aside, old = f"{plain}.{mark}.new", f"{plain}.{mark}.old"
+    written, fs = hadoop_path(spark, aside)
+    place, replaced = hadoop_path(spark, plain)[0], hadoop_path(spark, old)[0]
+    try:
+        write(aside)
+        if fs.exists(place) and not fs.rename(place, replaced):
+            raise OSError(f"cannot move {plain} aside")
+        if not fs.rename(written, place):
+            fs.rename(replaced, place)
+            raise OSError(f"cannot move the result to {plain}")
+    finally:
+        if fs.exists(written):
+            fs.delete(written, True)
+    if fs.exists(replaced):
+        fs.delete(replaced, True)
+
+
 class Sink(Protocol):
     def write(self, rows: DataFrame) -> None: ...
 
@@ -31,15 +58,15 @@ class CsvSink:
 
     def write(self, rows: DataFrame) -> None:
         as_text = rows.select([text_of(quoted(c), dtype).alias(c) for c, dtype in rows.dtypes])
-        (
-            as_text.write.mode("overwrite")
+        writer = (
+            as_text.write
             .option("header", True).option("sep", self.separator)
             .option("quote", '"').option("escape", '"')
             .option("nullValue", "").option("emptyValue", "")
             # Spark would trim values while writing.
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-            .csv(self.path)
         )
+        replace_folder(rows.sparkSession, self.path, writer.csv)
 
 
 def widened(rows: DataFrame, single_floats: bool) -> DataFrame:
@@ -72,7 +99,7 @@ class ParquetSink:
         return self.path
 
     def write(self, rows: DataFrame) -> None:
-        widened(rows, single_floats=True).write.mode("overwrite").parquet(self.path)
+        replace_folder(rows.sparkSession, self.path, widened(rows, single_floats=True).write.parquet)
 
 
 @dataclass(frozen=True)
@@ -96,7 +123,9 @@ class TableSink:
         out = widened(rows, single_floats=False)
         if self.mode.lower() == "append":
             self._check_same_columns(out)
-        out.write.mode("append" if self.mode.lower() == "append" else "overwrite").parquet(self.target())
+            out.write.mode("append").parquet(self.target())
+        else:
+            replace_folder(rows.sparkSession, self.target(), out.write.parquet)
 
     def _check_same_columns(self, rows: DataFrame) -> None:
         path, fs = hadoop_path(rows.sparkSession, self.target())

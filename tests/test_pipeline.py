@@ -267,3 +267,26 @@ def test_result_filter_and_export(spark, tmp_path):
     export_result(any_column_contains(rows, "5").orderBy("n"), str(tmp_path / "e"))
     text = "".join(open(tmp_path / "e" / f).read() for f in sorted(os.listdir(tmp_path / "e")) if f.endswith(".csv"))
     assert text == "t,n\nc%d,25\n"
+
+
+@pytest.mark.parametrize("spelling", ["{t}/", "file:{t}", "{p}/x/../t", "{p}/t*", "{part}"])
+def test_a_pipeline_may_read_what_it_replaces(spark, tmp_path, spelling):
+    target = tmp_path / "t"
+    spark.range(5).coalesce(1).write.parquet(str(target))
+    os.makedirs(tmp_path / "x")
+    part = next(str(f) for f in target.iterdir() if f.name.endswith(".parquet"))
+    source = spelling.format(t=target, p=tmp_path, part=part)
+    Pipeline.from_yaml(
+        f"name: n\nsource: {{type: parquet, path: '{source}'}}\nsink: {{type: parquet, path: '{target}'}}\n").run(spark)
+    assert spark.read.parquet(str(target)).count() == 5
+    assert sorted(os.listdir(tmp_path)) == ["t", "x"]
+
+
+def test_a_failing_run_leaves_the_old_target(spark, tmp_path):
+    target = tmp_path / "t"
+    spark.createDataFrame([("1",), ("x",)], "a string").write.parquet(str(target))
+    with pytest.raises(Exception):
+        Pipeline.from_yaml(
+            f"name: n\nsource: {{type: parquet, path: '{target}'}}\ntransforms:\n  - cast: {{a: int64}}\n"
+            f"sink: {{type: parquet, path: '{target}'}}\n").run(spark)
+    assert spark.read.parquet(str(target)).count() == 2 and os.listdir(tmp_path) == ["t"]

@@ -70,6 +70,9 @@ def test_incomplete_versions_are_ignored(spark, ingest, tmp_path):
     store.upsert(ingest({"a.twb": CLEAN}))
     os.makedirs(tmp_path / "s" / "v00000002")
     assert store.version() == 1 and store.load().count() == 1
+    batch = ingest({"b.twb": CLEAN})
+    assert store.upsert(batch.unionByName(batch)) == 3
+    assert store.version() == 3 and store.load().count() == 2 and store.load(1).count() == 1
 
 
 def test_nothing_readable_changes_nothing(spark, tmp_path):
