@@ -21,12 +21,16 @@ from quire.llm.common import python_ready, table
 from quire.llm.grams import hashed, sigmoid
 
 BITS = 16
-# Documented bound of the scorer's training sample: documents by the hash of their ids.
-MOST_TRAINED = 20_000
+# Buckets of character trigrams; the bins of the measures lie above them.
+TRIGRAMS = 1 << (BITS - 1)
+# Documented bound of the scorer's training sample: documents by the hash of their ids. The hash is set to keep five
+# sixths of it, so that the bound itself cuts only where very many rows share one id.
+MOST_TRAINED = 12_000
 THRESHOLD = 0.5
 ROUNDS = 200
-STEPS = 300
-RATE = 0.05
+EPOCHS = 20
+STEP_DOCUMENTS = 500
+RATE = 0.02
 DECAY = 1e-4
 
 _MARKS = b"#$%&*|<>{}=^~!"
@@ -88,21 +92,31 @@ def expectation_maximisation(patterns: list[str], counts: np.ndarray) -> tuple[n
     return good, rate, share
 
 
-def features(texts: list[str], measured: list[tuple[float, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, bucket and value of the features of a batch: shares of its character trigrams, its measures in bins."""
-    owners, buckets = [], []
-    for owner, bucket in hashed(texts, (3,), BITS - 1, raw=True):
-        owners.append(owner)
-        buckets.append(bucket.astype(np.int64))
-    owner = np.concatenate(owners) if owners else np.zeros(0, np.int32)
-    bucket = np.concatenate(buckets) if buckets else np.zeros(0, np.int64)
-    size = np.bincount(owner, minlength=len(texts))
-    m = np.array([x[:len(_MEASURES)] for x in measured], float).reshape(len(texts), len(_MEASURES))
+def measure_buckets(measured: list[tuple[float, ...]]) -> np.ndarray:
+    """Texts x measures: the bucket of the bin each measure falls into."""
+    m = np.array([x[:len(_MEASURES)] for x in measured], float).reshape(len(measured), len(_MEASURES))
     share = np.isin(_MEASURES, ("marks", "upper", "letters", "distinct", "common"))
     step = np.minimum(np.where(share, m * 20, np.log2(1 + m) * 2), 31).astype(np.int64)
-    bins = (1 << (BITS - 1)) + np.arange(len(_MEASURES)) * 64 + step
-    return (np.append(owner, np.repeat(np.arange(len(texts)), len(_MEASURES))), np.append(bucket, bins.ravel()),
-            np.append(10 / size[owner], np.ones(bins.size)))
+    return TRIGRAMS + np.arange(len(_MEASURES)) * 64 + step
+
+
+def features(text: str, measured: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and values of one text: ten times the shares of its character trigrams, one for each measure's bin."""
+    counts = np.zeros(TRIGRAMS)
+    for _, bucket in hashed([text], (3,), BITS - 1, raw=True):
+        counts += np.bincount(bucket, minlength=TRIGRAMS)
+    met = np.flatnonzero(counts)
+    return (np.append(met, measure_buckets([measured])[0]).astype(np.int32),
+            np.append(counts[met] * (10 / max(counts.sum(), 1)), np.ones(len(_MEASURES))).astype(np.float32))
+
+
+def weighed(texts: list[str], measured: list[tuple[float, ...]], weight: np.ndarray) -> np.ndarray:
+    """Sum of weight times value over the features of each text, some characters at a time."""
+    total, size = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    for owner, bucket in hashed(texts, (3,), BITS - 1, raw=True):
+        total += np.bincount(owner, weight[bucket], minlength=len(texts))
+        size += np.bincount(owner, minlength=len(texts))
+    return total * (10 / np.maximum(size, 1)) + weight[measure_buckets(measured)].sum(axis=1)
 
 
 def _pattern_rows(batches):
@@ -115,31 +129,36 @@ def _sampled(batches):
     for batch in batches:
         texts = [t or "" for t in batch.column("body").to_pylist()]
         measured = list(map(measures, texts))
-        owner, bucket, value = features(texts, measured)
-        key, place = np.unique(owner.astype(np.int64) << BITS | bucket, return_inverse=True)
-        total = np.bincount(place, value, minlength=len(key)).astype(np.float32)
-        cuts = np.searchsorted(key >> BITS, np.arange(1, len(texts)))
+        made = [features(t, m) for t, m in zip(texts, measured)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(map(fired, measured), pa.string()),
-             pa.array(np.split((key & ((1 << BITS) - 1)).astype(np.int32), cuts), pa.list_(pa.int32())),
-             pa.array(np.split(total, cuts), pa.list_(pa.float32()))], ["votes", "buckets", "values"])
-
-
-def fit_scorer(owner, bucket, value, soft) -> tuple[np.ndarray, float]:
-    """Weights per bucket and intercept for soft labels: full-batch Adam on the logistic loss with decay."""
-    used, column = np.unique(bucket, return_inverse=True)
-    weight, bias = np.zeros(len(used)), 0.0
-    m, s = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
-    for step in range(1, STEPS + 1):
-        error = (sigmoid(bias + np.bincount(owner, value * weight[column], minlength=len(soft))) - soft) / len(soft)
-        gradient = np.append(np.bincount(column, value * error[owner], minlength=len(used)) + DECAY * weight, error.sum())
-        m, s = 0.9 * m + 0.1 * gradient, 0.999 * s + 0.001 * gradient ** 2
-        move = RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(s / (1 - 0.999 ** step)) + 1e-9)
-        weight -= move[:-1]
-        bias -= float(move[-1])
-    out = np.zeros(1 << BITS, np.float32)
-    out[used] = weight
-    return out, bias
+            [batch.column("place"), pa.array(map(fired, measured), pa.string()),
+             pa.array([x for x, _ in made], pa.list_(pa.int32())), pa.array([x for _, x in made], pa.list_(pa.float32()))],
+            ["place", "votes", "buckets", "values"])
+
+
+def fit_scorer(drawn: pa.Table, soft: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights per bucket and intercept for soft labels: Adam on the logistic loss with decay, some documents a step.
+
+    ``drawn`` has one row per document: its ``buckets`` and their ``values``. Only one step's documents are unpacked.
+    """
+    weight = np.zeros((1 << BITS) + 1, np.float32)
+    m, s = np.zeros_like(weight), np.zeros_like(weight)
+    step = 0
+    for _ in range(EPOCHS):
+        for start in range(0, drawn.num_rows, STEP_DOCUMENTS):
+            lists = [drawn[c].slice(start, STEP_DOCUMENTS).combine_chunks() for c in ("buckets", "values")]
+            bucket, value = (x.flatten().to_numpy() for x in lists)
+            wanted = soft[start:start + STEP_DOCUMENTS]
+            owner = np.repeat(np.arange(len(wanted)), lists[0].value_lengths().to_numpy())
+            made = np.bincount(owner, value * weight[bucket], minlength=len(wanted))
+            error = (sigmoid(weight[-1] + made) - wanted) / len(wanted)
+            gradient = DECAY * weight
+            gradient[:-1] += np.bincount(bucket, value * error[owner], minlength=1 << BITS)
+            gradient[-1] = error.sum()
+            step += 1
+            m, s = 0.9 * m + 0.1 * gradient, 0.999 * s + 0.001 * gradient ** 2
+            weight -= RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(s / (1 - 0.999 ** step)) + 1e-9)
+    return weight[:-1], float(weight[-1])
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -158,18 +177,13 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     good, _, _ = expectation_maximisation(counted["votes"].tolist(), counted["n"].to_numpy())
     posterior = dict(zip(counted["votes"], good.tolist()))
 
-    # The hash threshold that keeps about the bound, then the bound itself, by the same hash.
     place = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)))
-    share = min(1.0, 1.5 * MOST_TRAINED / max(int(counted["n"].sum()), 1))
+    share = min(1.0, MOST_TRAINED / 1.2 / max(int(counted["n"].sum()), 1))
     sample = rows.where(F.pmod(place, F.lit(1 << 20)) < int(share * (1 << 20))).select("body", place.alias("place"))
-    drawn = sample.mapInArrow(_sampled, "votes string, buckets array<int>, values array<float>").limit(MOST_TRAINED).toArrow()
-    sizes = np.array([len(x) for x in drawn["buckets"]], np.int64)
-    if len(sizes):
-        flat = [drawn[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("buckets", "values")]
-        soft = np.array([posterior[v] for v in drawn["votes"].to_pylist()])
-        model = fit_scorer(np.repeat(np.arange(len(sizes)), sizes), flat[0], flat[1].astype(float), soft)
-    else:
-        model = np.zeros(1 << BITS, np.float32), 0.0
+    drawn = sample.mapInArrow(_sampled, "place long, votes string, buckets array<int>, values array<float>").limit(
+        MOST_TRAINED).toArrow().sort_by("place")
+    soft = np.array([posterior[v] for v in drawn["votes"].to_pylist()])
+    model = fit_scorer(drawn, soft)
     shared = spark.sparkContext.broadcast((posterior, *model))
 
     def scores(batches):
@@ -178,8 +192,7 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
             texts = [t or "" for t in batch.column("body").to_pylist()]
             measured = list(map(measures, texts))
             cast = list(map(fired, measured))
-            owner, bucket, value = features(texts, measured)
-            made = bias + np.bincount(owner, value * weight[bucket], minlength=len(texts))
+            made = bias + weighed(texts, measured, weight)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(cast, pa.string()),
                  pa.array([posterior[v] for v in cast], pa.float64()), pa.array(sigmoid(made), pa.float64())],
