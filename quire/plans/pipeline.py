@@ -39,128 +39,112 @@ class _SpecLoader(yaml.SafeLoader):
         return super().construct_mapping(node, deep)
 
 
-# ---- shapes -------------------------------------------------------------------
-def _shape(value: object) -> str:
-    if value is None:
-        return "null"
-    if isinstance(value, Mapping):
-        return "map"
-    return "list" if isinstance(value, (list, tuple)) else "scalar"
-
-
-def _required(spec: Mapping, key: str) -> str:
-    if spec.get(key) is None:
-        raise ValueError(f"missing required '{key}'")
-    text = _optional(spec, key, "")
-    if not text:
-        raise ValueError(f"'{key}' must not be empty")
-    return text
-
-
-def _optional(spec: Mapping, key: str, default: str) -> str:
-    value = spec.get(key)
-    if value is None:
-        return default
-    if _shape(value) != "scalar":
-        raise ValueError(f"'{key}' must be a scalar (got a {_shape(value)})")
-    return str(value)
-
-
-def _boolean(spec: Mapping, key: str, default: bool) -> bool:
-    value = spec.get(key)
-    if value is None or isinstance(value, bool):
-        return default if value is None else value
-    parsed = parse_bool(str(value)) if _shape(value) == "scalar" else None
-    if parsed is None:
-        raise ValueError(f"'{key}' must be true or false (got {value!r})")
-    return parsed
-
-
-def _name_map(kind: str, spec: Mapping, key: str) -> dict[str, str]:
-    value = spec.get(key)
-    if value is None:
-        raise ValueError(f"'{kind}.{key}' is required")
-    if not isinstance(value, Mapping) or not value:
-        raise ValueError(f"'{kind}.{key}' must be a non-empty map (got a {_shape(value)})")
-    for name, entry in value.items():
-        if _shape(name) not in ("scalar", "null") or _shape(entry) not in ("scalar", "null"):
-            raise ValueError(f"'{kind}.{key}' must map names to scalars (see {name!r})")
-    return {_plain(name): _plain(entry) for name, entry in value.items()}
-
-
-def _name_list(kind: str, spec: Mapping, key: str) -> list[str]:
-    value = spec.get(key)
-    if value is None:
-        raise ValueError(f"'{kind}.{key}' is required")
-    if _shape(value) != "list":
-        raise ValueError(f"'{kind}.{key}' must be a list (got a {_shape(value)}); write [name] for one entry")
-    if not value or any(_shape(v) not in ("scalar", "null") for v in value):
-        raise ValueError(f"'{kind}.{key}' must hold at least one entry, all scalars")
-    return [_plain(v) for v in value]
-
-
-def _clauses(spec: Mapping) -> list[Clause]:
-    value = spec.get("where")
-    if value is None:
-        raise ValueError("filter.where is required")
-    if _shape(value) != "list":
-        raise ValueError(f"filter.where must be a list of clauses (got a {_shape(value)})")
-    if not value or any(not isinstance(v, Mapping) for v in value):
-        raise ValueError("filter.where must hold at least one clause, all maps")
-    return [Clause(_plain(v.get("col")), _plain(v.get("op")), v.get("value")) for v in value]
-
-
-def _plain(value: object) -> str:
+# ---- what a spec may hold -------------------------------------------------------
+@dataclass(frozen=True)
+class Shape:
+    """A kind of value: how it is called, which values are of it, what becomes of one."""
+
+    wanted: str
+    fits: Callable[[object], bool]
+    made: Callable[[object], object]
+
+
+def _cell(value: object) -> bool:
+    return not isinstance(value, (Mapping, list, tuple))
+
+
+def _text(value: object) -> str:
     return "" if value is None else str(value)
 
 
-# ---- types a spec may name; more can be added by API users ---------------------
-def _csv_source(spec: Mapping) -> CsvSource:
-    _optional(spec, "encoding", "utf8")  # accepted, files carry their own
-    return CsvSource(
-        _required(spec, "path"), _boolean(spec, "has_header", True), _optional(spec, "separator", ","))
+def _all_of(kind: type | tuple, least: int, part: Callable[[object], bool]) -> Callable[[object], bool]:
+    """Whether a value is a collection of that kind whose parts (keys and values of a map) all pass."""
+    def fits(value: object) -> bool:
+        if not isinstance(value, kind) or len(value) < least:
+            return False
+        return all(map(part, [*value, *value.values()] if isinstance(value, Mapping) else value))
+
+    return fits
+
+
+def _clause(parts: Mapping) -> Clause:
+    return Clause(_text(parts.get("col")), _text(parts.get("op")), parts.get("value"))
+
+
+TEXT = Shape("a text", _cell, _text)
+NAME = Shape("a text that is not empty", lambda v: _cell(v) and _text(v) != "", _text)
+FLAG = Shape("true or false", lambda v: _cell(v) and parse_bool(_text(v)) is not None, lambda v: parse_bool(_text(v)))
+NAMES = Shape("a list of names", _all_of((list, tuple), 1, _cell), lambda v: [_text(x) for x in v])
+PAIRS = Shape("a map of names to texts", _all_of(Mapping, 1, _cell), lambda v: {_text(k): _text(x) for k, x in v.items()})
+CLAUSES = Shape("a list of maps", _all_of((list, tuple), 1, lambda x: isinstance(x, Mapping)), lambda v: [_clause(x) for x in v])
+PART = Shape("a map with a type", lambda v: isinstance(v, Mapping) and "type" in v, dict)
+PARTS = Shape("a list of maps with a type", _all_of((list, tuple), 0, PART.fits), list)
+
+_NEEDED = object()
+
+
+def checked(what: str, spec: Mapping, keys: Mapping[str, tuple[Shape, object]]) -> dict[str, object]:
+    """The named keys of a spec in their final form; an absent or null key has its default, if it has one."""
+    found = {}
+    for key, (shape, default) in keys.items():
+        value = spec.get(key)
+        if value is None and default is not _NEEDED:
+            found[key] = default
+        elif value is not None and shape.fits(value):
+            found[key] = shape.made(value)
+        else:
+            raise ValueError(f"{what}: {key} should be {shape.wanted}, not {value!r}")
+    return found
+
+
+def _needs(shape: Shape) -> tuple[Shape, object]:
+    return shape, _NEEDED
+
 
+_PATH = {"path": _needs(NAME)}
+_JDBC = {"query": _needs(NAME)} | {key: (TEXT, "") for key in (
+    "connection_string", "connection_string_env", "partition_column", "lower_bound", "upper_bound", "num_partitions")}
+_TABLE = _PATH | {"table": (TEXT, "Extract"), "mode": (TEXT, "replace")}
 
-def _jdbc_source(spec: Mapping) -> JdbcSource:
-    keys = (
-        "connection_string", "connection_string_env",
-        "partition_column", "lower_bound", "upper_bound", "num_partitions",
-    )
-    return JdbcSource(_required(spec, "query"), **{k: _optional(spec, k, "") for k in keys})
 
+def _type(make: Callable, keys: Mapping[str, tuple[Shape, object]], unused: tuple[str, ...] = ()) -> Callable:
+    """Builder of a type from the keys it reads; ``unused`` ones may be given and change nothing."""
+    def build(spec: Mapping):
+        given = checked(str(spec.get("type")), spec, {**keys, **{key: (TEXT, "") for key in unused}})
+        return make(**{key: value for key, value in given.items() if key not in unused})
 
-def _table_sink(spec: Mapping) -> TableSink:
-    return TableSink(
-        _required(spec, "path"), _optional(spec, "table", "Extract"), _optional(spec, "mode", "replace"))
+    return build
 
 
+# Types a spec may name; API users can add their own, as functions of the spec.
 SOURCES: dict[str, Callable[[Mapping], Source]] = {
-    "csv": _csv_source,
-    "parquet": lambda spec: ParquetSource(_required(spec, "path")),
-    "jdbc": _jdbc_source,
-    "mssql": _jdbc_source,
+    "csv": _type(
+        CsvSource, _PATH | {"has_header": (FLAG, True), "separator": (TEXT, ","), "multiline": (FLAG, True)},
+        unused=("encoding",)),
+    "parquet": _type(ParquetSource, _PATH),
+    "jdbc": _type(JdbcSource, _JDBC),
+    "mssql": _type(JdbcSource, _JDBC),
 }
 TRANSFORMS: dict[str, Callable[[Mapping], Transform]] = {
-    "cast": lambda spec: Cast(_name_map("cast", spec, "columns")),
-    "rename": lambda spec: Rename(_name_map("rename", spec, "columns")),
-    "select": lambda spec: Select(_name_list("select", spec, "columns")),
-    "drop": lambda spec: Drop(_name_list("drop", spec, "columns")),
-    "filter": lambda spec: Filter(_clauses(spec)),
+    "cast": _type(Cast, {"columns": _needs(PAIRS)}),
+    "rename": _type(Rename, {"columns": _needs(PAIRS)}),
+    "select": _type(Select, {"columns": _needs(NAMES)}),
+    "drop": _type(Drop, {"columns": _needs(NAMES)}),
+    "filter": _type(Filter, {"where": _needs(CLAUSES)}),
 }
 SINKS: dict[str, Callable[[Mapping], Sink]] = {
-    "csv": lambda spec: CsvSink(_required(spec, "path"), _optional(spec, "separator", ",")),
-    "parquet": lambda spec: ParquetSink(_required(spec, "path")),
-    "table": _table_sink,
-    "hyper": _table_sink,  # name of the table sink in existing specs
+    "csv": _type(CsvSink, _PATH | {"separator": (TEXT, ",")}),
+    "parquet": _type(ParquetSink, _PATH),
+    "table": _type(TableSink, _TABLE),
+    "hyper": _type(TableSink, _TABLE),  # name of the table sink in existing specs
 }
+PIPELINE = {"name": _needs(NAME), "source": _needs(PART), "sink": _needs(PART), "transforms": (PARTS, [])}
 
 
-def _build(registry: Mapping[str, Callable], what: str, spec: object):
-    if not isinstance(spec, Mapping):
-        raise ValueError(f"a {what} must be a map (got a {_shape(spec)})")
-    kind = _plain(spec.get("type"))
+def _build(registry: Mapping[str, Callable], what: str, spec: Mapping):
+    kind = _text(spec["type"])
     if kind not in registry:
-        raise ValueError(f"unknown {what} type '{kind}' (supported: {', '.join(registry)})")
+        raise ValueError(f"{what}: there is no type {kind!r}, only {', '.join(registry)}")
     return registry[kind](spec)
 
 
@@ -190,20 +174,15 @@ class Pipeline:
             raise ValueError(f"not valid YAML: {problem}") from problem
         if not isinstance(spec, Mapping):
             raise ValueError("a pipeline must be a map")
-        unknown = set(spec) - {"name", "source", "transforms", "sink"}
+        unknown = set(spec) - set(PIPELINE)
         if unknown:
             raise ValueError(f"unknown keys: {', '.join(sorted(map(str, unknown)))}")
-        for key in ("name", "source", "sink"):
-            if not spec.get(key):
-                raise ValueError(f"pipeline needs '{key}'")
-        steps = spec.get("transforms") or []
-        if _shape(steps) != "list":
-            raise ValueError("'transforms' must be a list")
+        parts = checked("pipeline", spec, PIPELINE)
         return cls(
-            _required(spec, "name"),
-            _build(SOURCES, "source", spec["source"]),
-            _build(SINKS, "sink", spec["sink"]),
-            [_build(TRANSFORMS, "transform", step) for step in steps],
+            parts["name"],
+            _build(SOURCES, "source", parts["source"]),
+            _build(SINKS, "sink", parts["sink"]),
+            [_build(TRANSFORMS, "transform", step) for step in parts["transforms"]],
         )
 
     @classmethod

@@ -7,9 +7,6 @@ from dataclasses import dataclass
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from quire.session import hadoop_path
 
 
 class Source(Protocol):
@@ -23,42 +20,29 @@ class Source(Protocol):
 class CsvSource:
     """Delimited text; every column is text and an empty cell is empty text.
 
-    A row whose number of fields differs from the header fails the run.
+    A row whose number of fields differs from the header fails the run. With
+    ``multiline`` a quoted field may hold line ends, and each file is one task;
+    without it a row is a line, and files are split. Sizes decide nothing. In a
+    file whose lines end in CR LF, a quoted CR LF comes back as LF.
     """
 
     path: str
     has_header: bool = True
     separator: str = ","
+    multiline: bool = True
     counts_cheaply = False
 
     def read(self, spark: SparkSession) -> DataFrame:
         rows = (
             spark.read.option("header", self.has_header).option("sep", self.separator)
             .option("inferSchema", False).option("escape", '"').option("mode", "FAILFAST")
-            .option("multiLine", self._needs_whole_files(spark))
+            .option("multiLine", self.multiline)
             .csv(self.path)
         )
         if not self.has_header:
             rows = rows.toDF(*[f"Column{i + 1}" for i in range(len(rows.columns))])
         return rows.na.fill("")
 
-    def _needs_whole_files(self, spark: SparkSession) -> bool:
-        """Whether a quoted field may span lines, so that files cannot be split.
-
-        Small files are read whole anyway. For large ones a scan of the text
-        decides: with an even number of quotes on every line no field spans two.
-        """
-        path, fs = hadoop_path(spark, self.path)
-        found = fs.globStatus(path) or []
-        sizes = [fs.getContentSummary(status.getPath()).getLength() for status in found]
-        split_size = spark.conf.get("spark.sql.files.maxPartitionBytes").lower()
-        limit = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(split_size)
-        if sum(sizes) <= limit:
-            return True
-        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-        odd = spark.read.text(self.path).filter(quotes % 2 == 1)
-        return bool(odd.limit(1).count())
-
 
 @dataclass(frozen=True)
 class ParquetSource:

@@ -166,19 +166,26 @@ def test_csv_rows_of_wrong_width_fail(spark, tmp_path):
         CsvSource(str(tmp_path / "x.csv")).read(spark).collect()
 
 
-def test_large_csv_is_split_only_where_that_is_exact(spark, tmp_path):
-    plain, quoted = tmp_path / "plain.csv", tmp_path / "quoted.csv"
+def test_csv_is_split_only_where_the_spec_allows_it(spark, tmp_path):
+    plain = tmp_path / "plain.csv"
     plain.write_text("a,b\n" + '"x ""y""",1\n' * 2000)
-    quoted.write_text("a,b\n" + '"two\nlines",1\n' * 2000)
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
     try:
-        assert not CsvSource(str(plain))._needs_whole_files(spark)
-        assert CsvSource(str(quoted))._needs_whole_files(spark)
-        for path in (plain, quoted):
-            assert CsvSource(str(path)).read(spark).count() == 2000
+        for multiline in (True, False):
+            rows = CsvSource(str(plain), multiline=multiline).read(spark)
+            assert rows.count() == 2000 and (rows.rdd.getNumPartitions() == 1) == multiline
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert validate(spec("{type: csv, path: a, multiline: 'false'}")).source.multiline is False
+
+
+# Spark's reader takes the line end of the first line for every one, and shows it as a line feed.
+@pytest.mark.parametrize("end,first", [("\n", "1\r\n2"), ("\r\n", "1\n2")])
+def test_csv_line_ends_in_quotes(spark, tmp_path, end, first):
+    (tmp_path / "x.csv").write_bytes(f'a,b{end}"1\r\n2",x{end}"3\n4",y{end}'.encode())
+    rows = CsvSource(str(tmp_path / "x.csv")).read(spark).collect()
+    assert [tuple(r) for r in rows] == [(first, "x"), ("3\n4", "y")]
 
 
 def test_sinks_widen(spark, tmp_path):
