@@ -280,17 +280,13 @@ def norm_duplicates(spark, sf_dir):
 
 @query
 def diff_lines(spark, sf_dir):
-    forms = [
-        normalize.canonical_forms(sample_estate.files(documents(spark, sf_dir, v)))
+    a, b = (
+        _stored(spark, sf_dir, f"forms-{v}", lambda v=v: normalize.canonical_forms(
+            sample_estate.files(documents(spark, sf_dir, v))))
         for v in ("a", "b")
-    ]
-    lines = F.slice(F.split("diff", "\n"), 3, F.length("diff"))
-    marks = F.transform(F.filter(lines, lambda x: x != ""), lambda x: x.substr(1, 1))
-    return normalize.diff_lines(*forms).select(
-        "a_path",
-        F.size(F.filter(marks, lambda m: m != "+")).alias("old_lines"),
-        F.size(F.filter(marks, lambda m: m != "-")).alias("new_lines"),
     )
+    return normalize.diff_lines(a, b).groupBy("path", "kind").agg(
+        F.sum("copies").alias("lines"), F.count("*").alias("different"))
 
 
 @query

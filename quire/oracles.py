@@ -331,27 +331,28 @@ SELECT copies, count(*) AS groups FROM (SELECT 2 * count(*) AS copies FROM doc G
 """, _documents(False))
 
 
-def _line_count(later: bool) -> str:
-    """CTE ``lines_{a|b} (path, n)``: lines of the canonical text of a document."""
-    kept = "s % 5 <> 0" if later else "true"
-    return f"""
-lines_{'b' if later else 'a'} AS (
-  SELECT wb.path,
-    4 + coalesce(1 + n_ds, 0) + 2 + n_sheets
-    + CASE WHEN o % 3 = 0 THEN 1 ELSE 6 + CASE WHEN n_zones = 0 THEN 1 ELSE 2 + n_zones END END AS n
-  FROM wb
-  LEFT JOIN (SELECT path, sum(3 + n_plain + 3 * n_calc) AS n_ds FROM (
-      SELECT path, s, count(*) AS n_plain, count(*) FILTER (p % 4 = 0) AS n_calc
-      FROM doc_rows WHERE {kept} GROUP BY 1, 2) GROUP BY path) d ON d.path = wb.path
-  JOIN (SELECT path, sum(6 + CASE WHEN s % 4 = 0 THEN 1 ELSE 3 END) AS n_sheets,
-      count(*) FILTER (s % 2 = 0) AS n_zones FROM ds GROUP BY path) w ON w.path = wb.path
+# Text of the canonical lines that go and come. Lines of equal text in one document are counted together.
+_LINES = """
+kept AS (SELECT path, bool_or(s % 5 <> 0) AS any_kept FROM ds GROUP BY path),
+moved AS (
+  SELECT path, 'removed' AS kind, 'open' || s AS line FROM ds WHERE s % 5 = 0
+  UNION ALL SELECT path, 'removed', 'connection' || coalesce(server, '') || coalesce(dbname, '') || has_r || coalesce(filename, '')
+    FROM ds WHERE s % 5 = 0
+  UNION ALL SELECT path, 'removed', 'close' FROM ds WHERE s % 5 = 0
+  UNION ALL SELECT path, 'removed', 'plain' || p FROM plain WHERE s % 5 = 0 OR p % 6 = 0
+  UNION ALL SELECT path, 'added', 'plain' || p FROM plain WHERE s % 5 <> 0 AND p % 6 = 0
+  UNION ALL SELECT path, 'removed', unnest(['calc' || p, formula, 'end']) FROM calc WHERE s % 5 = 0
+  UNION ALL SELECT path, 'removed', formula FROM calc WHERE s % 5 <> 0 AND p % 20 = 16
+  UNION ALL SELECT path, 'added', formula FROM calc WHERE s % 5 <> 0 AND p % 20 = 16
+  UNION ALL SELECT path, unnest(['removed', 'added']), 'sheet' || s FROM ds WHERE s % 9 = 0
+  UNION ALL SELECT path, unnest(['removed', 'added']), 'zone' || s FROM ds WHERE s % 9 = 0 AND s % 2 = 0 AND o % 3 <> 0
+  UNION ALL SELECT path, 'removed', unnest(['sources', 'end of sources']) FROM kept WHERE NOT any_kept
+  UNION ALL SELECT path, 'added', 'no sources' FROM kept WHERE NOT any_kept
 )"""
 
-
 ORACLES["diff_lines"] = _on_estate("""
-SELECT a_path, CAST(a.n AS INTEGER) AS old_lines, CAST(b.n AS INTEGER) AS new_lines
-FROM (SELECT DISTINCT a_path FROM changes) JOIN lines_a a ON a.path = a_path JOIN lines_b b ON b.path = a_path
-""", _CHANGES + "," + _line_count(False) + "," + _line_count(True))
+SELECT path, kind, count(*) AS lines, count(DISTINCT line) AS different FROM moved GROUP BY path, kind
+""", _LINES)
 
 ORACLES["conformance"] = _on_estate("""
 SELECT count(*) AS documents, count(*) FILTER (version IS NOT NULL AND o % 50 <> 0) AS valid,

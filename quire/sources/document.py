@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from typing import Any
+from typing import Any, BinaryIO
 from xml.parsers import expat
 
 from quire.sources.package import DocumentError, read_document
@@ -31,8 +31,8 @@ def extension(path: str) -> str:
     return "." + name.rsplit(".", 1)[1].lower() if "." in name else ""
 
 
-def document_bytes(path: str, content: bytes) -> bytes:
-    """XML bytes of a plain or packaged workbook, chosen by file extension."""
+def document_bytes(path: str, content: bytes | BinaryIO) -> bytes | BinaryIO:
+    """XML of a plain or packaged workbook, chosen by file extension; an open plain file comes back as it is."""
     kind = extension(path)
     if kind == ".twb":
         return content
@@ -75,7 +75,7 @@ def _distinct(names: list) -> bool:
     return len(set(names)) == len(names)
 
 
-def parse_document(xml: bytes) -> Document:
+def parse_document(xml: bytes | BinaryIO) -> Document:
     """Record of one document; raises ``DocumentError`` if it is malformed."""
     reader = _Reader()
     parser = expat.ParserCreate(namespace_separator=_NS)
@@ -84,7 +84,10 @@ def parse_document(xml: bytes) -> Document:
     parser.StartElementHandler = reader.start
     parser.EndElementHandler = reader.end
     try:
-        parser.Parse(xml, True)
+        if isinstance(xml, bytes):
+            parser.Parse(xml, True)
+        else:
+            parser.ParseFile(xml)
     except expat.ExpatError as problem:
         raise DocumentError(str(problem)) from problem
     return reader.document

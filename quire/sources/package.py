@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from typing import BinaryIO
 
 # Limits a package must keep to be opened.
 MAX_UNCOMPRESSED_BYTES = 100 * 1024 * 1024
@@ -16,9 +17,9 @@ class DocumentError(Exception):
     """The file cannot be read as a workbook document."""
 
 
-def read_document(content: bytes, label: str = "package") -> bytes:
-    """Bytes of the single ``.twb`` member, refusing oversized or bomb-like ones."""
-    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+def read_document(content: bytes | BinaryIO, label: str = "package") -> bytes:
+    """Bytes of the single ``.twb`` member of a package (its bytes or an open file), refusing oversized or bomb-like ones."""
+    with zipfile.ZipFile(io.BytesIO(content) if isinstance(content, bytes) else content) as archive:
         documents = [m for m in archive.infolist() if m.filename.lower().endswith(".twb")]
         if not documents:
             raise DocumentError(f"{label} holds no workbook document")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import accumulate, chain
+from urllib.parse import unquote, urlsplit
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -33,9 +36,9 @@ def find_workbooks(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-# Larger files are reported, not read: a row cannot hold more than 2 GiB, and
-# the error for that would end the job.
-MAX_FILE_BYTES = 1 << 30
+# A row cannot hold more than 2 GiB. Larger files travel without their content
+# and are opened by path where they are parsed.
+MAX_ROW_BYTES = 1 << 30
 
 
 def with_file_facts(files: DataFrame) -> DataFrame:
@@ -43,9 +46,9 @@ def with_file_facts(files: DataFrame) -> DataFrame:
     mtime = (F.unix_millis("modificationTime") / 1000.0).alias("mtime")
     size = F.col("length").alias("size_bytes")
     # Both size conditions are answered from the file listing.
-    fitting = files.filter(F.col("length") <= MAX_FILE_BYTES).select(
+    fitting = files.filter(F.col("length") <= MAX_ROW_BYTES).select(
         "path", F.sha2("content", 256).alias("sha256"), mtime, size, "content")
-    oversized = files.filter(F.col("length") > MAX_FILE_BYTES).select(
+    oversized = files.filter(F.col("length") > MAX_ROW_BYTES).select(
         "path", F.lit(None).cast("string").alias("sha256"), mtime, size,
         F.lit(None).cast("binary").alias("content"))
     return fitting.unionByName(oversized)
@@ -55,7 +58,8 @@ def parse_workbooks(files: DataFrame) -> DataFrame:
     """One nested row per file; a file that cannot be read only fills ``error``.
 
     ``files`` needs ``path, content``; digest, time and size are taken over
-    where present and derived from the content where not.
+    where present and derived from the content where not. A row without content
+    stands for a file too large for a row: it is read from its path.
     """
     for column, fallback in (
         ("sha256", F.sha2("content", 256)),
@@ -91,6 +95,8 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for i in range(batch.num_rows):
             *known, content = (column[i].as_py() for column in columns)
             document, error = read_workbook(known[0], content)
+            if content is None:
+                known[1] = file_digest(known[0])
             facts.append(tuple(known))
             documents.append(document)
             errors.append(error)
@@ -102,12 +108,33 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield _to_batch(facts, documents, errors)
 
 
+def opened(path: str) -> pa.NativeFile:
+    """A file as Spark names it, open at its start and seekable."""
+    if path.startswith("file:/"):
+        return pa.OSFile(unquote(urlsplit(path).path))
+    system, place = fs.FileSystem.from_uri(path)
+    return system.open_input_file(place)
+
+
+def file_digest(path: str) -> str | None:
+    """SHA-256 of a file read piece by piece, null if it cannot be read."""
+    try:
+        with opened(path) as stream:
+            digest = hashlib.sha256()
+            while piece := stream.read(1 << 20):
+                digest.update(piece)
+            return digest.hexdigest()
+    except OSError:
+        return None
+
+
 def read_workbook(path: str, content: bytes | None) -> tuple[Document, tuple[str, str] | None]:
     """The document and no error, or an empty document and the reason; never raises."""
-    if content is None:
-        return Document(), ("parse", f"not read: larger than {MAX_FILE_BYTES} bytes")
     try:
-        return parse_document(document_bytes(path, content)), None
+        if content is not None:
+            return parse_document(document_bytes(path, content)), None
+        with opened(path) as stream:
+            return parse_document(document_bytes(path, stream)), None
     except DocumentError as problem:
         return Document(), ("parse", str(problem))
     except Exception as problem:  # one bad file must not fail the scan

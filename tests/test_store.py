@@ -1,4 +1,5 @@
 import os
+import zipfile
 
 import pytest
 from conftest import CLEAN, column, source, workbook
@@ -106,11 +107,17 @@ def test_shared_folder_is_the_named_one(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
 
-def test_oversized_files_are_reported_not_read(spark, tree, tmp_path, monkeypatch):
-    from quire.sources import workbooks
-
-    monkeypatch.setattr(workbooks, "MAX_FILE_BYTES", 300)
+def test_a_package_beyond_what_a_row_holds_is_read(spark, tmp_path):
+    root = tmp_path / "large files"
+    root.mkdir()
+    # A sparse file: zip directories are found from the end, whatever stands before.
+    with open(root / "big.twbx", "wb") as out:
+        out.truncate((1 << 30) + 4096)
+        out.seek(0, os.SEEK_END)
+        with zipfile.ZipFile(out, "w") as archive:
+            archive.writestr("book.twb", CLEAN)
     store = EstateStore(spark, str(tmp_path / "store"))
-    result = scan_tree(spark, str(tree), store)
-    assert (result.scanned, result.indexed) == (4, 1)
-    assert "larger than" in {os.path.basename(r.path): r.message for r in result.errors.collect()}["a.twb"]
+    result = scan_tree(spark, str(root), store)
+    assert (result.scanned, result.indexed) == (1, 1)
+    row = store.load().select("sha256", "size_bytes", F.size("datasources").alias("n")).first()
+    assert row.size_bytes > 1 << 30 and len(row.sha256) == 64 and row.n == 1
