@@ -137,16 +137,17 @@ def _broken_references(estate: DataFrame, config: GovernanceConfig) -> DataFrame
         f["datasource"].alias("datasource"), f["name"].alias("name"),
         F.transform(column_references(f["calc_formula"]), lambda r: key(f["ds_pos"], r)).alias("refs"),
     ))
-    # Hash-based set difference inside the row; workbooks without a broken
-    # reference end here. A reference to the field itself is always known.
+    # Hash-based set difference inside the row. A reference to the field itself is always known. Outer explode, then
+    # drop the nulls: a filter on the difference would reach the scan and extract all references a second time.
+    broken = F.flatten(F.transform("calcs", lambda c: F.transform(
+        F.array_intersect(c["refs"], F.col("broken")),
+        lambda r: F.struct(c["datasource"].alias("datasource"), c["name"].alias("name"), r.alias("key")))))
     rows = (
         readable(estate).select("path", known.alias("known"), with_refs.alias("calcs"))
         .select("path", "calcs", F.array_except(F.flatten("calcs.refs"), "known").alias("broken"))
-        .filter(F.size("broken") > 0)
-        .select("path", "broken", F.explode("calcs").alias("c"))
-        .select("path", "c.datasource", "c.name",
-                F.explode(F.array_intersect("c.refs", "broken")).alias("broken_key"))
-        .withColumn("ref", F.regexp_replace("broken_key", r"^\d+\|", ""))
+        .select("path", F.explode_outer(broken).alias("hit"))
+        .filter(F.col("hit").isNotNull())
+        .select("path", "hit.datasource", "hit.name", F.regexp_replace("hit.key", r"^\d+\|", "").alias("ref"))
     )
     return _set_findings(
         rows,

@@ -101,33 +101,39 @@ def _head(meta: RuleMeta) -> list[Column]:
     ]
 
 
-def _hit_columns(meta: RuleMeta, hit: Hit) -> list[Column]:
-    return [
-        *_head(meta),
-        hit.message.alias("message"),
-        F.col("path").alias("workbook_path"),
-        hit.location.alias("location"),
-        F.lit(hit.remediation).cast("string").alias("remediation"),
-        _properties(hit.properties).alias("properties"),
-    ]
+def _by_rule(hits: Sequence[Hit], value: Callable[[Hit], Column]) -> Column:
+    """The value of the hit whose place in ``hits`` the column ``hit`` holds."""
+    chosen = F.when(F.col("hit") == 0, value(hits[0]))
+    for place, hit in enumerate(hits[1:], 1):
+        chosen = chosen.when(F.col("hit") == place, value(hit))
+    return chosen
 
 
 def _row_findings(estate: DataFrame, grain: str, rules: Sequence[Rule], config: GovernanceConfig) -> DataFrame:
-    hits = [(rule.meta, hit) for rule in rules for hit in rule.hits(config)]
-    rows = _rows(estate, grain, rules, config)
-    if len(hits) == 1:
-        meta, hit = hits[0]
-        return rows.filter(hit.when).select(_hit_columns(meta, hit))
-    # One pass for all of them: each row yields the findings of the rules it breaks.
-    found = F.array_compact(F.array(*[
-        F.when(hit.when, F.struct(_hit_columns(meta, hit))) for meta, hit in hits
-    ]))
+    found = [(rule.meta, hit) for rule in rules for hit in rule.hits(config)]
+    metas, hits = [meta for meta, _ in found], [hit for _, hit in found]
+    # One pass for all of them: each row yields the numbers of the hits it scores. Texts are made from these numbers
+    # only, above the explode, so that Catalyst drops those that nothing asks for.
+    numbers = F.array_compact(F.array(*[F.when(hit.when, F.lit(place)) for place, hit in enumerate(hits)]))
+
+    def told(field: str) -> Column:
+        texts = {place: getattr(meta, field) for place, meta in enumerate(metas)}
+        return F.element_at(F.array(*[F.lit(texts[place]) for place in sorted(texts)]), F.col("hit") + 1).alias(field)
+
     # Outer, then drop the nulls: the plain form would add a filter that
     # evaluates every condition a second time.
     return (
-        rows.select(F.explode_outer(found).alias("f"))
-        .filter(F.col("f").isNotNull())
-        .select("f.*")
+        _rows(estate, grain, rules, config)
+        .select("*", F.explode_outer(numbers).alias("hit"))
+        .filter(F.col("hit").isNotNull())
+        .select(
+            told("id").alias("rule_id"), told("severity"), told("title"),
+            _by_rule(hits, lambda hit: hit.message).alias("message"),
+            F.col("path").alias("workbook_path"),
+            _by_rule(hits, lambda hit: hit.location).alias("location"),
+            _by_rule(hits, lambda hit: F.lit(hit.remediation).cast("string")).alias("remediation"),
+            _by_rule(hits, lambda hit: _properties(hit.properties)).alias("properties"),
+        )
     )
 
 
