@@ -178,12 +178,13 @@ def zip_ingest(spark, sf_dir):
 
 
 # ---- audit ----------------------------------------------------------------------
-_FLAT = ["rule_id", "severity", "workbook_path", "location"]
+_FLAT = ["rule_id", "severity", "title", "message", "workbook_path", "location", "remediation"]
 
 
 def _flat(findings: DataFrame) -> DataFrame:
-    values = F.map_values("properties")
-    return findings.select(*_FLAT, F.coalesce(F.get(values, F.lit(0)), F.lit("")).alias("property"))
+    """Whole findings, the properties as ``name=value`` texts in the order of their names."""
+    pairs = F.transform(F.map_entries("properties"), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return findings.select(*_FLAT, F.array_join(F.array_sort(pairs), ",").alias("properties"))
 
 
 def _rule_query(rule_id: str) -> None:
@@ -275,7 +276,7 @@ def norm_duplicates(spark, sf_dir):
     docs = documents(spark, sf_dir)
     both = sample_estate.files(docs).unionByName(sample_estate.files(sample_estate.noisy(docs)))
     groups = normalize.duplicate_groups(normalize.canonical_forms(both))
-    return groups.groupBy("copies").agg(F.count("*").alias("groups"))
+    return groups.select("first_path", "copies")
 
 
 @query

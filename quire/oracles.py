@@ -10,13 +10,9 @@ pairs AS (
   SELECT l_orderkey AS o, l_suppkey AS s, l_partkey AS p, bool_or(l_returnflag = 'R') AS has_r
   FROM lineitem GROUP BY 1, 2, 3
 ),
-split AS (
-  SELECT o, CAST(ceil(count(*) / 1000.0) AS BIGINT) AS vols FROM pairs GROUP BY o HAVING count(*) > 1000
-),
 doc_rows AS (
-  SELECT pairs.*, 'estate/' || pairs.o
-    || CASE WHEN vols IS NULL THEN '' ELSE '-' || ((p * 1009 + s) % vols) END || '.twb' AS path
-  FROM pairs LEFT JOIN split ON split.o = pairs.o
+  SELECT *, 'estate/' || o || '-' || ((row_number() OVER (PARTITION BY o ORDER BY p, s) - 1) // 1000) || '.twb' AS path
+  FROM pairs
 ),
 wb AS (
   SELECT DISTINCT path, o, CASE o_orderstatus WHEN 'F' THEN '18.1' WHEN 'O' THEN '17.0' END AS version,
@@ -224,29 +220,55 @@ GROUP BY 1
 # ---- audit ----------------------------------------------------------------------
 _FIELD = "'datasource:federated.s' || s || '/field:' || name"
 _CONN = "'datasource:' || name || '/connection:sqlserver'"
+_OF_FIELD = "name || ''' on ''federated.s' || s || '''"
+# Severity, title, message, location, remediation, properties and the rows they are about.
 _RULES = {
-    "AUD001": ("warn", "'worksheet:ws_' || s", "''", "ds WHERE o % 3 <> 0 AND s % 2 <> 0"),
-    "AUD002": ("warn", "'datasource:' || name", "''", "ds WHERE s % 4 = 0"),
-    "AUD003": ("warn", _FIELD, "'ATTR'", "calc WHERE p % 20 = 0"),
-    "AUD004": ("info", "location", "CAST(n AS VARCHAR)", """(
+    "AUD001": ("warn", "Unused worksheet", "'No dashboard shows worksheet ''ws_' || s || '''.'", "'worksheet:ws_' || s",
+               "Put it on a dashboard or delete it.", "''", "ds WHERE o % 3 <> 0 AND s % 2 <> 0"),
+    "AUD002": ("warn", "Orphan data source", "'No worksheet uses data source ''' || name || '''.'",
+               "'datasource:' || name", "Use it in a worksheet or remove it.", "''", "ds WHERE s % 4 = 0"),
+    "AUD003": ("warn", "Deprecated function", f"'Formula of ''' || {_OF_FIELD} calls ATTR(), which is deprecated.'",
+               _FIELD, "Use MIN or MAX where one value per partition is meant.", "'function=ATTR'",
+               "calc WHERE p % 20 = 0"),
+    "AUD004": ("info", "Repeated formula",
+               "'The same formula stands in ' || n || ' places: ' || listed || '.'", "location",
+               "Keep it once, as a parameter or in a shared data source.", "'count=' || n", """(
         SELECT path, count(*) AS n,
+          string_agg('federated.s' || s || ':' || name, ', ' ORDER BY s, p) AS listed,
           arg_min('federated.s' || s || '/' || name, s * 1000000000 + p) AS location
         FROM calc GROUP BY path, lower(regexp_replace(trim(formula), ' +', ' ', 'g')) HAVING count(*) > 1)"""),
-    "AUD005": ("error", _FIELD, "'[gone' || p || ']'", "calc WHERE p % 20 = 4"),
-    "AUD006": ("info", "'workbook'", "version", "wb WHERE version = '17.0'"),
-    "GOV001": ("error", _CONN, "''", "ds WHERE has_r"),
-    "GOV002": ("warn", _CONN, "server", "ds WHERE server LIKE '%.vendor.example.net'"),
-    "GOV003": ("warn", _FIELD, "CASE p % 10 WHEN 0 THEN 'email' ELSE 'ssn' END", "plain WHERE p % 10 IN (0, 1)"),
-    "GOV004": ("warn", _FIELD, "''", "calc WHERE p % 20 = 8"),
-    "GOV005": ("warn", _CONN, "filename", "ds WHERE filename IS NOT NULL"),
+    "AUD005": ("error", "Broken column reference",
+               "'Formula of ''' || name || ''' refers to [gone' || p || '], which data source ''federated.s' || s"
+               " || ''' does not have.'", _FIELD, "Correct the reference or bring the column back.",
+               "'referenced=[gone' || p || ']'", "calc WHERE p % 20 = 4"),
+    "AUD006": ("info", "Old workbook version", "'Saved as version ''' || version || ''', below 18.'", "'workbook'",
+               "Open it in a current release and save it again.", "'version=' || version", "wb WHERE version = '17.0'"),
+    "GOV001": ("error", "Embedded password", "'A connection of data source ''' || name || ''' stores a password.'",
+               _CONN, "Remove the password; let the server, the user''s login or a prompt supply it.", "''",
+               "ds WHERE has_r"),
+    "GOV002": ("warn", "Unapproved server", "'Data source ''' || name || ''' connects to ''' || server"
+               " || ''', which is not an approved server.'", _CONN, "Connect to an approved server, or approve this one.",
+               "'server=' || server", "ds WHERE server LIKE '%.vendor.example.net'"),
+    "GOV003": ("warn", "Personal data in field name",
+               "'The name of field ''' || name || ''' on ''federated.s' || s || ''' reads like personal data ('"
+               " || CASE p % 10 WHEN 0 THEN 'email' ELSE 'ssn' END || ').'", _FIELD,
+               "Check that it may be published, or take it out.",
+               "'pattern=' || CASE p % 10 WHEN 0 THEN 'email' ELSE 'ssn' END", "plain WHERE p % 10 IN (0, 1)"),
+    "GOV004": ("warn", "Access control in a formula",
+               f"'Formula of ''' || {_OF_FIELD} decides by who is looking.'", _FIELD,
+               "Filter rows in the data source; a formula in the workbook can be bypassed.", "''", "calc WHERE p % 20 = 8"),
+    "GOV005": ("warn", "File in a user profile", "'Data source ''' || name || ''' reads ''' || filename"
+               " || ''' from a user''s own folder.'", _CONN, "Move the file to a shared place, or use an extract.",
+               "'path=' || filename", "ds WHERE filename IS NOT NULL"),
 }
 
 
 def _rule(rule_id: str) -> str:
-    severity, location, prop, rows = _RULES[rule_id]
+    severity, title, message, location, remediation, properties, rows = _RULES[rule_id]
     return (
-        f"SELECT '{rule_id}' AS rule_id, '{severity}' AS severity, path AS workbook_path, "
-        f"{location} AS location, {prop} AS property FROM {rows}"
+        f"SELECT '{rule_id}' AS rule_id, '{severity}' AS severity, '{title}' AS title, {message} AS message, "
+        f"path AS workbook_path, {location} AS location, '{remediation}' AS remediation, {properties} AS properties "
+        f"FROM {rows}"
     )
 
 
@@ -327,7 +349,7 @@ GROUP BY 1, 2
 
 # ---- canonical forms --------------------------------------------------------------
 ORACLES["norm_duplicates"] = _on_estate("""
-SELECT copies, count(*) AS groups FROM (SELECT 2 * count(*) AS copies FROM doc GROUP BY xml) GROUP BY copies
+SELECT min(path) AS first_path, 2 * count(*) AS copies FROM doc GROUP BY xml
 """, _documents(False))
 
 

@@ -10,13 +10,15 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.session import ship_package
 
-# Fields one document may hold before an order is split into several.
+# Fields of one volume.
 FIELDS_PER_DOCUMENT = 1000
+# Parts of one slice: the fields of an order are ranked slice by slice.
+PARTS_PER_SLICE = 1000
 
 
 def _text(value: Column) -> Column:
@@ -46,16 +48,14 @@ def _document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p"))
         .agg(F.max(F.col("l_returnflag") == "R").alias("has_r"))
     )
-    # Few orders are that large, so this side stays small; its real size decides
-    # at run time whether it is broadcast or sort-merged with skew splitting.
-    split = (
-        rows.groupBy("o").agg(F.count("*").alias("n"))
-        .filter(F.col("n") > FIELDS_PER_DOCUMENT)
-        .select("o", F.ceil(F.col("n") / FIELDS_PER_DOCUMENT).alias("vols"))
-    )
-    return rows.join(split, "o", "left").withColumn(
-        "vol", F.expr("CASE WHEN vols IS NULL THEN -1 ELSE (p * 1009 + s) % vols END")
-    ).drop("vols")
+    rows = rows.withColumn("slice", F.floor(F.col("p") / PARTS_PER_SLICE))
+    # Ranks by slice: counts per slice are added up, and only the fields of one slice are sorted together.
+    slices = rows.groupBy("o", "slice").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("o").orderBy("slice")) - F.col("n")
+    ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("o", "slice").orderBy("p", "s")) - 1)
+    volume = F.floor((F.col("before") + F.col("place")) / FIELDS_PER_DOCUMENT)
+    return ranked.join(slices.select("o", "slice", before.alias("before")), ["o", "slice"]).select(
+        "o", volume.alias("vol"), "s", "p", "has_r")
 
 
 def documents(spark: SparkSession, sf_dir: str, variant: str = "a") -> DataFrame:
@@ -169,9 +169,7 @@ def documents(spark: SparkSession, sf_dir: str, variant: str = "a") -> DataFrame
         F.lit("</worksheets>\n<dashboards>"), dashboard, F.lit("</dashboards>\n</workbook>\n"),
     )
     path = F.concat(
-        F.lit("estate/"), F.col("o").cast("string"),
-        F.when(F.col("vol") < 0, F.lit("")).otherwise(F.concat(F.lit("-"), F.col("vol").cast("string"))),
-        F.lit(".twb"),
+        F.lit("estate/"), F.col("o").cast("string"), F.lit("-"), F.col("vol").cast("string"), F.lit(".twb"),
     )
     return parts.join(orders, "o").select("o", path.alias("path"), xml.alias("xml"))
 
