@@ -32,7 +32,8 @@ ROUNDS = 6
 LEAST_CHANGE = 0.01
 AUDITED = 256
 LEAST_RECALL = 0.99
-MOST_ENLARGEMENTS = 6
+# Rows of a local comparison held as cosines at a time.
+STRIP = 1024
 SEED = 20
 
 _VECTOR = "vec_id long, label long, vec binary"
@@ -168,10 +169,12 @@ def _round(graph: DataFrame, nodes: DataFrame, sizes: DataFrame) -> DataFrame:
 
     def local(rows: pd.DataFrame) -> pd.DataFrame:
         ids, worst, m = rows["v"].to_numpy(), rows["worst"].to_numpy(), _matrix(rows["vec"])
-        cos = m @ m.T
-        np.fill_diagonal(cos, -2)
-        a, b = np.nonzero(cos > worst[:, None])
-        return pd.DataFrame({"u": ids[a], "v": ids[b], "cos": cos[a, b]})
+        found = []
+        for start in range(0, len(ids), STRIP):
+            cos = m[start:start + STRIP] @ m.T
+            a, b = np.nonzero(cos > worst[start:start + STRIP, None])
+            found.append(pd.DataFrame({"u": ids[start + a], "v": ids[b], "cos": cos[a, b]}))
+        return pd.concat(found)
 
     found = lists.join(about, "v").groupBy("u").applyInPandas(local, "u long, v long, cos double")
     return staged(_best(graph.unionByName(found.where("u <> v")), sizes), "nn-graph")
@@ -207,8 +210,9 @@ def neighbour_graph(nodes: DataFrame, near: float) -> tuple[DataFrame, float]:
     count, labels = nodes.agg(F.count(F.lit(1)), F.count_distinct("label")).first()
     sizes = staged(nodes.select(F.col("vec_id").alias("u"), F.lit(NEIGHBOURS).alias("most")), "nn-sizes")
     graph = staged(_best(_start(nodes, count, labels), sizes), "nn-graph")
-    recall = 1.0
-    for _ in range(MOST_ENLARGEMENTS):
+    # Lists that all nodes have at least. Enlarging ends by itself: no list is saturated once it has room for all nodes.
+    least = NEIGHBOURS
+    while True:
         for _ in range(ROUNDS):
             better = _round(graph, nodes, sizes)
             fresh = better.join(graph, ["u", "v"], "left_anti").count()
@@ -220,15 +224,16 @@ def neighbour_graph(nodes: DataFrame, near: float) -> tuple[DataFrame, float]:
         full = graph.groupBy("u").agg(F.count(F.lit(1)).alias("held"), F.min("cos").alias("worst")).join(sizes, "u").where(
             (F.col("held") >= F.col("most")) & (F.col("worst") >= near)).select("u")
         saturated = full.count()
-        if not saturated and recall >= LEAST_RECALL:
-            break
+        low = recall < LEAST_RECALL and least < count
+        if not saturated and not low:
+            return graph, recall
+        least *= 2 if low else 1
         marked = full.withColumn("full", F.lit(True))
-        grow = F.lit(True) if recall < LEAST_RECALL else F.coalesce("full", F.lit(False))
+        grow = F.lit(True) if low else F.coalesce("full", F.lit(False))
         larger = staged(sizes.join(marked, "u", "left").select(
             "u", F.when(grow, F.col("most") * 2).otherwise(F.col("most")).alias("most")), "nn-sizes")
         discard(sizes)
         sizes = larger
-    return graph, recall
 
 
 def _member_links(members: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
