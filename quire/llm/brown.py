@@ -4,11 +4,12 @@ The corpus is cut once into chunks of whole documents: a chunk row holds its dis
 into them. Word counts come from grouping all chunks' words; they flow back to the chunks by a join, so that later
 passes read numbers only.
 
-Classes are assigned to *units*: each of the up to ``KNOWN`` most frequent words is one, and every other word, met or not,
-shares the unit of its ending (``ENDINGS`` hash buckets of its last three characters). The number of units is fixed,
-so the class of each is a small broadcast array, whatever the corpus. A round of exchange counts, for every unit, the
-classes before and after it over all training tokens, and moves half of the units to the class that raises the
-likelihood of the class bigrams most.
+Every training word is a *unit* of its own, whatever its count: units number the training words, and ``ENDINGS`` more
+stand for the words unseen in training, by their last three characters. The class of each unit is one byte of a
+broadcast array, so driver and workers hold a byte per distinct training word. A round of exchange counts, for every
+training word, the classes before and after it over all training tokens, grouped by blocks of words in the shuffle,
+and moves half of the words to the class that raises the likelihood of the class bigrams most. At last each ending
+takes the class that most training words of that ending have.
 
 log10 p(w | v) = log10 p(class(w) | class(v)) + log10 p(w | class(w)), the first smoothed towards the class
 frequencies, the second by one count for every word and one for all unseen words of the class; both sum to one.
@@ -22,31 +23,32 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import discard, python_ready, staged, table
 
-KNOWN = 1 << 16
 ENDINGS = 1 << 13
-UNITS = KNOWN + ENDINGS
 CLASSES = 48
 ROUNDS = 6
 SMOOTHING = 20.0  # weight of the class frequencies in a transition, in tokens
 END = " "  # the token after each text; no word holds a blank
 CHUNK = 12_000_000  # bytes of text in a chunk
-BLOCK = 2048  # units whose counts travel as one row
+BLOCK = 2048  # words whose counts travel as one row
 
 _CHUNK_SCHEMA = ("chunk long, doc_ids array<long>, held array<boolean>, ends array<int>, tokens binary, "
                  "words array<string>, counts array<int>")
 
 
 def _packed(numbers: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(numbers.tobytes())
+    """Numbers by the places of their bytes, compressed: high bytes are mostly zero."""
+    planes = numbers.view(np.uint8).reshape(-1, numbers.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def _unpacked(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -101,42 +103,34 @@ def _chunks(batches):
         yield chunk.batch(first)
 
 
-def _unit(rank: str = "rank") -> Column:
-    """The unit of a word: its rank among the frequent ones, or the bucket of its last three characters."""
-    ending = F.lit(KNOWN) + F.pmod(F.xxhash64(F.substring("word", -3, 3)), F.lit(ENDINGS))
-    return F.coalesce(F.col(rank), ending.cast("int")).alias("unit")
+def vocabulary(chunks: DataFrame) -> tuple[DataFrame, int]:
+    """``word, c, unit, ending`` and the number of training words.
 
-
-def vocabulary(chunks: DataFrame) -> DataFrame:
-    """``word, c``: how often each word occurs in training documents (0: in others only), staged."""
-    words = chunks.select(F.explode(F.arrays_zip("words", "counts")).alias("x"))
-    return staged(words.groupBy(F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("c")), "lm-words")
-
-
-def most_frequent(words: DataFrame, most: int) -> pd.DataFrame:
-    """The most frequent words, at most ``most``, in order; words of equal rank at the edge all stay out.
-
-    Counts are ranked in steps of a sixteenth of an octave, so that the driver sees a small table and then the words.
+    ``c``: how often a word occurs in training documents (0: in others only). Training words are numbered from 0 in
+    any order, the others have the unit of their ending.
     """
-    step = F.floor(F.log2("c") * 16).cast("int")
-    held = words.where("c > 0").groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).toPandas()
-    held = held.sort_values("step", ascending=False)
-    inside = held["step"][held["n"].cumsum() <= most]
-    if inside.empty:
-        return pd.DataFrame({"word": [], "c": []})
-    found = words.where("c > 0").where(step >= int(inside.min())).toPandas()
-    return found.sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
-
-
-def _attach(chunks: DataFrame, words: DataFrame, known: DataFrame) -> DataFrame:
+    words = chunks.select(F.explode(F.arrays_zip("words", "counts")).alias("x"))
+    counted = staged(words.groupBy(F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("c")).withColumn(
+        "place", F.monotonically_increasing_id()), "lm-words")
+    # Places run within partitions; what all partitions before hold closes the gaps. Words of others leave some.
+    part = F.shiftright("place", 33).alias("part")
+    sizes = counted.groupBy(part).agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("part")
+    first = (sizes["n"].cumsum() - sizes["n"]).tolist()
+    total = int(sizes["n"].sum())
+    offsets = counted.sparkSession.createDataFrame(list(zip(sizes["part"].tolist(), first)), "part long, first long")
+    ending = F.pmod(F.xxhash64(F.substring("word", -3, 3)), F.lit(ENDINGS)).cast("int")
+    number = F.col("first") + F.col("place").bitwiseAND((1 << 33) - 1)
+    return counted.withColumn("part", part).join(F.broadcast(offsets), "part").select(
+        "word", "c", F.when(F.col("c") > 0, number).otherwise(total + ending).alias("unit"), ending.alias("ending")), total
+
+
+def _attach(chunks: DataFrame, words: DataFrame) -> DataFrame:
     """Chunks with the training count and the unit of each of their words instead of the words, staged."""
     numbered = chunks.select("chunk", F.posexplode("words").alias("place", "word"))
-    units = words.join(F.broadcast(known), "word", "left").select(
-        "word", "c", _unit())
-    found = numbered.join(units, "word").select(F.col("chunk").alias("of"), "place", "c", "unit")
+    found = numbered.join(words, "word").select(F.col("chunk").alias("of"), "place", "c", "unit")
 
     def merge(key, rows: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        c, unit = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int32)
+        c, unit = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
         c[counts["place"]] = counts["c"]
         unit[counts["place"]] = counts["unit"]
         return rows.assign(c=[_packed(c)] * len(rows), unit=[_packed(unit)] * len(rows))
@@ -153,7 +147,7 @@ def _opened(batch: pa.RecordBatch):
         ends = np.array(batch.column("ends")[i].as_py(), np.int64)
         held = np.array(batch.column("held")[i].as_py(), bool)
         tokens = _unpacked(batch.column("tokens")[i].as_py(), np.int32)
-        unit = _unpacked(batch.column("unit")[i].as_py(), np.int32)
+        unit = _unpacked(batch.column("unit")[i].as_py(), np.int64)
         sizes = np.diff(np.append(0, ends))
         yield i, ends, held, sizes, tokens, unit
 
@@ -166,83 +160,86 @@ def _before(classes: np.ndarray, ends: np.ndarray, end_class: int) -> np.ndarray
     return before
 
 
-def _exchange(chunks: DataFrame, classes: np.ndarray, end_unit: int, parity: int) -> np.ndarray:
-    """One round: the units of one parity move to the class that fits their neighbours best."""
-    spark = chunks.sparkSession
-    shared = spark.sparkContext.broadcast(classes)
+def _neighbours(encoded: DataFrame, shared, end_unit: int) -> np.ndarray:
+    """How often each class stands before and after each class in training: a k x 2k table.
+
+    Ends have a class before them, but none after.
+    """
     k = CLASSES
 
-    def neighbours(batches):
-        """Counts of (unit, class before) and (unit, class after) in this partition, a row per block of units."""
-        total = np.zeros(UNITS * 2 * k, np.int32)
+    def count(batches):
+        total = np.zeros(k * 2 * k, np.int64)
         of = shared.value
         for batch in batches:
             for _, ends, held, sizes, tokens, unit in _opened(batch):
-                units = unit[tokens]
-                now = of[units]
+                now = of[unit][tokens].astype(np.int64)
                 before = _before(now, ends, of[end_unit])
-                after = np.append(now[1:], of[end_unit])
                 training = np.repeat(~held, sizes)
-                base = units[training].astype(np.int64) * (2 * k)
-                np.add.at(total, base + before[training], 1)
-                last = np.zeros(len(tokens), bool)
-                last[ends - 1] = True
-                inner = training & ~last
-                np.add.at(total, units[inner].astype(np.int64) * (2 * k) + k + after[inner], 1)
-        for block in range(0, UNITS, BLOCK):
-            part = total[block * 2 * k:(block + BLOCK) * 2 * k]
-            if part.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block]), pa.array([_packed(part)], pa.binary())], ["block", "counts"])
+                total += np.bincount(now[training] * (2 * k) + before[training], minlength=len(total))
+                training[np.append(0, ends[:-1])] = False
+                total += np.bincount(before[training] * (2 * k) + k + now[training], minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
+
+    cells = encoded.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    joint = np.zeros(k * 2 * k)
+    joint[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    return joint.reshape(k, 2 * k)
 
-    rows = chunks.mapInArrow(neighbours, "block long, counts binary")
-    # Class totals first (a k x 2k table), then each block's units choose by them.
-    parts = staged(rows, "lm-neighbours")
 
-    def totals(batches):
-        sums = np.zeros((k, 2 * k), np.int64)
+def _exchange(encoded: DataFrame, shared, joint: np.ndarray, end_unit: int, parity: int) -> np.ndarray:
+    """One round: the words of one parity move to the class that fits their neighbours best. The classes after it."""
+    k = CLASSES
+
+    def neighbours(batches):
+        """Counts of (word, class before) and (word, class after) in each chunk, a row per block of words."""
+        of = shared.value
         for batch in batches:
-            for block, packed in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
-                part = _unpacked(packed, np.int32).reshape(-1, 2 * k)
-                np.add.at(sums, shared.value[block:block + len(part)], part)
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums.ravel()[at])], ["cell", "n"])
+            for _, ends, held, sizes, tokens, unit in _opened(batch):
+                now = of[unit][tokens].astype(np.int64)
+                before = _before(now, ends, of[end_unit])
+                training = np.repeat(~held, sizes)
+                first = np.zeros(len(tokens), bool)
+                first[np.append(0, ends[:-1])] = True
+                base = unit[tokens] * (2 * k)
+                inner = np.flatnonzero(training & ~first)
+                cells, n = np.unique(np.concatenate(
+                    [base[training] + before[training], base[inner - 1] + k + now[inner]]), return_counts=True)
+                blocks, starts = np.unique(cells // (BLOCK * 2 * k), return_index=True)
+                rows = []
+                for block, a, b in zip(blocks, starts, np.append(starts[1:], len(cells))):
+                    steps = np.diff(cells[a:b], prepend=block * BLOCK * 2 * k).astype(np.int32)
+                    rows.append((_packed(steps), _packed(n[a:b].astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(blocks, pa.int64()), pa.array([x for x, _ in rows], pa.binary()),
+                     pa.array([x for _, x in rows], pa.binary())], ["block", "steps", "counts"])
 
-    cells = parts.mapInArrow(totals, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    joint = np.zeros(k * 2 * k)
-    joint[cells["cell"].to_numpy()] = cells["n"].to_numpy()
-    joint = joint.reshape(k, 2 * k)
     # log of how much likelier a neighbour class is beside a class than anywhere.
     with_class = joint + 0.5
     odds = [np.log(with_class[:, s]) - np.log(with_class[:, s].sum(axis=1, keepdims=True)) for s in (
         slice(0, k), slice(k, 2 * k))]
-    fit = np.concatenate(odds, axis=1)
-    chosen = spark.sparkContext.broadcast(fit)
-
-    def choose(batches):
-        """Sum the parts of each block as they stream by, then move units: memory does not follow their number."""
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, packed in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
-                part = _unpacked(packed, np.int32)
-                if block not in sums:
-                    sums[block] = np.zeros(len(part), np.int64)
-                sums[block] += part
-        for block, flat in sums.items():
-            counts = flat.reshape(-1, 2 * k)
-            unit = np.arange(block, block + len(counts))
-            gain = counts @ chosen.value.T
-            best = gain.argmax(axis=1)
-            at = np.arange(len(unit))
-            better = gain[at, best] > gain[at, shared.value[unit]] + 1e-9
-            moves = better & ((unit * 0x9E3779B1 >> 7) % 2 == parity) & (unit != end_unit)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(unit[moves]), pa.array(best[moves].astype(np.int32))], ["unit", "class"])
-
-    moved = parts.repartition(UNITS // BLOCK, "block").mapInArrow(choose, "unit long, class int").toArrow()
-    discard(parts)
-    classes = classes.copy()
-    classes[moved["unit"].to_numpy()] = moved["class"].to_numpy().astype(classes.dtype)
+    fit = encoded.sparkSession.sparkContext.broadcast(np.concatenate(odds, axis=1))
+
+    def choose(key, rows: pd.DataFrame) -> pd.DataFrame:
+        """The words of one block that move, and their new classes."""
+        counts = np.zeros(BLOCK * 2 * k)
+        for steps, n in zip(rows["steps"], rows["counts"]):
+            counts[np.cumsum(_unpacked(steps, np.int32))] += _unpacked(n, np.int32)
+        counts = counts.reshape(BLOCK, 2 * k)
+        met = np.flatnonzero(counts.any(axis=1))
+        unit = key[0] * BLOCK + met
+        gain = counts[met] @ fit.value.T
+        best = gain.argmax(axis=1)
+        at = np.arange(len(unit))
+        better = gain[at, best] > gain[at, shared.value[unit]] + 1e-9
+        moves = better & ((unit * 0x9E3779B1 >> 7) % 2 == parity) & (unit != end_unit)
+        return pd.DataFrame({"unit": [_packed(unit[moves])], "class": [best[moves].astype(np.int8).tobytes()]})
+
+    moved = encoded.mapInArrow(neighbours, "block long, steps binary, counts binary").groupBy("block").applyInPandas(
+        choose, "unit binary, class binary").toArrow()
+    classes = shared.value.copy()
+    for unit, to in zip(moved["unit"], moved["class"]):
+        classes[_unpacked(unit.as_py(), np.int64)] = np.frombuffer(to.as_py(), np.int8)
     return classes
 
 
@@ -257,24 +254,26 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(doc_id).cast("long").alias("doc_id"),
                        F.col(text).cast("binary").alias("body"))
     chunks = staged(rows.mapInArrow(_chunks, _CHUNK_SCHEMA), "lm-texts")
-    words = vocabulary(chunks)
-    frequent = most_frequent(words, KNOWN)
-    known = spark.createDataFrame(
-        list(zip(frequent["word"].tolist(), range(len(frequent)))), "word string, rank int")
-    encoded = _attach(chunks, words, known)
+    words, known = vocabulary(chunks)
+    encoded = _attach(chunks, words)
     discard(chunks)
-    ranks = dict(zip(frequent["word"].tolist(), range(len(frequent))))
-    end_unit = ranks.get(END, KNOWN - 1)
 
-    # Start: the end and the most frequent words each have a class of their own, all other units share the last.
-    classes = np.full(UNITS, CLASSES - 1, np.int16)
-    own = [end_unit] + [r for r in range(min(len(frequent), CLASSES)) if r != end_unit]
+    # Start: the end and the most frequent words each have a class of their own, all other words share the last. Without
+    # training documents the end has the unit of no word.
+    frequent = words.where("c > 0").orderBy(F.desc("c"), "word").limit(CLASSES).select("word", "unit").collect()
+    classes = np.full(known + ENDINGS, CLASSES - 1, np.int8)
+    end_unit = next((r["unit"] for r in words.where((F.col("word") == END) & (F.col("c") > 0)).select("unit").collect()), known)
+    own = [end_unit] + [r["unit"] for r in frequent if r["unit"] != end_unit]
     classes[own[:CLASSES - 1]] = np.arange(min(len(own), CLASSES - 1))
+    context = spark.sparkContext
+    shared = context.broadcast(classes)
+    joint = _neighbours(encoded, shared, end_unit)
     for turn in range(ROUNDS):
-        classes = _exchange(encoded, classes, end_unit, turn % 2)
+        shared = context.broadcast(_exchange(encoded, shared, joint, end_unit, turn % 2))
+        joint = _neighbours(encoded, shared, end_unit)
 
-    model = _estimate(encoded, words, known, classes, end_unit)
-    shared = spark.sparkContext.broadcast((classes, *model))
+    classes, *model = _estimate(words, shared, joint, known)
+    shared = context.broadcast((classes, *model))
 
     def scores(batches):
         classes, step, emit_total, total, distinct = shared.value
@@ -299,38 +298,32 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                                       "base_score double, score double")
 
 
-def _estimate(encoded: DataFrame, words: DataFrame, known: DataFrame, classes: np.ndarray, end_unit: int):
-    """log10 transitions (class before x class), emission totals per class, training tokens, distinct words."""
-    spark = encoded.sparkSession
-    shared = spark.sparkContext.broadcast(classes)
+def _estimate(words: DataFrame, shared, joint: np.ndarray, known: int):
+    """Classes with those of endings; log10 transitions (class before x class), emission totals per class, training
+    tokens, distinct words."""
     k = CLASSES
-
-    def transitions(batches):
-        total = np.zeros(k * k, np.int64)
-        of = shared.value
-        for batch in batches:
-            for _, ends, held, sizes, tokens, unit in _opened(batch):
-                now = of[unit][tokens]
-                before = _before(now, ends, of[end_unit])
-                training = np.repeat(~held, sizes)
-                total += np.bincount(before[training].astype(np.int64) * k + now[training], minlength=k * k)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
-
-    cells = encoded.mapInArrow(transitions, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    joint = np.zeros(k * k)
-    joint[cells["cell"].to_numpy()] = cells["n"].to_numpy()
-    joint = joint.reshape(k, k)
+    joint = joint[:, :k].T
     tokens = joint.sum(axis=0)
     # Every class keeps a share, also one without training tokens: unseen words may fall into it.
     share = (tokens + 1) / (tokens.sum() + k)
     step = np.log10((joint + SMOOTHING * share) / (joint.sum(axis=1, keepdims=True) + SMOOTHING))
 
-    units = words.where("c > 0").join(F.broadcast(known), "word", "left").groupBy(_unit()).agg(F.count(F.lit(1)).alias("words"), F.sum("c").alias("c")).toPandas()
-    of_unit = classes[units["unit"].to_numpy(np.int64)]
-    types = np.bincount(of_unit, units["words"].to_numpy(float), minlength=k)
-    count = np.bincount(of_unit, units["c"].to_numpy(float), minlength=k)
-    return step, count + types + 1, int(units["c"].sum()), int(units["words"].sum())
+    def classed(batches):
+        for batch in batches:
+            found = shared.value[batch.column("unit").to_numpy()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("ending"), pa.array(found, pa.int32()), batch.column("c")], ["ending", "class", "c"])
+
+    met = words.where("c > 0").select("unit", "ending", "c").mapInArrow(
+        classed, "ending int, class int, c long").groupBy("ending", "class").agg(
+        F.count(F.lit(1)).alias("words"), F.sum("c").alias("c")).toPandas()
+    types = np.zeros((ENDINGS, k))
+    types[met["ending"], met["class"]] = met["words"]
+    count = np.bincount(met["class"], met["c"].to_numpy(float), minlength=k)
+    classes = shared.value.copy()
+    # An ending that no training word has is treated as most words are.
+    classes[known:] = np.where(types.any(axis=1), types.argmax(axis=1), types.sum(axis=0).argmax())
+    return classes, step, count + types.sum(axis=0) + 1, int(met["c"].sum()), int(met["words"].sum())
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -223,6 +223,18 @@ def test_brown_base_and_gain(spark, documents, odd):
     assert brown.score_documents(odd.limit(0)).count() == 0
 
 
+def test_brown_classes_every_word(spark):
+    """Seventy thousand rare words with one ending, half of them after "aa", half after "bb"."""
+    held = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rare = [(f"{side}{i}end", side) for side in "ab" for i in range(35_000)]
+    ids = itertools.filterfalse(lambda i: zlib.crc32(str(i).encode()) % 7 == 2, itertools.count())
+    rows = [(next(ids), " ".join(f"{s}{s} {w} {s}{s} {s}x" for w, s in rare[n:n + 1000])) for n in range(0, len(rare), 1000)] * 2
+    rows += [(held[0], "aa a20000end aa"), (held[1], "aa b20000end aa")]
+    got = {r.doc_id: r for r in brown.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[held[0]].base_score == got[held[1]].base_score
+    assert got[held[0]].score > got[held[1]].score + 1
+
+
 def test_html_articles(spark):
     for r, got in ((r, html_text.main_text(r.html)) for r in spark.read.parquet(f"{SF_DIR}/pages.parquet").collect()):
         article = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
