@@ -3,9 +3,10 @@
 Vectors are compared within a label only. First, tight groups are replaced by a representative: a vector joins the ball
 of a hub if their angle is at most half the linking angle, so that all members of a ball link with one another and
 copies, however many, need no pairs. Then a neighbour graph over representatives is refined: it starts from blocks of
-equal hyperplane codes, and each round compares the neighbours of every node with one another. A node whose list holds
-only vectors near enough to matter is saturated; its list doubles and rounds go on. An audit compares a bounded sample
-with all vectors, and low recall enlarges all lists. At last members are compared where two balls may link: by the
+equal hyperplane codes, as long as each label's own size asks for, and each round compares the neighbours of every node
+with one another, until lists hardly change. A node whose list holds only vectors near enough to matter is saturated;
+its list doubles and rounds go on. An audit compares a fixed share of the nodes with all of their label, and low recall
+enlarges all lists; a sample without any near pair says nothing, and the recall is null. At last members are compared where two balls may link: by the
 triangle inequality most members link with all of a ball or with none, the others are compared one by one.
 """
 
@@ -28,10 +29,16 @@ TABLES = 10
 BLOCK = 64
 BALL_ROUNDS = 6
 BALL_BITS = 10
-ROUNDS = 6
-LEAST_CHANGE = 0.01
+# Hyperplanes of a table; a label uses as many as its size asks for, crowded blocks use more of them.
+PLANES = 32
+# Rounds end when fewer neighbours than this share of all places in the lists are new.
+LEAST_CHANGE = 0.001
+# One of so many nodes is audited, and at least so many where the table has them.
+AUDITED_OF = 20
 AUDITED = 256
 LEAST_RECALL = 0.99
+# Nodes in one block of the audit.
+AUDIT_BLOCK = 512
 # Rows of a local comparison held as cosines at a time.
 STRIP = 1024
 SEED = 20
@@ -132,15 +139,26 @@ def _best(edges: DataFrame, sizes: DataFrame) -> DataFrame:
     return ranked.join(sizes, "u").where("rank <= most").select("u", "v", "cos")
 
 
-def _start(nodes: DataFrame, count: int, labels: int) -> DataFrame:
-    """Neighbours within blocks of equal codes; larger blocks are dealt by id, so that each compares ``BLOCK`` or so."""
-    bits = int(np.clip(round(math.log2(max(count / max(labels, 1) / (BLOCK / 3), 2))), 1, 24))
-    coded = _coded(nodes, TABLES, bits, SEED + 1).select(
-        "vec_id", "label", "vec", F.posexplode("codes").alias("turn", "code")).withColumn("size", F.length("vec"))
+def _start(nodes: DataFrame) -> DataFrame:
+    """Neighbours within blocks of equal codes.
+
+    A label has as many bits as leave a third of ``BLOCK`` in a block on average. Blocks that are larger than ``BLOCK``
+    are divided by further bits, and what is too large still is dealt by id, so that each compares ``BLOCK`` or so.
+    """
+    own = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("held")).select(
+        "label", F.least(F.greatest(F.round(F.log2(F.col("held") * 3 / BLOCK)), F.lit(1)), F.lit(PLANES - 8)).cast("int").alias("bits"))
+    one = F.lit(1).cast("long")
+    coded = _coded(nodes, TABLES, PLANES, SEED + 1).select(
+        "vec_id", "label", "vec", F.posexplode("codes").alias("turn", "all")).withColumn("size", F.length("vec")).join(
+        own, "label").withColumn("code", F.col("all").bitwiseAND(F.call_function("shiftleft", one, F.col("bits")) - 1))
     keys = ["label", "turn", "code", "size"]
-    parts = F.ceil(F.col("n") / BLOCK)
-    blocks = coded.join(coded.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), keys).withColumn(
-        "part", F.pmod(F.xxhash64("vec_id", "turn"), parts))
+    counted = coded.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    more = F.greatest(F.ceil(F.log2(F.col("n") / BLOCK)), F.lit(0)).cast("int")
+    divided = coded.join(counted, keys).withColumn("rest", F.call_function(
+        "shiftright", F.col("all"), F.col("bits")).bitwiseAND(F.call_function("shiftleft", one, more) - 1)).drop("n", "all", "bits")
+    keys = [*keys, "rest"]
+    blocks = divided.join(divided.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), keys).withColumn(
+        "part", F.pmod(F.xxhash64("vec_id", "turn"), F.ceil(F.col("n") / BLOCK)))
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         ids, m = rows["vec_id"].to_numpy(), _matrix(rows["vec"])
@@ -180,52 +198,69 @@ def _round(graph: DataFrame, nodes: DataFrame, sizes: DataFrame) -> DataFrame:
     return staged(_best(graph.unionByName(found.where("u <> v")), sizes), "nn-graph")
 
 
-def _audit(graph: DataFrame, nodes: DataFrame, near: float) -> float:
-    """Share of the true near neighbours of a bounded sample that the graph holds, either way."""
-    sample = nodes.orderBy(F.xxhash64("vec_id"), "vec_id").limit(AUDITED).toPandas()
-    if sample.empty:
-        return 1.0
-    shared = nodes.sparkSession.sparkContext.broadcast(sample)
+def _packed(nodes: DataFrame, part: str) -> DataFrame:
+    """Blocks of nodes of a label and size: ``label, size, part, ids, vecs``, some ``AUDIT_BLOCK`` nodes each."""
+    sized = nodes.select("vec_id", "label", "vec", F.length("vec").alias("size"))
+    parts = sized.groupBy("label", "size").agg(F.ceil(F.count(F.lit(1)) / AUDIT_BLOCK).alias("parts"))
+    dealt = sized.join(parts, ["label", "size"]).withColumn(part, F.pmod(F.xxhash64("vec_id", F.lit(part)), "parts"))
+    return dealt.groupBy("label", "size", part).agg(
+        F.collect_list(F.struct("vec_id", "vec")).alias(f"{part}_rows"))
+
+
+def true_pairs(nodes: DataFrame, count: int, near: float) -> DataFrame:
+    """``u, v``: the near neighbours ``v`` of the audited nodes ``u``, by comparing them with all of their label; staged."""
+    share = max(1 / AUDITED_OF, AUDITED / max(count, 1))
+    asked = nodes if share >= 1 else nodes.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < round(share * (1 << 20)))
+    left, right = staged(_packed(asked, "ask"), "nn-asked"), staged(_packed(nodes, "all"), "nn-blocks")
+    keys = ["label", "size"]
+    tiles = left.select(*keys, "ask").join(right.select(*keys, "all"), keys)
+    met = tiles.join(left, [*keys, "ask"]).join(right, [*keys, "all"]).select("ask_rows", "all_rows")
 
     def truth(batches):
-        asked = shared.value
         for batch in batches:
-            for vec_id, label, vec in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "label", "vec"))):
-                alike = asked[(asked["label"] == label) & (asked["vec"].map(len) == len(vec)) & (asked["vec_id"] != vec_id)]
-                if len(alike):
-                    hit = alike["vec_id"].to_numpy()[_matrix(alike["vec"]) @ np.frombuffer(vec) >= near]
-                    if len(hit):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(hit), pa.array(np.full(len(hit), vec_id))], ["u", "v"])
-
-    true = staged(nodes.select("vec_id", "label", "vec").mapInArrow(truth, "u long, v long"), "nn-audit")
+            for i in range(batch.num_rows):
+                a, b = (batch.column(c)[i].values for c in ("ask_rows", "all_rows"))
+                u, v = (x.field("vec_id").to_numpy() for x in (a, b))
+                at, to = np.nonzero(_matrix(a.field("vec").to_pylist()) @ _matrix(b.field("vec").to_pylist()).T >= near)
+                other = u[at] != v[to]
+                yield pa.RecordBatch.from_arrays([pa.array(u[at][other]), pa.array(v[to][other])], ["u", "v"])
+
+    found = staged(met.mapInArrow(truth, "u long, v long"), "nn-audit")
+    discard(left)
+    discard(right)
+    return found
+
+
+def _audit(graph: DataFrame, true: DataFrame) -> float | None:
+    """Share of the true near pairs that the graph holds, either way; None where there are none to judge by."""
     both = graph.select("u", "v").unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     wanted, held = true.count(), true.join(both, ["u", "v"], "left_semi").count()
-    discard(true)
-    return held / wanted if wanted else 1.0
+    return held / wanted if wanted else None
 
 
-def neighbour_graph(nodes: DataFrame, near: float) -> tuple[DataFrame, float]:
-    """``u, v, cos`` with every pair found, and the audited recall of pairs of at least ``near``."""
-    count, labels = nodes.agg(F.count(F.lit(1)), F.count_distinct("label")).first()
+def neighbour_graph(nodes: DataFrame, near: float) -> tuple[DataFrame, float | None]:
+    """``u, v, cos`` with every pair found, and the audited recall of pairs of at least ``near`` (None: unknown)."""
+    count = nodes.count()
     sizes = staged(nodes.select(F.col("vec_id").alias("u"), F.lit(NEIGHBOURS).alias("most")), "nn-sizes")
-    graph = staged(_best(_start(nodes, count, labels), sizes), "nn-graph")
+    graph = staged(_best(_start(nodes), sizes), "nn-graph")
     # Lists that all nodes have at least. Enlarging ends by itself: no list is saturated once it has room for all nodes.
     least = NEIGHBOURS
+    true = true_pairs(nodes, count, near)
     while True:
-        for _ in range(ROUNDS):
+        while True:
             better = _round(graph, nodes, sizes)
             fresh = better.join(graph, ["u", "v"], "left_anti").count()
             discard(graph)
             graph = better
             if fresh <= LEAST_CHANGE * count * NEIGHBOURS:
                 break
-        recall = _audit(graph, nodes, near)
+        recall = _audit(graph, true)
         full = graph.groupBy("u").agg(F.count(F.lit(1)).alias("held"), F.min("cos").alias("worst")).join(sizes, "u").where(
             (F.col("held") >= F.col("most")) & (F.col("worst") >= near)).select("u")
         saturated = full.count()
-        low = recall < LEAST_RECALL and least < count
+        low = recall is not None and recall < LEAST_RECALL and least < count
         if not saturated and not low:
+            discard(true)
             return graph, recall
         least *= 2 if low else 1
         marked = full.withColumn("full", F.lit(True))
@@ -262,8 +297,9 @@ def _member_links(members: DataFrame, pairs: DataFrame, threshold: float) -> Dat
 
 
 def near_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label",
-                 threshold: float = THRESHOLD) -> tuple[DataFrame, float]:
-    """One row per input row, ``vec_id, n_links, component_id, kept``, and the audited recall.
+                 threshold: float = THRESHOLD) -> tuple[DataFrame, float | None]:
+    """One row per input row, ``vec_id, n_links, component_id, kept``, and the audited recall (None: no audited
+    vector has a near one, so nothing is known).
 
     Vectors link when their labels are equal and not null and their cosine is at least ``threshold``. Null, empty and
     zero vectors, those that hold null or non-finite components, and rows without id or label link with nothing, as do
@@ -297,4 +333,4 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
 
 def query(spark, sf_dir: str) -> DataFrame:
     found, recall = near_vectors(table(spark, sf_dir, "embeddings"))
-    return found.withColumn("audited_recall", F.lit(recall))
+    return found.withColumn("audited_recall", F.lit(recall).cast("double"))

@@ -293,6 +293,19 @@ def test_nn_descent_against_all_pairs(spark):
     assert nn_descent.near_vectors(frame.limit(0))[0].count() == 0
 
 
+def test_nn_descent_rare_pairs_in_a_hot_label(spark):
+    """Thirty near pairs in one label of 3,000 vectors among a thousand labels of three; then no near pair at all."""
+    rng = np.random.default_rng(5)
+    vectors = rng.standard_normal((6_000, 64))
+    vectors[30:60] = vectors[:30] + 0.25 * rng.standard_normal((30, 64))
+    frame = spark.createDataFrame(
+        [(i, v.tolist(), 0 if i < 3_000 else i % 1_000 + 1) for i, v in enumerate(vectors)],
+        "vec_id long, embedding array<double>, label int")
+    got, recall = nn_descent.near_vectors(frame)
+    assert {r.vec_id for r in got.where("n_links = 1").collect()} == set(range(60)) and recall == 1
+    assert nn_descent.near_vectors(frame.where("vec_id >= 30"))[1] is None
+
+
 def test_toxicity_held_out(spark, odd):
     got = toxicity.query(spark, "/root/testdata/sf0.1").join(
         spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out").collect()
