@@ -40,11 +40,13 @@ _BLOCK = {
 }
 # Blocks that end an open paragraph.
 _ENDS_P = _BLOCK - {"br", "option", "button", "title"}
+# Whole names in a class or id; "no-sidebar" or "has-comments" speak of something else.
 _NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adslot|adsense|banner|sponsor\w*|promo\w*|promotion\w*|side-?bar|menu|nav|navbar|navigation|"
+    r"(?:ads?|advert\w*|adslot|adsense|banner|sponsor\w*|promo\w*|promotion\w*|side-?bar|menu|nav|navbar|navigation|"
     r"breadcrumbs?|foot|footer|masthead|site-?header|page-?header|topbar|comments?|comment-?\w*|respond|replies|disqus\w*|cookies?|consent|gdpr|notices?|"
     r"alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|"
-    r"recirc|widget|pagination|pager|toolbar|copyright|legal|disclaimer|skip-?link|search\w*|tags?|paywall)(?:$|[\s_-])", re.I)
+    r"recirc|widget|pagination|pager|toolbar|copyright|legal|disclaimer|skip-?link|search\w*|tags?|paywall)"
+    r"(?:[_-]+(?:\d+|area|bar|block|bottom|box|buttons?|container|content|items?|left|links?|list|menu|right|section|slot|top|unit|widget|wrap|wrapper))*", re.I)
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu",
           "menubar", "toolbar", "note"}
 
@@ -53,23 +55,29 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(text)}
 
 
-def _is_furniture(name: str, attributes: dict[str, str], in_article: bool) -> bool:
+def _is_hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(
+        re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""), re.I))
+
+
+def _is_furniture(name: str, attributes: dict[str, str], in_article: bool, by_name: bool) -> bool:
     if name in _FURNITURE or name == "header" and not in_article:
         return True
     if name in ("html", "body", "main", "article") or re.fullmatch(r"h[1-6]", name):
         return False
-    if attributes.get("role", "").lower() in _ROLES or "hidden" in attributes or \
-            attributes.get("aria-hidden", "").lower() == "true" or \
-            re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""), re.I):
+    if attributes.get("role", "").lower() in _ROLES or _is_hidden(attributes):
         return True
-    return any(_NAMED.search(attributes.get(k, "")) for k in ("class", "id"))
+    return by_name and any(_NAMED.fullmatch(token) for k in ("class", "id") for token in attributes.get(k, "").split())
 
 
-def lines_of(page: str) -> list[tuple[str, bool, bool]]:
-    """Lines of a page in order: text, whether it lies in the marked article, whether it is furniture."""
+def lines_of(page: str, by_name: bool = True) -> list[tuple[str, bool, bool]]:
+    """Lines of a page in order: text, whether it lies in the marked article, whether it is furniture.
+
+    ``by_name``: classes and ids count.
+    """
     lines: list[tuple[str, bool, bool]] = []
     held: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, furniture, article
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, furniture, article, hidden
 
     def flush() -> None:
         text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
@@ -114,8 +122,13 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
                 del stack[depth:]
         article = bool(stack) and stack[-1][2]
         furniture = bool(stack) and stack[-1][1]
-        furniture = furniture or _is_furniture(name, _attributes(match[3]), article)
-        stack.append((name, furniture, article or name in ("article", "main") and not furniture))
+        if name in ("article", "main"):
+            # An article ends the furniture around it, unless it is itself hidden or lies in a menu, form or the like.
+            furniture = any(x in _FURNITURE or hidden for x, _, _, hidden in stack)
+        attributes = _attributes(match[3])
+        furniture = furniture or _is_furniture(name, attributes, article, by_name)
+        hidden = bool(stack) and stack[-1][3] or _is_hidden(attributes)
+        stack.append((name, furniture, article or name in ("article", "main") and not furniture, hidden))
     flush()
     return lines
 
@@ -145,6 +158,9 @@ def regions(lengths: list[int], window: int = WINDOW, surge: int = SURGE, dive:
 def main_text(page: str | None) -> str:
     """The article of a page, its blocks in order joined by one blank; null, empty and textless pages: empty."""
     lines = lines_of(page or "")
+    if all(furniture for _, _, furniture in lines):
+        # Names that leave nothing of the page do not name furniture.
+        lines = lines_of(page or "", by_name=False)
     marked = any(article and not furniture for _, article, furniture in lines)
     # Furniture counts as empty lines; a run of it as long as the window is a dive.
     lengths = [0 if furniture or marked and not article else len(text) for text, article, furniture in lines]

@@ -255,6 +255,13 @@ def test_html_regions_follow_surges_and_dives():
     assert html_text.regions([0, 5, 0, 0, 0, 90, 100, 3, 0, 80, 0, 0, 0, 4], 3, 80, 1) == [(5, 10)]
 
 
+@pytest.mark.parametrize("name", ["site no-sidebar", "content-area has-sidebar", "post-content has-comments", "legal-article", "tag-news"])
+def test_html_modifiers_are_no_furniture(name):
+    assert html_text.main_text(f"<div class='{name}'><p>Body</p></div>") == "Body"
+    assert html_text.main_text(f"<div class='{name} related'><article><p>Body</article><p>Other</div>") == "Body"
+    assert html_text.main_text("<div class='widget'><p>Body</div>") == "Body"
+
+
 def test_html_extra_columns_and_empty(spark):
     frame = spark.createDataFrame([(1, None, None, 5), (None, "u", "<p>x</p>", 6)], "page_id long, url string, html string, text int")
     assert sorted(map(tuple, html_text.extract(frame).collect()), key=str) == [(1, None, "", 0), (None, "u", "x", 1)]
