@@ -70,12 +70,12 @@ def _is_furniture(name: str, attributes: dict[str, str], in_article: bool, by_na
     return by_name and any(_NAMED.fullmatch(token) for k in ("class", "id") for token in attributes.get(k, "").split())
 
 
-def lines_of(page: str, by_name: bool = True) -> list[tuple[str, bool, bool]]:
-    """Lines of a page in order: text, whether it lies in the marked article, whether it is furniture.
+def lines_of(page: str, by_name: bool = True) -> list[tuple[str, bool, bool, bool]]:
+    """Lines of a page in order: text, whether it lies in the marked article, whether it is furniture or a heading.
 
     ``by_name``: classes and ids count.
     """
-    lines: list[tuple[str, bool, bool]] = []
+    lines: list[tuple[str, bool, bool, bool]] = []
     held: list[str] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # name, furniture, article, hidden
 
@@ -83,7 +83,8 @@ def lines_of(page: str, by_name: bool = True) -> list[tuple[str, bool, bool]]:
         text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
         held.clear()
         if text:
-            lines.append((text, bool(stack) and stack[-1][2], bool(stack) and stack[-1][1]))
+            heading = any(re.fullmatch(r"h[1-6]", x[0]) for x in stack)
+            lines.append((text, bool(stack) and stack[-1][2], bool(stack) and stack[-1][1], heading))
 
     at, size = 0, len(page)
     while at < size:
@@ -155,15 +156,28 @@ def regions(lengths: list[int], window: int = WINDOW, surge: int = SURGE, dive:
     return found + ([(start, len(lengths))] if start >= 0 else [])
 
 
+def _with_headings(lines: list[tuple[str, bool, bool, bool]], lengths: list[int], start: int) -> int:
+    """The first line of a text: headings join it over furniture and fewer than ``WINDOW`` other lines."""
+    others = 0
+    for i in range(start - 1, -1, -1):
+        if lengths[i] and lines[i][3]:
+            start, others = i, 0
+        elif lengths[i]:
+            others += 1
+            if others == WINDOW:
+                break
+    return start
+
+
 def main_text(page: str | None) -> str:
     """The article of a page, its blocks in order joined by one blank; null, empty and textless pages: empty."""
     lines = lines_of(page or "")
-    if all(furniture for _, _, furniture in lines):
+    if all(furniture for _, _, furniture, _ in lines):
         # Names that leave nothing of the page do not name furniture.
         lines = lines_of(page or "", by_name=False)
-    marked = any(article and not furniture for _, article, furniture in lines)
+    marked = any(article and not furniture for _, article, furniture, _ in lines)
     # Furniture counts as empty lines; a run of it as long as the window is a dive.
-    lengths = [0 if furniture or marked and not article else len(text) for text, article, furniture in lines]
+    lengths = [0 if furniture or marked and not article else len(text) for text, article, furniture, _ in lines]
     kept = regions(lengths)
     if not kept:
         return ""
@@ -171,10 +185,8 @@ def main_text(page: str | None) -> str:
         # Surges inside a marked article are all part of it, and so are its short first and last lines.
         kept = [(0, len(lines))]
     else:
-        # Without marks the region with most text is the article; others join it when they hold a fifth as much.
-        weight = {r: sum(lengths[r[0]:r[1]]) for r in kept}
-        most = max(weight.values())
-        kept = [r for r in kept if weight[r] * 5 >= most]
+        # Without marks everything from the first surge to the last dive is text, and so are the headings before it.
+        kept = [(_with_headings(lines, lengths, kept[0][0]), kept[-1][1])]
     return " ".join(lines[i][0] for a, b in kept for i in range(a, b) if lengths[i])
 
 

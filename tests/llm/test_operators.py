@@ -262,6 +262,13 @@ def test_html_modifiers_are_no_furniture(name):
     assert html_text.main_text("<div class='widget'><p>Body</div>") == "Body"
 
 
+def test_html_unmarked_page_keeps_short_parts():
+    body, end = [f"sentence {i} of a long body that goes on and on" for i in range(200)], "a short end " * 20
+    adverts = "".join(f"<div class='ad'>Buy {i}</div>" for i in range(5))
+    page = f"<h1>Title</h1>{adverts}{''.join(f'<p>{x}' for x in body)}</p>{adverts}<p>{end}</p><footer>F</footer>"
+    assert html_text.main_text(page) == " ".join(["Title", *body, end.strip()])
+
+
 def test_html_extra_columns_and_empty(spark):
     frame = spark.createDataFrame([(1, None, None, 5), (None, "u", "<p>x</p>", 6)], "page_id long, url string, html string, text int")
     assert sorted(map(tuple, html_text.extract(frame).collect()), key=str) == [(1, None, "", 0), (None, "u", "x", 1)]
