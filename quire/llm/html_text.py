@@ -1,9 +1,9 @@
 """Main text of web pages by line-block distribution.
 
 A page is stripped to lines, one per block of text. The number of characters in a sliding window of ``WINDOW`` lines
-surges where the article begins and dives where it ends; text between is kept. What page structure already says is
-used before: lines inside menus, forms, scripts, adverts, comments and the like are boilerplate whatever their
-length and end a region, and if the page marks its article, only lines inside count.
+surges where the article begins and dives where it ends; text between is kept. Lines inside menus, forms, scripts,
+adverts, comments and the like are boilerplate whatever their length and end a region. If the page marks its article
+and most of the main surge lies inside, only lines inside count; other marks (teasers) are not looked at.
 """
 
 from __future__ import annotations
@@ -175,17 +175,20 @@ def main_text(page: str | None) -> str:
     if all(furniture for _, _, furniture, _ in lines):
         # Names that leave nothing of the page do not name furniture.
         lines = lines_of(page or "", by_name=False)
-    marked = any(article and not furniture for _, article, furniture, _ in lines)
     # Furniture counts as empty lines; a run of it as long as the window is a dive.
-    lengths = [0 if furniture or marked and not article else len(text) for text, article, furniture, _ in lines]
+    lengths = [0 if furniture else len(text) for text, _, furniture, _ in lines]
     kept = regions(lengths)
     if not kept:
         return ""
-    if marked:
+    # The marks of a page are believed if most of its main surge lies inside, and only then is what lies outside no text.
+    start, end = max(kept, key=lambda r: sum(lengths[r[0]:r[1]]))
+    inside = [n if line[1] else 0 for n, line in zip(lengths, lines)]
+    if 2 * sum(inside[start:end]) > sum(lengths[start:end]):
+        lengths = inside
         # Surges inside a marked article are all part of it, and so are its short first and last lines.
         kept = [(0, len(lines))]
     else:
-        # Without marks everything from the first surge to the last dive is text, and so are the headings before it.
+        # Everything from the first surge to the last dive is text, and so are the headings before it.
         kept = [(_with_headings(lines, lengths, kept[0][0]), kept[-1][1])]
     return " ".join(lines[i][0] for a, b in kept for i in range(a, b) if lengths[i])
 

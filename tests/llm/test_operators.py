@@ -269,6 +269,15 @@ def test_html_unmarked_page_keeps_short_parts():
     assert html_text.main_text(page) == " ".join(["Title", *body, end.strip()])
 
 
+def test_html_teasers_are_not_the_article():
+    body = [f"sentence {i} of a long body that goes on and on" for i in range(50)]
+    cards = "".join(f"<article class='card'><h3>Teaser {i}</h3></article>" for i in range(4))
+    text = html_text.main_text(f"<div>{''.join(f'<p>{x}' for x in body)}</div><nav>N</nav>{cards}")
+    assert text.startswith(" ".join(body))
+    two = "".join(f"<article><p>{x}</article><p>Between" for x in body[:2])
+    assert html_text.main_text(two) == " ".join(body[:2])
+
+
 def test_html_extra_columns_and_empty(spark):
     frame = spark.createDataFrame([(1, None, None, 5), (None, "u", "<p>x</p>", 6)], "page_id long, url string, html string, text int")
     assert sorted(map(tuple, html_text.extract(frame).collect()), key=str) == [(1, None, "", 0), (None, "u", "x", 1)]
