@@ -128,6 +128,15 @@ def file_digest(path: str) -> str | None:
         return None
 
 
+def file_document(path: str, content: bytes | None) -> bytes:
+    """The document of a file, whole; one without content is too large for a row and is opened by its path."""
+    if content is not None:
+        return document_bytes(path, content)
+    with opened(path) as stream:
+        document = document_bytes(path, stream)
+        return document if isinstance(document, bytes) else document.read()
+
+
 def read_workbook(path: str, content: bytes | None) -> tuple[Document, tuple[str, str] | None]:
     """The document and no error, or an empty document and the reason; never raises."""
     try:
