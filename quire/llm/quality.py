@@ -25,7 +25,7 @@ BITS = 16
 TRIGRAMS = 1 << (BITS - 1)
 # Documented bound of the scorer's training sample: documents by the hash of their ids. The hash is set to keep five
 # sixths of it, so that the bound itself cuts only where very many rows share one id.
-MOST_TRAINED = 12_000
+MOST_TRAINED = 20_000
 THRESHOLD = 0.5
 ROUNDS = 200
 EPOCHS = 20
@@ -161,6 +161,11 @@ def fit_scorer(drawn: pa.Table, soft: np.ndarray) -> tuple[np.ndarray, float]:
     return weight[:-1], float(weight[-1])
 
 
+def _edge(share: float) -> int:
+    """The largest 64-bit hash in the given share of all, which starts at the least one."""
+    return min(int(share * (1 << 64)), 1 << 64) - (1 << 63) - 1
+
+
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, votes, posterior, score, predicted`` (1: good).
 
@@ -179,7 +184,7 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
     place = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)))
     share = min(1.0, MOST_TRAINED / 1.2 / max(int(counted["n"].sum()), 1))
-    sample = rows.where(F.pmod(place, F.lit(1 << 20)) < int(share * (1 << 20))).select("body", place.alias("place"))
+    sample = rows.where(place <= _edge(share)).select("body", place.alias("place"))
     drawn = sample.mapInArrow(_sampled, "place long, votes string, buckets array<int>, values array<float>").limit(
         MOST_TRAINED).toArrow().sort_by("place")
     soft = np.array([posterior[v] for v in drawn["votes"].to_pylist()])

@@ -354,6 +354,13 @@ def test_language_held_out(spark, odd):
     assert language.identify(odd.limit(0)).count() == 0
 
 
+def test_quality_sample_bound():
+    assert quality.MOST_TRAINED == 20_000
+    assert quality._edge(1.0) == (1 << 63) - 1 and quality._edge(0.5) == -1
+    share = 1e4 / 1e12
+    assert quality._edge(share) + (1 << 63) + 1 == int(share * (1 << 64)) > 0
+
+
 def test_quality_against_labels(spark, odd):
     got = quality.query(spark, "/root/testdata/sf0.01").join(
         spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality"), "doc_id").collect()
