@@ -317,7 +317,7 @@ def test_nn_descent_against_all_pairs(spark):
 
 
 def test_nn_descent_rare_pairs_in_a_hot_label(spark):
-    """Thirty near pairs in one label of 3,000 vectors among a thousand labels of three; then no near pair at all."""
+    """Thirty near pairs in one label of 3,000 vectors among a thousand labels of three."""
     rng = np.random.default_rng(5)
     vectors = rng.standard_normal((6_000, 64))
     vectors[30:60] = vectors[:30] + 0.25 * rng.standard_normal((30, 64))
@@ -326,7 +326,14 @@ def test_nn_descent_rare_pairs_in_a_hot_label(spark):
         "vec_id long, embedding array<double>, label int")
     got, recall = nn_descent.near_vectors(frame)
     assert {r.vec_id for r in got.where("n_links = 1").collect()} == set(range(60)) and recall == 1
-    assert nn_descent.near_vectors(frame.where("vec_id >= 30"))[1] is None
+
+
+def test_nn_descent_audit_without_near_pairs_is_unknown(spark):
+    rows = [(i, 0, bytearray(v.tobytes())) for i, v in enumerate(np.eye(64))]
+    none = spark.createDataFrame([], "u long, v long")
+    for extra, want in (([], None), ([(99, 0, rows[0][2])], 0)):
+        nodes = spark.createDataFrame(rows + extra, "vec_id long, label long, vec binary")
+        assert nn_descent._audit(none, nn_descent.true_pairs(nodes, len(rows), 0.9)) == want
 
 
 def test_toxicity_held_out(spark, odd):
