@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import discard, lower_ascii, staged, table, with_row_id
 
-TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# Digits, a-z and all beyond ASCII of a lower-cased text. Said positively: Java searches a complement of ranges 20 times slower.
+TERM = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 WINDOW = 10
 
 
