@@ -1,9 +1,9 @@
 """Exact BPE encoding in linear time by backtracking over longest matches, and decoding by an offset table.
 
 A sequence of tokens is the BPE encoding of a word exactly if each neighbouring pair is the encoding of its own text.
-So the encoder takes, from each position, the longest token that an Aho-Corasick pass found there, checks it against
-the token before in the pair-compatibility table, falls back to the next shorter token, and steps back when none is
-left; positions that led nowhere are not entered again.
+So one Aho-Corasick pass over a word notes the longest token that begins at each position; the encoder takes it from
+there, checks it against the token before in the pair-compatibility table, falls back to the next shorter token, and
+steps back when none is left; positions that led nowhere are not entered again.
 """
 
 from __future__ import annotations
@@ -50,6 +50,14 @@ _LETTERS_16 = ((0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0
                (0x1E5F0, 0x1E5F0))
 _NUMBERS_16 = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79),
                (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+# Lower-case forms that Unicode 16 and 17 added, which the library knows and Python 3.13 does not: the first
+# and last upper-case code point and the lower-case form of the first.
+_LOWER_NEW = ((0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x0264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF),
+              (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x019B),
+              (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB))
+# Lower-casing goes character by character, without the special form of a final sigma.
+_LOWER_FIRST = {0x3A3: 0x3C3} | {c: to + c - first for first, last, to in _LOWER_NEW for c in range(first, last + 1)}
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 _SPACES = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 
@@ -80,6 +88,8 @@ class Tokenizer:
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         if pattern != _PATTERN:
             raise ValueError("only the word pattern of these files is supported")
+        if spec["normalizer"]["normalizers"] != _NORMALIZER:
+            raise ValueError("only the normalizer of these files is supported")
         letters, numbers = _class("L"), _class("N")
         self._words = re.compile(f"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{numbers}]|[^{_SPACES}{letters}{numbers}]+")
         # The same for lower-cased texts of Latin letters only, with plain classes and the common case first.
@@ -93,19 +103,12 @@ class Tokenizer:
         self._ids = {t: i for i, t in self._inner.items()}
         self._rank = {tuple(map(inner, pair)): r for r, pair in enumerate(
             p if isinstance(p, list) else p.split(" ") for p in model["merges"])}
-        # How far any token can match from a position, and the longest token within each such path.
         self._matches = ahocorasick.Automaton()
-        self._longest: dict[str, int] = {}
         self._shorter: dict[int, int] = {}
-        for t, i in sorted(self._ids.items(), key=lambda x: len(x[0])):
+        for t, i in self._ids.items():
             self._matches.add_word(t, i)
             self._shorter[i] = next((self._ids[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self._ids), -1)
-        for t in self._ids:
-            for n in range(1, len(t) + 1):
-                if t[:n] not in self._longest:
-                    self._longest[t[:n]] = self._ids[t[:n]] if t[:n] in self._ids else self._longest.get(t[:n - 1], -1)
         self._matches.make_automaton()
-        self._reach = max(map(len, self._ids))
         self._length = {i: len(t) for i, t in self._inner.items()}
         self._pairs: dict[int, bool] = {}
 
@@ -139,16 +142,17 @@ class Tokenizer:
     def encode_word(self, word: str) -> list[int]:
         """Ids of one word in byte letters, its end included."""
         text = word + _END
-        size, reach = len(text), self._reach
-        match, longest, shorter = self._matches.longest_prefix, self._longest, self._shorter
-        length, pairs = self._length, self._pairs
+        size, shorter, length, pairs = len(text), self._shorter, self._length, self._pairs
+        # Matches come by their ends, so that of those with one beginning the longest is noted last.
+        longest = [-1] * size
+        for end, token in self._matches.iter(text):
+            longest[end + 1 - length[token]] = token
         taken: list[int] = []
         dead: set[int] = set()
         at, fresh, token = 0, True, -1
         while at < size:
             if fresh:
-                ahead = text[at:at + reach]
-                token = longest.get(ahead[:match(ahead)], -1)
+                token = longest[at]
             while token != -1:
                 if at + length[token] not in dead:
                     if not taken:
@@ -173,8 +177,7 @@ class Tokenizer:
     def words(self, text: str) -> list[str]:
         """The words that are encoded on their own; white space goes."""
         if not text.isascii():
-            # Lower-casing goes character by character, without the special form of a final sigma.
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            text = unicodedata.normalize("NFC", text).translate(_LOWER_FIRST)
         text = text.lower()
         if not _BEYOND_LATIN.search(text):
             return self._latin.findall(text)

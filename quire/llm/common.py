@@ -47,10 +47,19 @@ def discard(frame: DataFrame) -> None:
 
 
 def with_row_id(rows: DataFrame, name: str = "row_id") -> DataFrame:
-    """Number the rows of a table scan; reading the same scan again gives the same numbers."""
+    """Number the rows of a table scan, for use within one job.
+
+    A later job may number them otherwise: how a scan is split depends on the cores there are when it is planned. What
+    refers to the numbers across jobs takes ``numbered``.
+    """
     return rows.withColumn(name, F.monotonically_increasing_id())
 
 
+def numbered(rows: DataFrame, name: str = "row_id") -> DataFrame:
+    """The rows with their numbers, staged: every later job reads the same numbers."""
+    return staged(with_row_id(rows, name), "numbered")
+
+
 def lower_ascii(text: Column) -> Column:
     """A text (null: empty) with A-Z lower-cased and nothing else changed."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import kept_rows, lower_ascii, table, unused_name, with_row_id
+from quire.llm.common import kept_rows, lower_ascii, numbered, table, unused_name, with_row_id
 
 # Salts of the second round, 63 at most: a text held by a third of all rows reaches this many tasks, once per input partition.
 SALTS = 32
@@ -36,8 +36,8 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row
     and one text one stays. An empty table gives no rows; other columns of the input are not looked at.
     ``row_id`` names a column that numbers the rows; without it the rows of the scan are numbered here.
     """
-    numbered = docs if row_id else with_row_id(docs, row_id := unused_name(docs, "row_id"))
-    rows = numbered.select(
+    docs = docs if row_id else with_row_id(docs, row_id := unused_name(docs, "row_id"))
+    rows = docs.select(
         F.col(row_id).alias("row_id"), F.col(doc_id).cast("long").alias("doc_id"),
         lower_ascii(F.col(text)).alias("body"),
     ).withColumn("digest", F.unhex(F.sha2(F.col("body").cast("binary"), 256)))
@@ -67,11 +67,15 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
+    """The documents that stay, with all their columns: of equal texts the row with the largest id, and one row only.
+
+    Null texts are empty texts, null ids lie below all others; of rows that repeat id and text one stays; an empty table
+    stays empty; columns may have any names. Rows are numbered in a staged copy, so that no later job numbers them anew.
+    """
     name = unused_name(docs, "row_id")
-    numbered = with_row_id(docs, name)
-    stay = exact_dedup(numbered, row_id=name).where("kept").select(F.col("row_id").alias(name))
-    return kept_rows(numbered, stay, name)
+    rows = numbered(docs, name)
+    stay = exact_dedup(rows, row_id=name).where("kept").select(F.col("row_id").alias(name))
+    return kept_rows(rows, stay, name)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import WORD, staged, table, unused_name, with_row_id
+from quire.llm.common import WORD, numbered, staged, table, unused_name, with_row_id
 
 MOST_EPOCHS = 3
 # Slices of a source: each sorts 1/4096 of it, 2.4 million rows of a source of ten thousand million.
@@ -64,14 +64,14 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     agree between runs. A table without words has targets of zero and takes each document zero times; an empty table
     gives no rows. Other columns of the input are not looked at. ``row_id`` names a column that numbers the rows.
     """
-    numbered = docs if row_id else with_row_id(docs, row_id := unused_name(docs, "row_id"))
+    docs = docs if row_id else with_row_id(docs, row_id := unused_name(docs, "row_id"))
     body = F.coalesce(F.col(text), F.lit(""))
     # The first 52 bits of a digest, moved off zero: uniform on (0, 1).
     bits = F.conv(F.substring(F.md5(F.concat(
         F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.sha2(body.cast("binary"), 256),
     ).cast("binary")), 1, 13), 16, 10).cast("double")
     quality = 1 / (1 + F.col("marks") / F.greatest("size", F.lit(1)))
-    keyed = numbered.select(
+    keyed = docs.select(
         F.col(row_id).alias("row_id"), F.col(doc_id).cast("long").alias("doc_id"),
         F.col(source).cast("string").alias("source"), _count(body, WORD).alias("size"),
         _count(body, MARKS).alias("marks"), ((bits + 0.5) / 2.0 ** 52).alias("u"),
@@ -106,12 +106,17 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with all its columns."""
+    """The mix itself: each document as often as it is taken, with all its columns.
+
+    Null texts have no words and are taken as their neighbours by key are; null sources are a source; repeated rows are
+    each a document; an empty table stays empty; columns may have any names. Rows are numbered in a staged copy, so that no later
+    job numbers them anew.
+    """
     name = unused_name(docs, "row_id")
-    numbered = with_row_id(docs, name)
-    turns = mix(numbered, row_id=name).where("copies > 0").select(
+    rows = numbered(docs, name)
+    turns = mix(rows, row_id=name).where("copies > 0").select(
         F.col("row_id").alias(name), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("turn"))
-    return numbered.join(turns.select(name), name).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(turns.select(name), name).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@
 segments (around the ring) has, at each length l, at most floor(2 l / 16) differing bits: none in its first seven
 segments, one in its first fifteen, two in all. So a join on the first seven segments (28 bits) from each of the 16
 starts finds every pair, and the longer chains discard most candidates before the full comparison. Equal fingerprints
-are merged first, so copies, however many, meet the join once.
+are merged first, so copies, however many, meet the join once. Candidates are pairs of equal 28-bit keys: with d distinct
+fingerprints some 8 d^2 / 2^28 of them, 3 a fingerprint at d = 10^8 and 300 at 10^10.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import kept_rows, python_ready, staged, table, unused_name, with_row_id
+from quire.llm.common import kept_rows, numbered, python_ready, staged, table, unused_name, with_row_id
 from quire.llm.components import components
 
 SHINGLE = 3
@@ -54,8 +55,8 @@ def _fingerprints(batches):
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row_id: str | None = None) -> DataFrame:
     """``row_id, doc_id, fp`` of every row, staged."""
     python_ready(docs)
-    numbered = docs if row_id else with_row_id(docs, row_id := unused_name(docs, "row_id"))
-    rows = numbered.select(F.col(row_id).alias("row_id"), F.col(doc_id).cast("long").alias("doc_id"),
+    docs = docs if row_id else with_row_id(docs, row_id := unused_name(docs, "row_id"))
+    rows = docs.select(F.col(row_id).alias("row_id"), F.col(doc_id).cast("long").alias("doc_id"),
                            F.col(text).cast("binary").alias("body"))
     return staged(rows.mapInArrow(_fingerprints, _SCHEMA), "simhash")
 
@@ -108,11 +109,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of each component, with all its columns."""
+    """One document of each component, with all its columns: its smallest id, and of repeated rows the first.
+
+    Null, empty and blank texts share fingerprint zero, so one of them stays; null ids lie above all others; an empty table
+    stays empty; columns may have any names. Rows are numbered in a staged copy, so that no later job numbers them anew.
+    """
     name = unused_name(docs, "row_id")
-    numbered = with_row_id(docs, name)
-    stay = near_duplicates(numbered, row_id=name).where("row_id = keep_row").select(F.col("row_id").alias(name))
-    return kept_rows(numbered, stay, name)
+    rows = numbered(docs, name)
+    stay = near_duplicates(rows, row_id=name).where("row_id = keep_row").select(F.col("row_id").alias(name))
+    return kept_rows(rows, stay, name)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import kept_rows, python_ready, remainder, table, unused_name, with_row_id
+from quire.llm.common import (
+    discard, kept_rows, numbered, python_ready, remainder, staged, table, unused_name, with_row_id,
+)
 from quire.llm.grams import all_distinct, distinct, sigmoid
 
 ORDERS = (4, 5, 6)
@@ -26,6 +28,8 @@ LEAST_RATIO = 1.0
 # Ratios within this many standard errors of zero are noise.
 LEAST_ERRORS = 2.5
 STEPS = 400
+# n-grams of the sample that a step of the fit unpacks at a time.
+PART = 1 << 18
 RATE = 0.05
 DECAY = 0.1
 
@@ -72,9 +76,20 @@ def log_count_ratios(counts: pd.DataFrame) -> np.ndarray:
     return ratios
 
 
-def fit_logistic(owner: np.ndarray, bucket: np.ndarray, toxic: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights per bucket, ratio included, and intercept: full-batch Adam on the logistic loss with decay."""
-    used, column = np.unique(bucket, return_inverse=True)
+def fit_logistic(parts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, ratios: np.ndarray,
+                 ) -> tuple[np.ndarray, float]:
+    """Weights per bucket, ratio included, and intercept: full-batch Adam on the logistic loss with decay.
+
+    ``parts`` holds the rows in order, some at a time: how many buckets each has, and the buckets one after another
+    (32-bit). Each step goes over the parts, so its own arrays are as large as one part, not as the sample.
+    """
+    met = np.zeros(1 << BITS, bool)
+    for _, buckets in parts:
+        met[buckets] = True
+    used = np.flatnonzero(met)
+    place = np.zeros(1 << BITS, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    parts = [(sizes, place[buckets]) for sizes, buckets in parts]
     value = ratios[used]
     weight = np.full(len(used), 0.1)
     rate = toxic.mean()
@@ -82,10 +97,16 @@ def fit_logistic(owner: np.ndarray, bucket: np.ndarray, toxic: np.ndarray, ratio
     m, s = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, STEPS + 1):
         v = weight * value
-        score = bias + np.bincount(owner, v[column], minlength=len(toxic))
-        error = (sigmoid(score) - toxic) / len(toxic)
-        gradient = np.append(value * np.bincount(column, error[owner], minlength=len(used)) + DECAY * weight / len(toxic),
-                             error.sum())
+        slope = np.zeros(len(used))
+        off, start = 0.0, 0
+        for sizes, column in parts:
+            owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+            score = bias + np.bincount(owner, v[column], minlength=len(sizes))
+            error = (sigmoid(score) - toxic[start:start + len(sizes)]) / len(toxic)
+            slope += np.bincount(column, error[owner], minlength=len(used))
+            off += error.sum()
+            start += len(sizes)
+        gradient = np.append(value * slope + DECAY * weight / len(toxic), off)
         m = 0.9 * m + 0.1 * gradient
         s = 0.999 * s + 0.001 * gradient ** 2
         move = RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(s / (1 - 0.999 ** step)) + 1e-9)
@@ -116,13 +137,26 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
             lists = np.split(bucket, np.cumsum(np.bincount(owner, minlength=batch.num_rows))[:-1])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(batch.column("toxic").to_pylist(), pa.int32()),
-                 pa.array([x.astype(np.int32) for x in lists], pa.list_(pa.int32()))], ["toxic", "buckets"])
+                 pa.array([x.astype(np.int32).tobytes() for x in lists], pa.binary())], ["toxic", "buckets"])
+
+    # One partition at a time reaches the driver, and only packed 32-bit buckets stay.
+    lists = staged(sample.mapInArrow(telling, "toxic int, buckets binary"), "toxic-sample")
+    parts, marks, waiting, held = [], [], [], 0
+    for row in lists.toLocalIterator():
+        marks.append(row["toxic"] > 0)
+        waiting.append(np.frombuffer(row["buckets"], np.int32))
+        held += len(waiting[-1])
+        if held >= PART:
+            parts.append(_part(waiting))
+            waiting, held = [], 0
+    if waiting:
+        parts.append(_part(waiting))
+    discard(lists)
+    return fit_logistic(parts, np.array(marks, float), ratios)
 
-    rows = sample.mapInArrow(telling, "toxic int, buckets array<int>").toArrow()
-    sizes = np.array([len(x) for x in rows["buckets"]], np.int64)
-    flat = rows["buckets"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    marks = (rows["toxic"].to_numpy() > 0).astype(float)
-    return fit_logistic(np.repeat(np.arange(len(sizes)), sizes), flat, marks, ratios)
+
+def _part(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([len(r) for r in rows], np.int64), np.concatenate(rows)
 
 
 def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -135,8 +169,8 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     at. Without labelled texts of both classes every row gets the class there is, or 0.
     """
     spark = python_ready(docs)
-    numbered = docs if row_id else with_row_id(docs, row_id := unused_name(docs, "row_id"))
-    rows = numbered.select(F.col(row_id).alias("row_id"), F.col(doc_id).cast("long").alias("doc_id"),
+    docs = docs if row_id else with_row_id(docs, row_id := unused_name(docs, "row_id"))
+    rows = docs.select(F.col(row_id).alias("row_id"), F.col(doc_id).cast("long").alias("doc_id"),
                            F.col(text).cast("string").alias("body"))
     weights, bias = fit(rows, labels)
     model = spark.sparkContext.broadcast((weights, weights != 0))
@@ -156,11 +190,15 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents that the classifier does not reject, with all their columns."""
+    """Documents that the classifier does not reject, with all their columns.
+
+    Rows with null or empty texts, null ids and repeated rows are each judged by their text; an empty table stays empty;
+    columns may have any names. Rows are numbered in a staged copy, so that no later job numbers them anew.
+    """
     name = unused_name(docs, "row_id")
-    numbered = with_row_id(docs, name)
-    stay = score(numbered, labels, row_id=name).where("predicted = 0").select(F.col("row_id").alias(name))
-    return kept_rows(numbered, stay, name)
+    rows = numbered(docs, name)
+    stay = score(rows, labels, row_id=name).where("predicted = 0").select(F.col("row_id").alias(name))
+    return kept_rows(rows, stay, name)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
