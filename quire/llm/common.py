@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +57,17 @@ def with_row_id(rows: DataFrame, name: str = "row_id") -> DataFrame:
 
 
 def numbered(rows: DataFrame, name: str = "row_id") -> DataFrame:
-    """The rows with their numbers, staged: every later job reads the same numbers."""
+    """The rows with an identity that every later job reads the same.
+
+    Rows of a Parquet scan have one: their file and their place in it, whatever way the file is split. Rows of anything
+    else are numbered and staged.
+    """
+    plan = rows._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "LogicalRelation" and "_metadata" not in rows.columns:
+        try:
+            return rows.withColumn(name, F.concat_ws(":", "_metadata.row_index", "_metadata.file_path"))
+        except AnalysisException:  # a format whose rows have no place
+            pass
     return staged(with_row_id(rows, name), "numbered")
 
 

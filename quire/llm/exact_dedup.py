@@ -42,8 +42,11 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row
         lower_ascii(F.col(text)).alias("body"),
     ).withColumn("digest", F.unhex(F.sha2(F.col("body").cast("binary"), 256)))
 
-    # The upper bits of a row number are its input partition, so copies in one partition share a salt.
-    salt = F.pmod(F.shiftrightunsigned(F.col("row_id"), 33), F.lit(salts)).cast("int")
+    # Copies in one input partition or file share a salt: the upper bits of a row number are its partition, and what
+    # follows the colon of an address is its file.
+    long_id = dict(rows.dtypes)["row_id"] == "bigint"
+    part = F.shiftrightunsigned(F.col("row_id"), 33) if long_id else F.xxhash64(F.substring_index("row_id", ":", -1))
+    salt = F.pmod(part, F.lit(salts)).cast("int")
     salted = rows.groupBy("digest", "body", salt.alias("salt")).agg(
         _latest("row_id", "doc_id"), F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     winners = salted.groupBy("digest", "body").agg(
@@ -70,7 +73,8 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns: of equal texts the row with the largest id, and one row only.
 
     Null texts are empty texts, null ids lie below all others; of rows that repeat id and text one stays; an empty table
-    stays empty; columns may have any names. Rows are numbered in a staged copy, so that no later job numbers them anew.
+    stays empty; columns may have any names. Rows are known by an identity that
+    holds for all jobs (``numbered``).
     """
     name = unused_name(docs, "row_id")
     rows = numbered(docs, name)

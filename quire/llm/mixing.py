@@ -109,8 +109,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it is taken, with all its columns.
 
     Null texts have no words and are taken as their neighbours by key are; null sources are a source; repeated rows are
-    each a document; an empty table stays empty; columns may have any names. Rows are numbered in a staged copy, so that no later
-    job numbers them anew.
+    each a document; an empty table stays empty; columns may have any names. Rows are known by an identity that holds
+    for all jobs (``numbered``).
     """
     name = unused_name(docs, "row_id")
     rows = numbered(docs, name)

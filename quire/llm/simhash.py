@@ -24,7 +24,6 @@ SEGMENTS = 16
 DISTANCE = 2
 SEED = 42
 
-_SCHEMA = "row_id long, doc_id long, fp long"
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -58,7 +57,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ro
     docs = docs if row_id else with_row_id(docs, row_id := unused_name(docs, "row_id"))
     rows = docs.select(F.col(row_id).alias("row_id"), F.col(doc_id).cast("long").alias("doc_id"),
                            F.col(text).cast("binary").alias("body"))
-    return staged(rows.mapInArrow(_fingerprints, _SCHEMA), "simhash")
+    return staged(rows.mapInArrow(_fingerprints, f"row_id {dict(rows.dtypes)['row_id']}, doc_id long, fp long"), "simhash")
 
 
 def _from_start(fp: Column, start: int, width: int) -> Column:
@@ -112,7 +111,8 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One document of each component, with all its columns: its smallest id, and of repeated rows the first.
 
     Null, empty and blank texts share fingerprint zero, so one of them stays; null ids lie above all others; an empty table
-    stays empty; columns may have any names. Rows are numbered in a staged copy, so that no later job numbers them anew.
+    stays empty; columns may have any names. Rows are known by an identity that
+    holds for all jobs (``numbered``).
     """
     name = unused_name(docs, "row_id")
     rows = numbered(docs, name)

@@ -184,7 +184,7 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                 [batch.column("row_id"), batch.column("doc_id"), pa.array(sigmoid(total), pa.float64())],
                 ["row_id", "doc_id", "score"])
 
-    return rows.mapInArrow(scores, "row_id long, doc_id long, score double").select(
+    return rows.mapInArrow(scores, f"row_id {dict(rows.dtypes)['row_id']}, doc_id long, score double").select(
         "row_id", "doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
@@ -193,7 +193,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents that the classifier does not reject, with all their columns.
 
     Rows with null or empty texts, null ids and repeated rows are each judged by their text; an empty table stays empty;
-    columns may have any names. Rows are numbered in a staged copy, so that no later job numbers them anew.
+    columns may have any names. Rows are known by an identity that
+    holds for all jobs (``numbered``).
     """
     name = unused_name(docs, "row_id")
     rows = numbered(docs, name)
