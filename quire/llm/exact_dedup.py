@@ -60,7 +60,7 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row
         f"filter(sequence(0, {salts - 1}), s -> shiftrightunsigned(salted, s) & 1 = 1)")))
 
     one_text = F.when(F.col("texts") == 1, F.col("keep_row")).otherwise(
-        F.raise_error(F.lit("two texts share one SHA-256 digest")).cast("long"))
+        F.raise_error(F.lit("two texts share one SHA-256 digest")).cast(dict(rows.dtypes)["row_id"]))
     return (
         rows.select("row_id", "doc_id", "digest", salt.alias("salt")).join(by_salt, ["digest", "salt"])
         .withColumn("keep_row", one_text)
