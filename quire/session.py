@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 # Settings every job here relies on; both can be changed on a live session.
@@ -69,3 +70,38 @@ def hadoop_path(spark: SparkSession, path: str):
     """A path and its file system, whichever kind that is."""
     handle = spark._jvm.org.apache.hadoop.fs.Path(path)
     return handle, handle.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small UTF-8 file."""
+    handle, files = hadoop_path(spark, path)
+    stream = files.open(handle)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small UTF-8 file."""
+    handle, files = hadoop_path(spark, path)
+    stream = files.create(handle, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def rename_new(spark: SparkSession, path: str, target: str) -> bool:
+    """Rename a file unless the target exists; whether it was renamed."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    fs = jvm.org.apache.hadoop.fs
+    source, place = fs.Path(path), fs.Path(target)
+    context = fs.FileContext.getFileContext(hadoop_path(spark, path)[1].getUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(source, place, gateway.new_array(fs.Options.Rename, 0))
+    except Py4JJavaError as problem:
+        if problem.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+            return False
+        raise
+    return True

@@ -69,11 +69,65 @@ def test_scan_and_rescan(spark, tree, tmp_path):
 def test_incomplete_versions_are_ignored(spark, ingest, tmp_path):
     store = EstateStore(spark, str(tmp_path / "s"))
     store.upsert(ingest({"a.twb": CLEAN}))
-    os.makedirs(tmp_path / "s" / "v00000002")
+    # What a writer leaves that died: data without a manifest, and a manifest under another name.
+    os.makedirs(tmp_path / "s" / "data" / "dead" / "bucket=0")
+    (tmp_path / "s" / "manifests" / "writing-dead").write_text("{")
     assert store.version() == 1 and store.load().count() == 1
     batch = ingest({"b.twb": CLEAN})
-    assert store.upsert(batch.unionByName(batch)) == 3
-    assert store.version() == 3 and store.load().count() == 2 and store.load(1).count() == 1
+    assert store.upsert(batch.unionByName(batch)) == 2
+    assert store.version() == 2 and store.load().count() == 2 and store.load(1).count() == 1
+
+
+def data_files(root):
+    return {os.path.join(d, f) for d, _, names in os.walk(root) for f in names if f.endswith(".parquet")}
+
+
+def test_an_upsert_writes_the_buckets_of_its_paths_only(spark, ingest, tmp_path):
+    store = EstateStore(spark, str(tmp_path / "s"), buckets=512)
+    books = ingest({f"{i}.twb": CLEAN for i in range(600)}).persist()
+    store.upsert(books)
+    first, folders = data_files(tmp_path / "s"), store.manifest(1)["folders"]
+    assert len(first) == len(folders) > 300
+    store.upsert(books.where("path IN ('1.twb', '22.twb', '333.twb', '44.twb', '55.twb', '6.twb')"))
+    written = data_files(tmp_path / "s") - first
+    assert 1 <= len(written) <= 6
+    changed = {b for b, folder in store.manifest(2)["folders"].items() if folders.get(b) != folder}
+    assert len(changed) == len(written)
+    assert store.load().count() == 600 and store.load().select("path").distinct().count() == 600
+    # Reopened with another number, the store keeps its own.
+    assert EstateStore(spark, store.root, buckets=7).upsert(books.where("path = '9.twb'")) == 3
+    assert store.manifest(3)["buckets"] == 512 and store.load().count() == 600
+
+
+def test_of_two_writers_one_fails(spark, ingest, tmp_path, monkeypatch):
+    store, other = (EstateStore(spark, str(tmp_path / "s"), buckets=4) for _ in range(2))
+    store.upsert(ingest({"a.twb": CLEAN}))
+    plain = EstateStore._publish
+
+    def interrupted(self, current, manifest):
+        monkeypatch.setattr(EstateStore, "_publish", plain)
+        other.upsert(ingest({"b.twb": CLEAN}))
+        plain(self, current, manifest)
+
+    monkeypatch.setattr(EstateStore, "_publish", interrupted)
+    with pytest.raises(RuntimeError, match="another writer"):
+        store.upsert(ingest({"c.twb": CLEAN}))
+    assert store.version() == 2 and {r.path for r in store.load().collect()} == {"a.twb", "b.twb"}
+    assert not [n for n in os.listdir(tmp_path / "s" / "manifests") if n.startswith("writing")]
+    assert store.upsert(ingest({"c.twb": CLEAN})) == 3 and store.load().count() == 3
+
+
+def test_vacuum_removes_what_no_kept_version_names(spark, ingest, tmp_path):
+    store = EstateStore(spark, str(tmp_path / "s"), buckets=2)
+    for _ in range(3):
+        store.upsert(ingest({f"{i}.twb": CLEAN for i in range(20)}))
+    store.upsert(ingest({"0.twb": CLEAN}))
+    before = data_files(tmp_path / "s")
+    assert store.vacuum(keep=1) == 0 and data_files(tmp_path / "s") == before   # all are young
+    assert store.versions() == [4]
+    assert store.vacuum(keep=1, older_than_seconds=-60) == len(before) - 2
+    assert len(data_files(tmp_path / "s")) == 2 and store.load().count() == 20
+    assert store.upsert(ingest({"x.twb": CLEAN})) == 5 and store.load().count() == 21
 
 
 def test_nothing_readable_changes_nothing(spark, tmp_path):
