@@ -17,6 +17,7 @@ from quire import sample_estate
 from quire.functions.text import normalize_formula
 from quire.operators import tables
 from quire.operators.keyed_diff import keyed_diff
+from quire.operators.line_diff import line_diff
 from quire.operators.transforms import Clause, Filter, any_column_contains
 from quire.operators.upsert import EstateStore
 from quire.plans import diff, inventory, normalize, scan
@@ -137,6 +138,16 @@ def inv_upsert_then_list(spark, sf_dir):
     return inventory.workbook_list(store.load()).drop("mtime", "scanned_at")
 
 
+@query
+def inv_upsert_repeated_paths(spark, sf_dir):
+    """Both snapshots in one batch: of the rows of a path the last scanned stays."""
+    store = EstateStore(spark, fresh_path(spark, "store"))
+    sides = [estate(spark, sf_dir, variant).withColumn("scanned_at", F.lit(at).cast("timestamp"))
+             for variant, at in (("b", "2024-01-02"), ("a", "2024-01-01"))]
+    store.upsert(sides[0].unionByName(sides[1]))
+    return inventory.workbook_list(store.load()).drop("mtime", "scanned_at")
+
+
 @query
 def table_fields(spark, sf_dir):
     return tables.fields(estate(spark, sf_dir)).select(
@@ -165,7 +176,25 @@ def scan_summary(spark, sf_dir):
 @query
 def scan_errors_first(spark, sf_dir):
     docs = sample_estate.with_broken(documents(spark, sf_dir))
-    return inventory.first_scan_errors(parse_workbooks(sample_estate.files(docs))).select("path")
+    return inventory.first_scan_errors(parse_workbooks(sample_estate.files(docs))).select(
+        "path", F.regexp_extract("message", "^(.*): line", 1).alias("message"))
+
+
+@query
+def scan_tree_files(spark, sf_dir):
+    """Real files scanned, changed and scanned again: what the store holds, and the errors of the second scan."""
+    root, store = fresh_path(spark, "tree"), EstateStore(spark, fresh_path(spark, "store"))
+    sample_estate.write_files(sample_estate.supplier_books(spark, sf_dir, later=False), root)
+    scan.scan_tree(spark, root, store)
+    sample_estate.write_files(sample_estate.supplier_books(spark, sf_dir, later=True), root)
+    second = scan.scan_tree(spark, root, store)
+    name = F.regexp_extract("path", r"(n\d+/s\d+\.twb)$", 1).alias("name")
+    held = store.load().select(
+        name, "sha256", "size_bytes", F.size("datasources").cast("long").alias("sources"),
+        (F.col("mtime") > 1.6e9).alias("dated"), F.lit("").alias("message"))
+    nothing = [F.lit(value).cast(t).alias(c) for c, t, value in (
+        ("sha256", "string", ""), ("size_bytes", "long", 0), ("sources", "long", 0), ("dated", "boolean", False))]
+    return held.unionByName(second.errors.select(name, *nothing, "message"))
 
 
 @query
@@ -290,6 +319,21 @@ def diff_lines(spark, sf_dir):
         F.sum("copies").alias("lines"), F.count("*").alias("different"))
 
 
+@query
+def diff_document_lines(spark, sf_dir):
+    """Whole documents against a version with one line taken out and one put in front, line by line in order."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    rows = table(spark, sf_dir, "documents").select("doc_id", lines.alias("lines")).withColumn(
+        "k", (F.col("doc_id") % F.size("lines")).cast("int"))
+    ended = lambda *parts: F.concat(F.array_join(F.concat(*parts), "\n"), F.lit("\n")).alias("body")
+    old = F.array(F.concat(F.lit("# old "), F.col("doc_id").cast("string")))
+    new = F.array(F.concat(F.lit("# new "), F.col("doc_id").cast("string")))
+    before, after = F.slice("lines", 1, F.col("k")), F.slice("lines", F.col("k") + 1, F.size("lines"))
+    found = line_diff(rows.select("doc_id", ended(before, old, after)), rows.select("doc_id", ended(new, F.col("lines"))),
+                      "doc_id", "body")
+    return found.na.fill(0, ["old_at", "new_at"])
+
+
 @query
 def conformance(spark, sf_dir):
     docs = sample_estate.with_broken(documents(spark, sf_dir))

@@ -157,6 +157,11 @@ SELECT * FROM (WITH {_ESTATE}, {_documents(True)}
   {_LIST.format(ds='(SELECT * FROM ds WHERE s % 5 <> 0)', size=_SIZE)} WHERE o % 2 = 0)
 """
 
+ORACLES["inv_upsert_repeated_paths"] = f"""
+WITH {_ESTATE}, {_documents(True)}
+  {_LIST.format(ds='(SELECT * FROM ds WHERE s % 5 <> 0)', size=_SIZE)}
+"""
+
 ORACLES["inv_stats"] = _on_estate("""
 SELECT 'workbooks' AS metric, count(*) AS count FROM wb
 UNION ALL SELECT 'datasources', count(*) FROM ds
@@ -207,7 +212,22 @@ ORACLES["scan_summary"] = _on_estate("""
 SELECT count(*) AS scanned, count(*) FILTER (o % 50 <> 0) AS indexed, count(*) FILTER (o % 50 = 0) AS skipped FROM wb
 """)
 
-ORACLES["scan_errors_first"] = _on_estate("SELECT path FROM wb WHERE o % 50 = 0 ORDER BY path LIMIT 3")
+ORACLES["scan_errors_first"] = _on_estate(
+    "SELECT path, 'parse: unclosed token' AS message FROM wb WHERE o % 50 = 0 ORDER BY path LIMIT 3")
+
+ORACLES["scan_tree_files"] = """
+WITH books AS (
+  SELECT s_suppkey AS k, 'n' || s_nationkey || '/s' || s_suppkey || '.twb' AS name,
+    '<workbook version="18.1"><datasources><datasource name="s' || s_suppkey || '"><connection class="sqlserver" server="n'
+      || s_nationkey || '.example.net"/></datasource>'
+      || CASE WHEN s_suppkey % 4 = 1 THEN '<datasource name="later"/>' ELSE '' END || '</datasources></workbook>' AS xml
+  FROM supplier)
+SELECT name, sha256(xml) AS sha256, CAST(strlen(xml) AS BIGINT) AS size_bytes, CASE WHEN k % 4 = 1 THEN 2 ELSE 1 END::BIGINT AS sources,
+  true AS dated, '' AS message
+FROM books WHERE k % 20 <> 17
+UNION ALL
+SELECT name, '', 0, 0, false, 'parse: unclosed token: line 1, column 0' FROM books WHERE k % 20 = 17
+"""
 
 ORACLES["zip_ingest"] = _on_estate("""
 SELECT CASE WHEN o % 41 = 0 THEN 'no workbook document' WHEN o % 40 = 0 THEN 'several workbook documents'
@@ -376,6 +396,17 @@ ORACLES["diff_lines"] = _on_estate("""
 SELECT path, kind, count(*) AS lines, count(DISTINCT line) AS different FROM moved GROUP BY path, kind
 """, _LINES)
 
+ORACLES["diff_document_lines"] = """
+WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+cut AS (SELECT *, (doc_id % len(lines))::BIGINT AS k FROM docs),
+kept AS (
+  SELECT doc_id, k, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM cut)
+SELECT doc_id, i + CASE WHEN i > k THEN 2 ELSE 1 END AS at, ' ' AS kind, line,
+  i + CASE WHEN i > k THEN 1 ELSE 0 END AS old_at, i + 1 AS new_at FROM kept
+UNION ALL SELECT doc_id, CASE WHEN k = 0 THEN 1 ELSE k + 2 END, '-', '# old ' || doc_id, k + 1, 0 FROM cut
+UNION ALL SELECT doc_id, CASE WHEN k = 0 THEN 2 ELSE 1 END, '+', '# new ' || doc_id, 0, 1 FROM cut
+"""
+
 ORACLES["conformance"] = _on_estate("""
 SELECT count(*) AS documents, count(*) FILTER (version IS NOT NULL AND o % 50 <> 0) AS valid,
   count(*) - count(*) FILTER (version IS NOT NULL AND o % 50 <> 0) AS errors

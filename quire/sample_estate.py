@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import os
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -229,3 +231,36 @@ def schema_file(spark: SparkSession) -> str:
     path = os.path.join(os.path.dirname(os.path.abspath(__file__)), "resources", "sample_estate.xsd")
     spark.sparkContext.addFile(path)
     return os.path.basename(path)
+
+
+def supplier_books(spark: SparkSession, sf_dir: str, later: bool) -> DataFrame:
+    """``name, text`` of one small workbook per supplier, as a scan of real files would meet them.
+
+    Every tenth is truncated. The later state holds what changed only: a second data source in every fourth, and half
+    of the truncated ones repaired.
+    """
+    key = F.col("s_suppkey")
+    source = F.concat(F.lit('<datasource name="s'), key.cast("string"), F.lit('"><connection class="sqlserver" server="n'),
+                      F.col("s_nationkey").cast("string"), F.lit('.example.net"/></datasource>'))
+    more = F.when(F.lit(later) & (key % 4 == 1), F.lit('<datasource name="later"/>')).otherwise(F.lit(""))
+    whole = F.concat(F.lit('<workbook version="18.1"><datasources>'), source, more, F.lit("</datasources></workbook>"))
+    broken = key % 20 == 17 if later else key % 10 == 7
+    rows = _read(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit("/s"), key.cast("string"), F.lit(".twb")).alias("name"),
+        F.when(broken, F.lit("<workbook")).otherwise(whole).alias("text"), "s_suppkey")
+    return (rows.where((key % 4 == 1) | (key % 20 == 7)) if later else rows).select("name", "text")
+
+
+def write_files(rows: DataFrame, root: str) -> None:
+    """Each row of ``name, text`` as a file below ``root``; a repeated task writes the same again."""
+    def written(batches):
+        system, place = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for name, text in zip(batch.column("name").to_pylist(), batch.column("text").to_pylist()):
+                target = f"{place}/{name}"
+                system.create_dir(target.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(target) as out:
+                    out.write(text.encode())
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64())], ["done"])
+
+    rows.select("name", "text").mapInArrow(written, "done long").write.format("noop").mode("overwrite").save()
