@@ -1,13 +1,16 @@
 """Embedding near-duplicates by NN-descent over representatives.
 
-Vectors are compared within a label only. First, tight groups are replaced by a representative: a vector joins the ball
-of a hub if their angle is at most half the linking angle, so that all members of a ball link with one another and
-copies, however many, need no pairs. Then a neighbour graph over representatives is refined: it starts from blocks of
-equal hyperplane codes, as long as each label's own size asks for, and each round compares the neighbours of every node
-with one another, until lists hardly change. A node whose list holds only vectors near enough to matter is saturated;
-its list doubles and rounds go on. An audit compares a fixed share of the nodes with all of their label, and low recall
-enlarges all lists; a sample without any near pair says nothing, and the recall is null. At last members are compared where two balls may link: by the
-triangle inequality most members link with all of a ball or with none, the others are compared one by one.
+Vectors are compared within a label only. First, equal and nearly equal vectors are replaced by a representative: a
+vector joins the ball of a hub if their angle is at most an eighth of the linking angle, so that all members of a ball
+link with one another and copies, however many, need no pairs. Then a neighbour graph over representatives is refined: it starts from blocks of
+equal hyperplane codes, as long as each label's own size asks for, and each round compares neighbours of a node with
+one another if at least one of the two is new to its list since the round before. Rounds end when few new neighbours, or
+none that are near, turn up. The vectors in the lists are 16-bit integers; what is near by them is checked in double precision. A node whose list
+holds only vectors near enough to matter is saturated; its list doubles and rounds go on. An audit compares a share of
+the nodes with all of their label, and low recall enlarges all lists; a share without any near pair says nothing, so
+larger shares are asked, up to ``AUDIT_MOST`` comparisons, and if none holds any the recall is null. At last members are
+compared where two balls may link: by the triangle inequality most members link with all of a ball or with none, the
+others are compared in tiles.
 """
 
 from __future__ import annotations
@@ -15,7 +18,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,8 +29,11 @@ THRESHOLD = 0.93
 NEIGHBOURS = 12
 TABLES = 10
 BLOCK = 64
-BALL_ROUNDS = 6
-BALL_BITS = 10
+# Rounds of gathering balls, and the hyperplanes of each: nearly equal vectors lie on one side of nearly all.
+BALL_ROUNDS = 3
+BALL_BITS = 24
+# The radius of a ball as a share of the linking angle.
+BALL_RADIUS = 1 / 8
 # Hyperplanes of a table; a label uses as many as its size asks for, crowded blocks use more of them.
 PLANES = 32
 # Rounds end when fewer neighbours than this share of all places in the lists are new.
@@ -36,11 +41,18 @@ LEAST_CHANGE = 0.001
 # One of so many nodes is audited, and at least so many where the table has them.
 AUDITED_OF = 20
 AUDITED = 256
+# Comparisons of an audit at most, beyond the first share.
+AUDIT_MOST = 1 << 36
 LEAST_RECALL = 0.99
 # Nodes in one block of the audit.
 AUDIT_BLOCK = 512
 # Rows of a local comparison held as cosines at a time.
 STRIP = 1024
+# Lists hold unit vectors as 16-bit integers; cosines by them are off by less than the margin, up to 16,000 components.
+UNIT = 32767
+MARGIN = 0.004
+# Members in one tile of a comparison of two balls.
+TILE = 256
 SEED = 20
 
 _VECTOR = "vec_id long, label long, vec binary"
@@ -107,7 +119,7 @@ def _cosines(pairs: DataFrame, left: str, right: str, keep: list[str]) -> DataFr
 
 def balls(vectors: DataFrame, threshold: float) -> DataFrame:
     """``vec_id, label, vec, hub, hub_cos``: the ball each vector belongs to, its own (cosine 1) if none; staged."""
-    near = math.cos(math.acos(threshold) / 2) + 1e-9
+    near = math.cos(math.acos(threshold) * BALL_RADIUS) + 1e-12
     pending = staged(_coded(vectors, BALL_ROUNDS, BALL_BITS, SEED), "nn-codes")
     done = []
     for turn in range(BALL_ROUNDS):
@@ -133,13 +145,61 @@ def balls(vectors: DataFrame, threshold: float) -> DataFrame:
 
 
 def _best(edges: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The largest cosines of each node, as many as its list holds."""
+    """The largest cosines of each node, as many as its list holds; ``fresh`` where no old edge is among the equal ones."""
     order = Window.partitionBy("u").orderBy(F.desc("cos"), "v")
-    ranked = edges.groupBy("u", "v").agg(F.max("cos").alias("cos")).withColumn("rank", F.row_number().over(order))
-    return ranked.join(sizes, "u").where("rank <= most").select("u", "v", "cos")
+    ranked = edges.groupBy("u", "v").agg(F.max("cos").alias("cos"), F.min("fresh").alias("fresh")).withColumn(
+        "rank", F.row_number().over(order))
+    return ranked.join(sizes, "u").where("rank <= most").select("u", "v", "cos", "fresh")
 
 
-def _start(nodes: DataFrame) -> DataFrame:
+def _light(nodes: DataFrame) -> DataFrame:
+    """``vec_id, label, size, code``: unit vectors as 16-bit integers, staged."""
+    def coded(batches):
+        for batch in batches:
+            codes = [np.rint(np.frombuffer(v) * UNIT).astype(np.int16).tobytes() for v in batch.column("vec").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("vec_id"), batch.column("label"), pa.array(map(len, codes), pa.int32()),
+                 pa.array(codes, pa.binary())], ["vec_id", "label", "size", "code"])
+
+    return staged(nodes.mapInArrow(coded, "vec_id long, label long, size int, code binary"), "nn-light")
+
+
+def _compared(lists: DataFrame, most: int) -> DataFrame:
+    """``u, v, cos`` of the pairs of each list with a fresh member that may better the list of ``u``.
+
+    ``lists`` has ``members``, an array of ``v, fresh, worst, code`` of vectors of one size. A list gives each of its
+    members its nearest ``most`` at most: others of them meet again elsewhere, or in the next round.
+    """
+    def pairs(batches):
+        for batch in batches:
+            found = []
+            for i in range(batch.num_rows):
+                rows = batch.column("members")[i].values
+                ids = rows.field("v").to_numpy()
+                fresh = rows.field("fresh").to_numpy(zero_copy_only=False)
+                if len(ids) < 2 or not fresh.any():
+                    continue
+                worst = rows.field("worst").to_numpy()
+                m = np.frombuffer(b"".join(rows.field("code").to_pylist()), np.int16).reshape(len(ids), -1).astype(np.float32)
+                m /= UNIT
+                for start in range(0, len(ids), STRIP):
+                    stop = min(start + STRIP, len(ids))
+                    cos = m[start:stop] @ m.T
+                    cos[np.arange(stop - start), np.arange(start, stop)] = -2
+                    cos[np.ix_(~fresh[start:stop], ~fresh)] = -2
+                    if len(ids) > most + 1:
+                        floor = -np.partition(-cos, most - 1, axis=1)[:, most - 1]
+                        cos[cos < floor[:, None]] = -2
+                    a, b = np.nonzero(cos > worst[start:stop, None])
+                    found.append((ids[start + a], ids[b], cos[a, b]))
+            if found:
+                u, v, cos = (np.concatenate(x) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(cos, pa.float32())], ["u", "v", "cos"])
+
+    return lists.select("members").mapInArrow(pairs, "u long, v long, cos float")
+
+
+def _start(light: DataFrame, nodes: DataFrame) -> DataFrame:
     """Neighbours within blocks of equal codes.
 
     A label has as many bits as leave a third of ``BLOCK`` in a block on average. Blocks that are larger than ``BLOCK``
@@ -149,72 +209,60 @@ def _start(nodes: DataFrame) -> DataFrame:
         "label", F.least(F.greatest(F.round(F.log2(F.col("held") * 3 / BLOCK)), F.lit(1)), F.lit(PLANES - 8)).cast("int").alias("bits"))
     one = F.lit(1).cast("long")
     coded = _coded(nodes, TABLES, PLANES, SEED + 1).select(
-        "vec_id", "label", "vec", F.posexplode("codes").alias("turn", "all")).withColumn("size", F.length("vec")).join(
+        "vec_id", "label", F.length("vec").alias("size"), F.posexplode("codes").alias("turn", "all")).join(
         own, "label").withColumn("code", F.col("all").bitwiseAND(F.call_function("shiftleft", one, F.col("bits")) - 1))
+    coded = staged(coded, "nn-codes")
     keys = ["label", "turn", "code", "size"]
     counted = coded.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     more = F.greatest(F.ceil(F.log2(F.col("n") / BLOCK)), F.lit(0)).cast("int")
     divided = coded.join(counted, keys).withColumn("rest", F.call_function(
         "shiftright", F.col("all"), F.col("bits")).bitwiseAND(F.call_function("shiftleft", one, more) - 1)).drop("n", "all", "bits")
     keys = [*keys, "rest"]
-    blocks = divided.join(divided.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), keys).withColumn(
+    parts = divided.join(divided.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), keys).withColumn(
         "part", F.pmod(F.xxhash64("vec_id", "turn"), F.ceil(F.col("n") / BLOCK)))
+    blocks = parts.select(*[k for k in keys if k not in ("code", "size", "label")], "part", "vec_id", F.col("code").alias("own")).join(
+        light, "vec_id").groupBy("label", "turn", "own", "size", "rest", "part").agg(F.collect_list(F.struct(
+            F.col("vec_id").alias("v"), F.lit(True).alias("fresh"), F.lit(-1.0).cast("float").alias("worst"), "code")).alias("members"))
+    return _compared(blocks, NEIGHBOURS // 2).withColumn("fresh", F.lit(True))
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, m = rows["vec_id"].to_numpy(), _matrix(rows["vec"])
-        cos = m @ m.T
-        np.fill_diagonal(cos, -2)
-        k = min(NEIGHBOURS // 2, len(ids) - 1)
-        best = np.argpartition(-cos, k - 1, axis=1)[:, :k] if k else np.zeros((len(ids), 0), int)
-        u = np.repeat(np.arange(len(ids)), k)
-        return pd.DataFrame({"u": ids[u], "v": ids[best.ravel()], "cos": cos[u, best.ravel()]})
-
-    return blocks.groupBy(*keys, "part").applyInPandas(compare, "u long, v long, cos double")
 
-
-def _round(graph: DataFrame, nodes: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Compare the neighbours of every node with one another; keep the best of old and new."""
+def _round(graph: DataFrame, light: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
+    """Compare the neighbours of every node with one another where one is fresh; keep the best of old and new."""
     back = Window.partitionBy("v").orderBy(F.desc("cos"), "u")
     reverse = graph.withColumn("rank", F.row_number().over(back)).join(
         sizes.select(F.col("u").alias("v"), "most"), "v").where("rank <= most").select(
-        F.col("v").alias("u"), F.col("u").alias("v"))
-    lists = graph.select("u", "v").unionByName(reverse).distinct()
-    worst = graph.groupBy("u").agg(F.min("cos").alias("worst"), F.count(F.lit(1)).alias("held"))
-    about = nodes.join(worst, nodes["vec_id"] == worst["u"], "left").join(
-        sizes.withColumnRenamed("u", "w"), F.col("vec_id") == F.col("w")).select(
-        F.col("vec_id").alias("v"), "vec",
-        F.when(F.col("held") >= F.col("most"), F.col("worst")).otherwise(F.lit(-1.0)).alias("worst"))
-
-    def local(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, worst, m = rows["v"].to_numpy(), rows["worst"].to_numpy(), _matrix(rows["vec"])
-        found = []
-        for start in range(0, len(ids), STRIP):
-            cos = m[start:start + STRIP] @ m.T
-            a, b = np.nonzero(cos > worst[start:start + STRIP, None])
-            found.append(pd.DataFrame({"u": ids[start + a], "v": ids[b], "cos": cos[a, b]}))
-        return pd.concat(found)
-
-    found = lists.join(about, "v").groupBy("u").applyInPandas(local, "u long, v long, cos double")
-    return staged(_best(graph.unionByName(found.where("u <> v")), sizes), "nn-graph")
+        F.col("v").alias("u"), F.col("u").alias("v"), "fresh")
+    lists = graph.select("u", "v", "fresh").unionByName(reverse).groupBy("u", "v").agg(F.max("fresh").alias("fresh"))
+    worst = graph.groupBy("u").agg(F.min("cos").alias("worst"), F.count(F.lit(1)).alias("held")).join(sizes, "u").select(
+        F.col("u").alias("vec_id"), F.when(F.col("held") >= F.col("most"), F.col("worst")).otherwise(F.lit(-1.0)).cast("float").alias("worst"))
+    about = light.join(worst, "vec_id", "left").select(
+        F.col("vec_id").alias("v"), F.coalesce("worst", F.lit(-1.0).cast("float")).alias("worst"), "code")
+    met = lists.join(about, "v").groupBy("u").agg(F.collect_list(F.struct("v", "fresh", "worst", "code")).alias("members"))
+    found = _compared(met, most).withColumn("fresh", F.lit(True))
+    return staged(_best(graph.withColumn("fresh", F.lit(False)).unionByName(found), sizes), "nn-graph")
 
 
 def _packed(nodes: DataFrame, part: str) -> DataFrame:
-    """Blocks of nodes of a label and size: ``label, size, part, ids, vecs``, some ``AUDIT_BLOCK`` nodes each."""
+    """Blocks of nodes of a label and size: ``label, size, part, parts, rows``, some ``AUDIT_BLOCK`` nodes each."""
     sized = nodes.select("vec_id", "label", "vec", F.length("vec").alias("size"))
     parts = sized.groupBy("label", "size").agg(F.ceil(F.count(F.lit(1)) / AUDIT_BLOCK).alias("parts"))
     dealt = sized.join(parts, ["label", "size"]).withColumn(part, F.pmod(F.xxhash64("vec_id", F.lit(part)), "parts"))
-    return dealt.groupBy("label", "size", part).agg(
+    return dealt.groupBy("label", "size", "parts", part).agg(
         F.collect_list(F.struct("vec_id", "vec")).alias(f"{part}_rows"))
 
 
-def true_pairs(nodes: DataFrame, count: int, near: float) -> DataFrame:
-    """``u, v``: the near neighbours ``v`` of the audited nodes ``u``, by comparing them with all of their label; staged."""
-    share = max(1 / AUDITED_OF, AUDITED / max(count, 1))
+def true_pairs(nodes: DataFrame, count: int, near: float, of: int = AUDITED_OF) -> DataFrame:
+    """``u, v``: the near neighbours ``v`` of the audited nodes ``u``, one in ``of``, by comparing them with all of their
+    label; staged.
+    """
+    share = max(1 / of, AUDITED / max(count, 1))
     asked = nodes if share >= 1 else nodes.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < round(share * (1 << 20)))
-    left, right = staged(_packed(asked, "ask"), "nn-asked"), staged(_packed(nodes, "all"), "nn-blocks")
+    left, right = staged(_packed(asked, "ask").drop("parts"), "nn-asked"), staged(_packed(nodes, "all"), "nn-blocks")
     keys = ["label", "size"]
-    tiles = left.select(*keys, "ask").join(right.select(*keys, "all"), keys)
-    met = tiles.join(left, [*keys, "ask"]).join(right, [*keys, "all"]).select("ask_rows", "all_rows")
+    # A block asks for the blocks of its label by their numbers: no key stands for a whole label.
+    tiles = left.join(right.select(*keys, "parts").distinct(), keys).withColumn(
+        "all", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    met = tiles.join(right.drop("parts"), [*keys, "all"]).select("ask_rows", "all_rows")
 
     def truth(batches):
         for batch in batches:
@@ -231,6 +279,22 @@ def true_pairs(nodes: DataFrame, count: int, near: float) -> DataFrame:
     return found
 
 
+def _audited(nodes: DataFrame, count: int, near: float) -> DataFrame:
+    """True pairs of the first share of nodes, or of as many more as it takes to hold any."""
+    of = AUDITED_OF
+    true = true_pairs(nodes, count, near)
+    pairs = None
+    while of > 1 and true.isEmpty():
+        pairs = pairs if pairs is not None else nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(
+            F.sum(F.col("n").cast("double") ** 2)).first()[0] or 0
+        of = max(1, of // 4)
+        if pairs / of > AUDIT_MOST:
+            break
+        discard(true)
+        true = true_pairs(nodes, count, near, of)
+    return true
+
+
 def _audit(graph: DataFrame, true: DataFrame) -> float | None:
     """Share of the true near pairs that the graph holds, either way; None where there are none to judge by."""
     both = graph.select("u", "v").unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
@@ -239,36 +303,59 @@ def _audit(graph: DataFrame, true: DataFrame) -> float | None:
 
 
 def neighbour_graph(nodes: DataFrame, near: float) -> tuple[DataFrame, float | None]:
-    """``u, v, cos`` with every pair found, and the audited recall of pairs of at least ``near`` (None: unknown)."""
+    """``u, v, cos`` with every pair found, and the audited recall of pairs of at least ``near`` (None: unknown).
+
+    ``cos`` is by 16-bit vectors: off by less than ``MARGIN``.
+    """
     count = nodes.count()
+    light = _light(nodes)
     sizes = staged(nodes.select(F.col("vec_id").alias("u"), F.lit(NEIGHBOURS).alias("most")), "nn-sizes")
-    graph = staged(_best(_start(nodes), sizes), "nn-graph")
+    graph = staged(_best(_start(light, nodes), sizes), "nn-graph")
     # Lists that all nodes have at least. Enlarging ends by itself: no list is saturated once it has room for all nodes.
-    least = NEIGHBOURS
-    true = true_pairs(nodes, count, near)
+    least, longest = NEIGHBOURS, NEIGHBOURS
+    true = _audited(nodes, count, near)
     while True:
+        quiet = False
         while True:
-            better = _round(graph, nodes, sizes)
-            fresh = better.join(graph, ["u", "v"], "left_anti").count()
+            better = _round(graph, light, sizes, longest // 2)
             discard(graph)
             graph = better
-            if fresh <= LEAST_CHANGE * count * NEIGHBOURS:
+            fresh, close = graph.where("fresh").agg(
+                F.count(F.lit(1)), F.count_if(F.col("cos") >= near - MARGIN)).first()
+            # Two rounds in a row without a new near pair, or hardly any change, end the refining.
+            if fresh <= LEAST_CHANGE * count * NEIGHBOURS or not close and quiet:
                 break
+            quiet = not close
         recall = _audit(graph, true)
         full = graph.groupBy("u").agg(F.count(F.lit(1)).alias("held"), F.min("cos").alias("worst")).join(sizes, "u").where(
-            (F.col("held") >= F.col("most")) & (F.col("worst") >= near)).select("u")
+            (F.col("held") >= F.col("most")) & (F.col("worst") >= near - MARGIN)).select("u")
         saturated = full.count()
         low = recall is not None and recall < LEAST_RECALL and least < count
         if not saturated and not low:
             discard(true)
+            discard(light)
             return graph, recall
         least *= 2 if low else 1
+        longest *= 2
         marked = full.withColumn("full", F.lit(True))
         grow = F.lit(True) if low else F.coalesce("full", F.lit(False))
         larger = staged(sizes.join(marked, "u", "left").select(
-            "u", F.when(grow, F.col("most") * 2).otherwise(F.col("most")).alias("most")), "nn-sizes")
+            "u", F.when(grow, F.col("most") * 2).otherwise(F.col("most")).alias("most"), grow.alias("grown")), "nn-sizes")
         discard(sizes)
-        sizes = larger
+        sizes = larger.select("u", "most")
+        sizes.staged_at = larger.staged_at
+        # What was dropped from a list that has grown may come back: its neighbours count as new.
+        again = staged(graph.join(larger.select("u", "grown"), "u").select("u", "v", "cos", F.col("grown").alias("fresh")), "nn-graph")
+        discard(graph)
+        graph = again
+
+
+def _tiles(members: DataFrame, wanted: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Vectors of the groups in ``wanted`` (columns ``by``), ``TILE`` or so in a row: ``by..., name_tile, name_rows``."""
+    rows = members.join(wanted, by)
+    parts = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / TILE).alias("parts"))
+    return rows.join(parts, by).groupBy(*by, F.pmod(F.xxhash64("vec_id"), "parts").alias(f"{name}_tile")).agg(
+        F.collect_list(F.struct("vec_id", "vec")).alias(f"{name}_rows"))
 
 
 def _member_links(members: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
@@ -287,13 +374,28 @@ def _member_links(members: DataFrame, pairs: DataFrame, threshold: float) -> Dat
     alone = F.col("size") == 1
     sure = seen.where(alone & (F.col("cos") >= threshold) | ~alone & whole).select(
         "vec_id", "hub", "other", F.col("size").alias("n"))
-    open_ = seen.where(~alone & ~whole & ~none).select("vec_id", "hub", "other")
-    one = members.select("vec_id", "vec")
-    each = open_.join(one, "vec_id").join(members.select(
-        F.col("vec").alias("other_vec"), F.col("hub").alias("other")), "other")
-    counted = _cosines(each, "vec", "other_vec", ["vec_id", "hub", "other"]).where(F.col("cos") >= threshold).groupBy(
-        "vec_id", "hub", "other").agg(F.count(F.lit(1)).alias("n"))
-    return sure.unionByName(counted)
+    open_ = staged(seen.where(~alone & ~whole & ~none).select("vec_id", "hub", "other"), "nn-open")
+    one = members.select("vec_id", "vec", "hub")
+    # Tiles of the undecided members of a ball meet tiles of the other ball: two large balls are many small tasks.
+    asking = _tiles(one.drop("hub").join(open_, "vec_id"), open_.select("hub", "other").distinct(), ["hub", "other"], "ask")
+    asked = _tiles(one.withColumnRenamed("hub", "other"), open_.select("other").distinct(), ["other"], "all")
+    both = asking.join(asked.groupBy("other").agg(F.max("all_tile").alias("last")), "other").withColumn(
+        "all_tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))).join(asked, ["other", "all_tile"])
+
+    def counted(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, b = (batch.column(c)[i].values for c in ("ask_rows", "all_rows"))
+                n = (_matrix(a.field("vec").to_pylist()) @ _matrix(b.field("vec").to_pylist()).T >= threshold).sum(axis=1)
+                some = n > 0
+                ids = a.field("vec_id").to_numpy()[some]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids), *(pa.array([batch.column(c)[i].as_py()] * len(ids), pa.int64()) for c in ("hub", "other")),
+                     pa.array(n[some].astype(np.int64))], ["vec_id", "hub", "other", "n"])
+
+    found = both.select("hub", "other", "ask_rows", "all_rows").mapInArrow(
+        counted, "vec_id long, hub long, other long, n long").groupBy("vec_id", "hub", "other").agg(F.sum("n").alias("n"))
+    return sure.unionByName(found)
 
 
 def near_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label",
@@ -313,10 +415,10 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
         ["vec_id"]).mapInArrow(_usable, _VECTOR), "nn-vectors")
     members = balls(vectors, threshold)
     nodes = members.where("vec_id = hub").select("vec_id", "label", "vec")
-    # Members of two balls may link only if their hubs are within twice the linking angle.
-    near = math.cos(2 * math.acos(threshold))
+    # Members of two balls may link only if their hubs are within the linking angle and both radii.
+    near = math.cos((1 + 2 * BALL_RADIUS) * math.acos(threshold))
     graph, recall = neighbour_graph(nodes, near)
-    links = staged(_member_links(members, graph.where(F.col("cos") >= near - 1e-9), threshold), "nn-links")
+    links = staged(_member_links(members, graph.where(F.col("cos") >= near - MARGIN), threshold), "nn-links")
     roots = components(links.select(F.col("hub").alias("u"), F.col("other").alias("v")), "nn-components")
     within = members.groupBy("hub").agg(F.count(F.lit(1)).alias("size"), F.min("vec_id").alias("least"))
     rooted = within.join(roots, within["hub"] == roots["node"], "left").select(
