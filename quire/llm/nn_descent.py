@@ -1,8 +1,9 @@
 """Embedding near-duplicates by NN-descent over representatives.
 
 Vectors are compared within a label only. First, equal and nearly equal vectors are replaced by a representative: a
-vector joins the ball of a hub if their angle is at most an eighth of the linking angle, so that all members of a ball
-link with one another and copies, however many, need no pairs. Then a neighbour graph over representatives is refined: it starts from blocks of
+vector joins the ball of a hub if their angle is at most half the linking angle, so that all members of a ball link with
+one another and copies, however many, need no pairs. A hub matters to another within the linking angle and both radii;
+one that stands for itself alone has no radius. Then a neighbour graph over representatives is refined: it starts from blocks of
 equal hyperplane codes, as long as each label's own size asks for, and each round compares neighbours of a node with
 one another if at least one of the two is new to its list since the round before. Rounds end when few new neighbours, or
 none that are near, turn up. The vectors in the lists are 16-bit integers; what is near by them is checked in double precision. A node whose list
@@ -29,11 +30,11 @@ THRESHOLD = 0.93
 NEIGHBOURS = 12
 TABLES = 10
 BLOCK = 64
-# Rounds of gathering balls, and the hyperplanes of each: nearly equal vectors lie on one side of nearly all.
-BALL_ROUNDS = 3
-BALL_BITS = 24
-# The radius of a ball as a share of the linking angle.
-BALL_RADIUS = 1 / 8
+# Rounds of gathering balls, and the hyperplanes of each, of which a label uses as many as leave ``2 ** -BALL_SPARE``
+# vectors on average on one side of all: what meets there is nearly equal.
+BALL_ROUNDS = 4
+BALL_BITS = 44
+BALL_SPARE = 3
 # Hyperplanes of a table; a label uses as many as its size asks for, crowded blocks use more of them.
 PLANES = 32
 # Rounds end when fewer neighbours than this share of all places in the lists are new.
@@ -119,8 +120,12 @@ def _cosines(pairs: DataFrame, left: str, right: str, keep: list[str]) -> DataFr
 
 def balls(vectors: DataFrame, threshold: float) -> DataFrame:
     """``vec_id, label, vec, hub, hub_cos``: the ball each vector belongs to, its own (cosine 1) if none; staged."""
-    near = math.cos(math.acos(threshold) * BALL_RADIUS) + 1e-12
-    pending = staged(_coded(vectors, BALL_ROUNDS, BALL_BITS, SEED), "nn-codes")
+    near = math.cos(math.acos(threshold) / 2) + 1e-12
+    own = vectors.groupBy("label").agg(F.count(F.lit(1)).alias("held")).select("label", F.least(
+        F.ceil(F.log2("held")) + BALL_SPARE, F.lit(BALL_BITS)).cast("int").alias("bits"))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) - 1
+    pending = staged(_coded(vectors, BALL_ROUNDS, BALL_BITS, SEED).join(own, "label").withColumn(
+        "codes", F.transform("codes", lambda c: c.bitwiseAND(mask))).drop("bits"), "nn-codes")
     done = []
     for turn in range(BALL_ROUNDS):
         code = F.col("codes")[turn]
@@ -149,7 +154,7 @@ def _best(edges: DataFrame, sizes: DataFrame) -> DataFrame:
     order = Window.partitionBy("u").orderBy(F.desc("cos"), "v")
     ranked = edges.groupBy("u", "v").agg(F.max("cos").alias("cos"), F.min("fresh").alias("fresh")).withColumn(
         "rank", F.row_number().over(order))
-    return ranked.join(sizes, "u").where("rank <= most").select("u", "v", "cos", "fresh")
+    return ranked.join(sizes.select("u", "most"), "u").where("rank <= most").select("u", "v", "cos", "fresh")
 
 
 def _light(nodes: DataFrame) -> DataFrame:
@@ -164,11 +169,11 @@ def _light(nodes: DataFrame) -> DataFrame:
     return staged(nodes.mapInArrow(coded, "vec_id long, label long, size int, code binary"), "nn-light")
 
 
-def _compared(lists: DataFrame, most: int) -> DataFrame:
+def _compared(lists: DataFrame) -> DataFrame:
     """``u, v, cos`` of the pairs of each list with a fresh member that may better the list of ``u``.
 
-    ``lists`` has ``members``, an array of ``v, fresh, worst, code`` of vectors of one size. A list gives each of its
-    members its nearest ``most`` at most: others of them meet again elsewhere, or in the next round.
+    ``lists`` has ``members``, an array of ``v, fresh, worst, most, code`` of vectors of one size. A list gives each of
+    its members half as many as it has room for, the nearest: others meet again elsewhere, or in the next round.
     """
     def pairs(batches):
         for batch in batches:
@@ -179,7 +184,7 @@ def _compared(lists: DataFrame, most: int) -> DataFrame:
                 fresh = rows.field("fresh").to_numpy(zero_copy_only=False)
                 if len(ids) < 2 or not fresh.any():
                     continue
-                worst = rows.field("worst").to_numpy()
+                worst, room = rows.field("worst").to_numpy(), rows.field("most").to_numpy()
                 m = np.frombuffer(b"".join(rows.field("code").to_pylist()), np.int16).reshape(len(ids), -1).astype(np.float32)
                 m /= UNIT
                 for start in range(0, len(ids), STRIP):
@@ -187,13 +192,18 @@ def _compared(lists: DataFrame, most: int) -> DataFrame:
                     cos = m[start:stop] @ m.T
                     cos[np.arange(stop - start), np.arange(start, stop)] = -2
                     cos[np.ix_(~fresh[start:stop], ~fresh)] = -2
-                    if len(ids) > most + 1:
-                        floor = -np.partition(-cos, most - 1, axis=1)[:, most - 1]
-                        cos[cos < floor[:, None]] = -2
-                    a, b = np.nonzero(cos > worst[start:stop, None])
+                    half = np.minimum(room[start:stop] // 2, len(ids)) - 1
+                    floor = -np.sort(-cos, axis=1)[np.arange(stop - start), half]
+                    a, b = np.nonzero((cos > worst[start:stop, None]) & (cos >= floor[:, None]))
                     found.append((ids[start + a], ids[b], cos[a, b]))
             if found:
                 u, v, cos = (np.concatenate(x) for x in zip(*found))
+                # A pair met in several lists goes on once.
+                order = np.lexsort((v, u))
+                u, v, cos = u[order], v[order], cos[order]
+                first = np.ones(len(u), bool)
+                first[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+                u, v, cos = u[first], v[first], cos[first]
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(cos, pa.float32())], ["u", "v", "cos"])
 
     return lists.select("members").mapInArrow(pairs, "u long, v long, cos float")
@@ -222,38 +232,39 @@ def _start(light: DataFrame, nodes: DataFrame) -> DataFrame:
         "part", F.pmod(F.xxhash64("vec_id", "turn"), F.ceil(F.col("n") / BLOCK)))
     blocks = parts.select(*[k for k in keys if k not in ("code", "size", "label")], "part", "vec_id", F.col("code").alias("own")).join(
         light, "vec_id").groupBy("label", "turn", "own", "size", "rest", "part").agg(F.collect_list(F.struct(
-            F.col("vec_id").alias("v"), F.lit(True).alias("fresh"), F.lit(-1.0).cast("float").alias("worst"), "code")).alias("members"))
-    return _compared(blocks, NEIGHBOURS // 2).withColumn("fresh", F.lit(True))
+            F.col("vec_id").alias("v"), F.lit(True).alias("fresh"), F.lit(-1.0).cast("float").alias("worst"),
+            F.lit(NEIGHBOURS).alias("most"), "code")).alias("members"))
+    return _compared(blocks).withColumn("fresh", F.lit(True))
 
 
-def _round(graph: DataFrame, light: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
+def _round(graph: DataFrame, light: DataFrame, sizes: DataFrame) -> DataFrame:
     """Compare the neighbours of every node with one another where one is fresh; keep the best of old and new."""
     back = Window.partitionBy("v").orderBy(F.desc("cos"), "u")
     reverse = graph.withColumn("rank", F.row_number().over(back)).join(
         sizes.select(F.col("u").alias("v"), "most"), "v").where("rank <= most").select(
         F.col("v").alias("u"), F.col("u").alias("v"), "fresh")
     lists = graph.select("u", "v", "fresh").unionByName(reverse).groupBy("u", "v").agg(F.max("fresh").alias("fresh"))
-    worst = graph.groupBy("u").agg(F.min("cos").alias("worst"), F.count(F.lit(1)).alias("held")).join(sizes, "u").select(
-        F.col("u").alias("vec_id"), F.when(F.col("held") >= F.col("most"), F.col("worst")).otherwise(F.lit(-1.0)).cast("float").alias("worst"))
-    about = light.join(worst, "vec_id", "left").select(
-        F.col("vec_id").alias("v"), F.coalesce("worst", F.lit(-1.0).cast("float")).alias("worst"), "code")
-    met = lists.join(about, "v").groupBy("u").agg(F.collect_list(F.struct("v", "fresh", "worst", "code")).alias("members"))
-    found = _compared(met, most).withColumn("fresh", F.lit(True))
+    worst = graph.groupBy("u").agg(F.min("cos").alias("worst"), F.count(F.lit(1)).alias("held"))
+    about = light.join(sizes.join(worst, "u", "left").select(
+        F.col("u").alias("vec_id"), "most", F.when(F.col("held") >= F.col("most"), F.col("worst")).otherwise(
+            F.lit(-1.0)).cast("float").alias("worst")), "vec_id").select(F.col("vec_id").alias("v"), "worst", "most", "code")
+    met = lists.join(about, "v").groupBy("u").agg(F.collect_list(F.struct("v", "fresh", "worst", "most", "code")).alias("members"))
+    found = _compared(met).withColumn("fresh", F.lit(True))
     return staged(_best(graph.withColumn("fresh", F.lit(False)).unionByName(found), sizes), "nn-graph")
 
 
 def _packed(nodes: DataFrame, part: str) -> DataFrame:
     """Blocks of nodes of a label and size: ``label, size, part, parts, rows``, some ``AUDIT_BLOCK`` nodes each."""
-    sized = nodes.select("vec_id", "label", "vec", F.length("vec").alias("size"))
+    sized = nodes.select("vec_id", "label", "vec", "radius", F.length("vec").alias("size"))
     parts = sized.groupBy("label", "size").agg(F.ceil(F.count(F.lit(1)) / AUDIT_BLOCK).alias("parts"))
     dealt = sized.join(parts, ["label", "size"]).withColumn(part, F.pmod(F.xxhash64("vec_id", F.lit(part)), "parts"))
     return dealt.groupBy("label", "size", "parts", part).agg(
-        F.collect_list(F.struct("vec_id", "vec")).alias(f"{part}_rows"))
+        F.collect_list(F.struct("vec_id", "vec", "radius")).alias(f"{part}_rows"))
 
 
-def true_pairs(nodes: DataFrame, count: int, near: float, of: int = AUDITED_OF) -> DataFrame:
-    """``u, v``: the near neighbours ``v`` of the audited nodes ``u``, one in ``of``, by comparing them with all of their
-    label; staged.
+def true_pairs(nodes: DataFrame, count: int, reach: float, of: int = AUDITED_OF) -> DataFrame:
+    """``u, v``: the neighbours ``v`` that matter to the audited nodes ``u``, one in ``of``, by comparing them with all
+    of their label; staged. They lie within the angle ``reach`` and both radii.
     """
     share = max(1 / of, AUDITED / max(count, 1))
     asked = nodes if share >= 1 else nodes.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < round(share * (1 << 20)))
@@ -269,6 +280,7 @@ def true_pairs(nodes: DataFrame, count: int, near: float, of: int = AUDITED_OF)
             for i in range(batch.num_rows):
                 a, b = (batch.column(c)[i].values for c in ("ask_rows", "all_rows"))
                 u, v = (x.field("vec_id").to_numpy() for x in (a, b))
+                near = np.cos(np.add.outer(a.field("radius").to_numpy() + reach, b.field("radius").to_numpy()))
                 at, to = np.nonzero(_matrix(a.field("vec").to_pylist()) @ _matrix(b.field("vec").to_pylist()).T >= near)
                 other = u[at] != v[to]
                 yield pa.RecordBatch.from_arrays([pa.array(u[at][other]), pa.array(v[to][other])], ["u", "v"])
@@ -279,10 +291,10 @@ def true_pairs(nodes: DataFrame, count: int, near: float, of: int = AUDITED_OF)
     return found
 
 
-def _audited(nodes: DataFrame, count: int, near: float) -> DataFrame:
+def _audited(nodes: DataFrame, count: int, reach: float) -> DataFrame:
     """True pairs of the first share of nodes, or of as many more as it takes to hold any."""
     of = AUDITED_OF
-    true = true_pairs(nodes, count, near)
+    true = true_pairs(nodes, count, reach)
     pairs = None
     while of > 1 and true.isEmpty():
         pairs = pairs if pairs is not None else nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(
@@ -291,7 +303,7 @@ def _audited(nodes: DataFrame, count: int, near: float) -> DataFrame:
         if pairs / of > AUDIT_MOST:
             break
         discard(true)
-        true = true_pairs(nodes, count, near, of)
+        true = true_pairs(nodes, count, reach, of)
     return true
 
 
@@ -302,48 +314,51 @@ def _audit(graph: DataFrame, true: DataFrame) -> float | None:
     return held / wanted if wanted else None
 
 
-def neighbour_graph(nodes: DataFrame, near: float) -> tuple[DataFrame, float | None]:
-    """``u, v, cos`` with every pair found, and the audited recall of pairs of at least ``near`` (None: unknown).
+def neighbour_graph(nodes: DataFrame, reach: float) -> tuple[DataFrame, float | None]:
+    """``u, v, cos`` with every pair found, and the audited recall of pairs that matter (None: unknown).
 
-    ``cos`` is by 16-bit vectors: off by less than ``MARGIN``.
+    ``nodes`` has ``vec_id, label, vec, radius``. Two of them matter to each other within the angle ``reach`` and both
+    radii, so it is enough if the one with the larger radius looks as far as ``reach`` and twice its own. ``cos`` is by
+    16-bit vectors: off by less than ``MARGIN``.
     """
     count = nodes.count()
     light = _light(nodes)
-    sizes = staged(nodes.select(F.col("vec_id").alias("u"), F.lit(NEIGHBOURS).alias("most")), "nn-sizes")
+    far = F.least(F.lit(reach) + 2 * F.col("radius"), F.lit(math.pi))
+    sizes = staged(nodes.select(F.col("vec_id").alias("u"), F.lit(NEIGHBOURS).alias("most"), (F.cos(far) - MARGIN).alias("need")), "nn-sizes")
     graph = staged(_best(_start(light, nodes), sizes), "nn-graph")
-    # Lists that all nodes have at least. Enlarging ends by itself: no list is saturated once it has room for all nodes.
-    least, longest = NEIGHBOURS, NEIGHBOURS
-    true = _audited(nodes, count, near)
+    true = _audited(nodes, count, reach)
+    least = NEIGHBOURS
     while True:
         quiet = False
         while True:
-            better = _round(graph, light, sizes, longest // 2)
+            better = _round(graph, light, sizes)
             discard(graph)
             graph = better
-            fresh, close = graph.where("fresh").agg(
-                F.count(F.lit(1)), F.count_if(F.col("cos") >= near - MARGIN)).first()
+            fresh, close = graph.where("fresh").join(sizes.select("u", "need"), "u").agg(
+                F.count(F.lit(1)), F.count_if(F.col("cos") >= F.col("need"))).first()
             # Two rounds in a row without a new near pair, or hardly any change, end the refining.
             if fresh <= LEAST_CHANGE * count * NEIGHBOURS or not close and quiet:
                 break
             quiet = not close
         recall = _audit(graph, true)
         full = graph.groupBy("u").agg(F.count(F.lit(1)).alias("held"), F.min("cos").alias("worst")).join(sizes, "u").where(
-            (F.col("held") >= F.col("most")) & (F.col("worst") >= near - MARGIN)).select("u")
+            (F.col("held") >= F.col("most")) & (F.col("worst") >= F.col("need"))).select("u")
+        full = staged(full, "nn-full")
+        # Lists end to grow by themselves: none is saturated once it has room for all nodes.
         saturated = full.count()
         low = recall is not None and recall < LEAST_RECALL and least < count
         if not saturated and not low:
             discard(true)
             discard(light)
+            discard(full)
             return graph, recall
-        least *= 2 if low else 1
-        longest *= 2
-        marked = full.withColumn("full", F.lit(True))
-        grow = F.lit(True) if low else F.coalesce("full", F.lit(False))
-        larger = staged(sizes.join(marked, "u", "left").select(
-            "u", F.when(grow, F.col("most") * 2).otherwise(F.col("most")).alias("most"), grow.alias("grown")), "nn-sizes")
+        least *= 1 if saturated else 2
+        grow = F.coalesce("full", F.lit(False)) if saturated else F.lit(True)
+        larger = staged(sizes.join(full.withColumn("full", F.lit(True)), "u", "left").select(
+            "u", F.when(grow, F.col("most") * 2).otherwise(F.col("most")).alias("most"), "need", grow.alias("grown")), "nn-sizes")
         discard(sizes)
-        sizes = larger.select("u", "most")
-        sizes.staged_at = larger.staged_at
+        discard(full)
+        sizes = larger
         # What was dropped from a list that has grown may come back: its neighbours count as new.
         again = staged(graph.join(larger.select("u", "grown"), "u").select("u", "v", "cos", F.col("grown").alias("fresh")), "nn-graph")
         discard(graph)
@@ -414,11 +429,15 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
     vectors = staged(slim.where("vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL").dropDuplicates(
         ["vec_id"]).mapInArrow(_usable, _VECTOR), "nn-vectors")
     members = balls(vectors, threshold)
-    nodes = members.where("vec_id = hub").select("vec_id", "label", "vec")
-    # Members of two balls may link only if their hubs are within the linking angle and both radii.
-    near = math.cos((1 + 2 * BALL_RADIUS) * math.acos(threshold))
-    graph, recall = neighbour_graph(nodes, near)
-    links = staged(_member_links(members, graph.where(F.col("cos") >= near - MARGIN), threshold), "nn-links")
+    radii = members.groupBy("hub").agg(F.acos(F.greatest(F.least(F.min("hub_cos"), F.lit(1.0)), F.lit(-1.0))).alias("radius"))
+    nodes = staged(members.where("vec_id = hub").select("vec_id", "label", "vec").join(
+        radii.withColumnRenamed("hub", "vec_id"), "vec_id"), "nn-nodes")
+    reach = math.acos(threshold)
+    graph, recall = neighbour_graph(nodes, reach)
+    sides = [nodes.select(F.col("vec_id").alias(side), F.col("radius").alias(f"radius_{side}")) for side in "uv"]
+    near = graph.join(sides[0], "u").join(sides[1], "v").where(
+        F.col("cos") >= F.cos(F.least(F.lit(reach) + F.col("radius_u") + F.col("radius_v"), F.lit(math.pi))) - MARGIN)
+    links = staged(_member_links(members, near, threshold), "nn-links")
     roots = components(links.select(F.col("hub").alias("u"), F.col("other").alias("v")), "nn-components")
     within = members.groupBy("hub").agg(F.count(F.lit(1)).alias("size"), F.min("vec_id").alias("least"))
     rooted = within.join(roots, within["hub"] == roots["node"], "left").select(

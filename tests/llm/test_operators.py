@@ -332,8 +332,8 @@ def test_nn_descent_audit_without_near_pairs_is_unknown(spark):
     rows = [(i, 0, bytearray(v.tobytes())) for i, v in enumerate(np.eye(64))]
     none = spark.createDataFrame([], "u long, v long")
     for extra, want in (([], None), ([(99, 0, rows[0][2])], 0)):
-        nodes = spark.createDataFrame(rows + extra, "vec_id long, label long, vec binary")
-        assert nn_descent._audit(none, nn_descent.true_pairs(nodes, len(rows), 0.9)) == want
+        nodes = spark.createDataFrame(rows + extra, "vec_id long, label long, vec binary").selectExpr("*", "0D AS radius")
+        assert nn_descent._audit(none, nn_descent.true_pairs(nodes, len(rows), math.acos(0.9))) == want
 
 
 def test_toxicity_held_out(spark, odd):
