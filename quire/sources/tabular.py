@@ -7,6 +7,9 @@ from dataclasses import dataclass
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.sources.split_csv import cells
 
 
 class Source(Protocol):
@@ -20,10 +23,9 @@ class Source(Protocol):
 class CsvSource:
     """Delimited text; every column is text and an empty cell is empty text.
 
-    A row whose number of fields differs from the header fails the run. With
-    ``multiline`` a quoted field may hold line ends, and each file is one task;
-    without it a row is a line, and files are split. Sizes decide nothing. In a
-    file whose lines end in CR LF, a quoted CR LF comes back as LF.
+    A quoted field may hold separators, quotes (doubled) and line ends, which come back unchanged. Files are read by
+    many tasks whatever their size (see ``split_csv``); ``multiline: false`` says that a row is a line, whatever quotes
+    it holds open, and saves the first pass. Empty lines are left out; a row whose number of fields differs from that of the first row fails the run.
     """
 
     path: str
@@ -33,10 +35,24 @@ class CsvSource:
     counts_cheaply = False
 
     def read(self, spark: SparkSession) -> DataFrame:
+        if not self.multiline:
+            return self._read_lines(spark)
+        rows = cells(spark, self.path, self.separator)
+        top = rows.where("first").orderBy("file").select("cells").first()
+        if top is None:
+            return spark.createDataFrame([], "")
+        width = len(top["cells"])
+        names = top["cells"] if self.has_header else [f"Column{i + 1}" for i in range(width)]
+        body = rows.where("NOT first") if self.has_header else rows
+        checked = F.when(F.size("cells") == width, F.col("cells")).otherwise(F.raise_error(F.concat(
+            F.lit(f"malformed CSV: a row of {width} fields expected, found "), F.size("cells").cast("string"), F.lit(" in "),
+            F.col("file"))).cast("array<string>"))
+        return body.select(checked.alias("cells")).select(*[F.col("cells")[i].alias(name) for i, name in enumerate(names)])
+
+    def _read_lines(self, spark: SparkSession) -> DataFrame:
         rows = (
             spark.read.option("header", self.has_header).option("sep", self.separator)
             .option("inferSchema", False).option("escape", '"').option("mode", "FAILFAST")
-            .option("multiLine", self.multiline)
             .csv(self.path)
         )
         if not self.has_header:
