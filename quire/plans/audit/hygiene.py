@@ -10,8 +10,7 @@ from quire.functions.text import (
 )
 from quire.operators.tables import members
 from quire.plans.audit.config import GovernanceConfig
-from quire.plans.audit.registry import Hit, RuleMeta, row_rule, set_rule
-from quire.sources.workbooks import readable
+from quire.plans.audit.registry import Hit, RuleMeta, fold_rule, row_rule
 
 PACK = "audit"
 
@@ -31,48 +30,60 @@ def field_location() -> Column:
     return _text("datasource:", F.col("datasource"), "/field:", F.col("name"))
 
 
-def _set_findings(
-    rows: DataFrame, message: Column, location: Column, remediation: str, **properties: Column
-) -> DataFrame:
-    from quire.plans.audit.registry import _properties
+def _runs(rows: DataFrame, name: str, items: Column, key: str) -> DataFrame:
+    """Add ``name``: the stretches of equal ``key`` of an array of structs, ordered by that key first.
 
-    return rows.select(
-        F.col("path").alias("workbook_path"), message.alias("message"), location.alias("location"),
-        F.lit(remediation).alias("remediation"), _properties(properties).alias("properties"),
+    The array is sorted once and cut where the key changes, so the cost does not depend on how many are equal. Each
+    step is a column of its own, which later ones look up by place.
+    """
+    def changes(i: Column) -> Column:
+        return (i == 0) | ~F.get(f"{name}_all", i)[key].eqNullSafe(F.get(f"{name}_all", i - 1)[key])
+
+    places = F.when(F.size(f"{name}_all") > 0, F.sequence(F.lit(0), F.size(f"{name}_all") - 1)).otherwise(
+        F.array().cast("array<int>"))
+    end = lambda j: F.coalesce(F.get(f"{name}_starts", j + 1), F.size(f"{name}_all"))
+    return (
+        rows.withColumn(f"{name}_all", F.array_sort(items))
+        .withColumn(f"{name}_starts", F.filter(places, changes))
+        .withColumn(name, F.transform(f"{name}_starts", lambda p, j: F.slice(f"{name}_all", p + 1, end(j) - p)))
     )
 
 
 # ---- AUD001 -------------------------------------------------------------------
-def _unused_worksheets(estate: DataFrame, config: GovernanceConfig) -> DataFrame:
+def _unused_worksheets(rows: DataFrame, name: str) -> DataFrame:
     shown = F.flatten("dashboards.referenced_worksheets")
-    unused = F.when(F.size("dashboards.pos") > 0, F.array_except("worksheets.name", shown))
-    rows = (
-        readable(estate).select("path", unused.alias("unused"))
-        .select("path", F.explode_outer("unused").alias("name"))
-        .filter(F.col("name").isNotNull())
-    )
-    return _set_findings(
-        rows, _text("No dashboard shows worksheet '", F.col("name"), "'."),
-        _text("worksheet:", F.col("name")), "Put it on a dashboard or delete it.",
-    )
+    unused = F.when(F.size("dashboards.pos") > 0, F.array_except("worksheets.name", shown)).otherwise(
+        F.array().cast("array<string>"))
+    return rows.withColumn(name, F.transform(F.array_compact(unused), lambda n: F.struct(n.alias("name"))))
+
+
+def _unused_worksheet(config: GovernanceConfig) -> list[Hit]:
+    return [Hit(
+        when=F.lit(True),
+        message=_text("No dashboard shows worksheet '", F.col("name"), "'."),
+        location=_text("worksheet:", F.col("name")),
+        remediation="Put it on a dashboard or delete it.",
+    )]
 
 
 # ---- AUD002 -------------------------------------------------------------------
-def _orphan_sources(estate: DataFrame, config: GovernanceConfig) -> DataFrame:
+def _orphan_sources(rows: DataFrame, name: str) -> DataFrame:
     used = F.flatten("worksheets.datasource_names")
-    rows = (
-        readable(estate)
-        .select("path", F.col("datasources.name").alias("names"),
-                F.array_except("datasources.name", used).alias("orphans"))
-        .filter(F.size("orphans") > 0)
-        # Back to the full list: two sources may share an unused name.
-        .select("path", "orphans", F.explode("names").alias("name"))
-        .filter(F.array_contains("orphans", F.col("name")))
-    )
-    return _set_findings(
-        rows, _text("No worksheet uses data source '", F.col("name"), "'."),
-        _text("datasource:", F.col("name")), "Use it in a worksheet or remove it.",
-    )
+    orphans = f"{name}_names"
+    # Back to the full list: two sources may share an unused name.
+    return rows.withColumn(orphans, F.array_except("datasources.name", used)).withColumn(name, F.when(
+        F.size(orphans) > 0, F.transform(
+            F.filter("datasources.name", lambda n: F.array_contains(orphans, n)), lambda n: F.struct(n.alias("name"))),
+    ).otherwise(F.array().cast("array<struct<name:string>>")))
+
+
+def _orphan_source(config: GovernanceConfig) -> list[Hit]:
+    return [Hit(
+        when=F.lit(True),
+        message=_text("No worksheet uses data source '", F.col("name"), "'."),
+        location=_text("datasource:", F.col("name")),
+        remediation="Use it in a worksheet or remove it.",
+    )]
 
 
 # ---- AUD003 -------------------------------------------------------------------
@@ -91,70 +102,69 @@ def _deprecated_functions(config: GovernanceConfig) -> list[Hit]:
 
 
 # ---- AUD004 -------------------------------------------------------------------
-def _repeated_formulas(estate: DataFrame, config: GovernanceConfig) -> DataFrame:
+def _repeated_formulas(rows: DataFrame, name: str) -> DataFrame:
     calculated = F.filter(
         members("fields", "ds_pos", "pos", "datasource", "name", "calc_formula"),
         lambda f: f["calc_formula"].isNotNull(),
     )
     keyed = F.transform(calculated, lambda f: F.struct(
-        f["ds_pos"].alias("ds_pos"), f["pos"].alias("pos"), f["datasource"].alias("datasource"),
-        f["name"].alias("name"), normalize_formula(f["calc_formula"]).alias("formula"),
+        normalize_formula(f["calc_formula"]).alias("formula"), f["ds_pos"].alias("ds_pos"), f["pos"].alias("pos"),
+        f["datasource"].alias("datasource"), f["name"].alias("name"),
     ))
-    repeated = F.size(F.array_distinct("calcs.formula")) < F.size("calcs")
-    # Only workbooks that repeat a formula at all have their formulas shuffled. A
-    # group is the repeats within one document, so its size is bounded by a file's.
-    rows = (
-        readable(estate).select("path", keyed.alias("calcs"))
-        .filter(repeated)
-        .select("path", F.explode("calcs").alias("c"))
-        .groupBy("path", F.col("c.formula").alias("formula"))
-        .agg(F.array_sort(F.collect_list(F.struct(
-            "c.ds_pos", "c.pos", "c.datasource", "c.name"))).alias("places"))
-        .filter(F.size("places") > 1)
-        .withColumn("first", F.get("places", F.lit(0)))
-    )
+    stretches = f"{name}_runs"
+    return _runs(rows, stretches, keyed, "formula").withColumn(name, F.transform(
+        F.filter(stretches, lambda r: F.size(r) > 1), lambda r: F.struct(F.transform(
+            r, lambda p: F.struct(p["datasource"].alias("datasource"), p["name"].alias("name"))).alias("places"))))
+
+
+def _repeated_formula(config: GovernanceConfig) -> list[Hit]:
     count = F.size("places").cast("string")
     listed = F.array_join(
         F.transform("places", lambda p: F.concat(p["datasource"], F.lit(":"), p["name"])), ", ")
-    return _set_findings(
-        rows, _text("The same formula stands in ", count, " places: ", listed, "."),
-        _text(F.col("first.datasource"), "/", F.col("first.name")),
-        "Keep it once, as a parameter or in a shared data source.", count=count,
-    )
+    first = F.get("places", F.lit(0))
+    return [Hit(
+        when=F.lit(True),
+        message=_text("The same formula stands in ", count, " places: ", listed, "."),
+        location=_text(first["datasource"], "/", first["name"]),
+        remediation="Keep it once, as a parameter or in a shared data source.",
+        properties={"count": count},
+    )]
 
 
 # ---- AUD005 -------------------------------------------------------------------
-def _broken_references(estate: DataFrame, config: GovernanceConfig) -> DataFrame:
-    def key(pos: Column, name: Column) -> Column:
-        return F.concat_ws("|", pos.cast("string"), name)
+def _broken_references(rows: DataFrame, name: str) -> DataFrame:
+    def key(pos: Column, column: Column) -> Column:
+        return F.concat_ws("|", pos.cast("string"), column)
+
+    def entry(k: Column, used: bool, source: Column, field: Column) -> Column:
+        return F.struct(k.alias("key"), F.lit(used).alias("used"), source.alias("datasource"), field.alias("name"))
 
-    known = F.transform(members("fields", "ds_pos", "name"), lambda f: key(f["ds_pos"], f["name"]))
+    none = F.lit(None).cast("string")
+    known = F.transform(
+        members("fields", "ds_pos", "name"), lambda f: entry(key(f["ds_pos"], f["name"]), False, none, none))
     calcs = F.filter(
         members("fields", "ds_pos", "datasource", "name", "calc_formula"),
         lambda f: f["calc_formula"].isNotNull(),
     )
-    with_refs = F.transform(calcs, lambda f: F.struct(
-        f["datasource"].alias("datasource"), f["name"].alias("name"),
-        F.transform(column_references(f["calc_formula"]), lambda r: key(f["ds_pos"], r)).alias("refs"),
-    ))
-    # Hash-based set difference inside the row. A reference to the field itself is always known. Outer explode, then
-    # drop the nulls: a filter on the difference would reach the scan and extract all references a second time.
-    broken = F.flatten(F.transform("calcs", lambda c: F.transform(
-        F.array_intersect(c["refs"], F.col("broken")),
-        lambda r: F.struct(c["datasource"].alias("datasource"), c["name"].alias("name"), r.alias("key")))))
-    rows = (
-        readable(estate).select("path", known.alias("known"), with_refs.alias("calcs"))
-        .select("path", "calcs", F.array_except(F.flatten("calcs.refs"), "known").alias("broken"))
-        .select("path", F.explode_outer(broken).alias("hit"))
-        .filter(F.col("hit").isNotNull())
-        .select("path", "hit.datasource", "hit.name", F.regexp_replace("hit.key", r"^\d+\|", "").alias("ref"))
-    )
-    return _set_findings(
-        rows,
-        _text("Formula of '", F.col("name"), "' refers to ", F.col("ref"),
-              ", which data source '", F.col("datasource"), "' does not have."),
-        field_location(), "Correct the reference or bring the column back.", referenced=F.col("ref"),
-    )
+    used = F.flatten(F.transform(calcs, lambda f: F.transform(
+        F.array_distinct(column_references(f["calc_formula"])),
+        lambda r: entry(key(f["ds_pos"], r), True, f["datasource"], f["name"]))))
+    # A known column stands before the references to it, so a stretch that begins with a reference is broken.
+    stretches = f"{name}_runs"
+    return _runs(rows, stretches, F.concat(known, used), "key").withColumn(name, F.transform(
+        F.flatten(F.filter(stretches, lambda r: F.get(r, F.lit(0))["used"])), lambda e: F.struct(
+            e["datasource"].alias("datasource"), e["name"].alias("name"), F.regexp_replace(e["key"], r"^\d+\|", "").alias("ref"))))
+
+
+def _broken_reference(config: GovernanceConfig) -> list[Hit]:
+    return [Hit(
+        when=F.lit(True),
+        message=_text("Formula of '", F.col("name"), "' refers to ", F.col("ref"),
+                      ", which data source '", F.col("datasource"), "' does not have."),
+        location=field_location(),
+        remediation="Correct the reference or bring the column back.",
+        properties={"referenced": F.col("ref")},
+    )]
 
 
 # ---- AUD006 -------------------------------------------------------------------
@@ -169,22 +179,22 @@ def _old_version(config: GovernanceConfig) -> list[Hit]:
 
 
 RULES = [
-    set_rule(RuleMeta(
+    fold_rule(RuleMeta(
         "AUD001", "Unused worksheet", "warn",
-        "A worksheet that no dashboard of the workbook shows.", PACK), _unused_worksheets),
-    set_rule(RuleMeta(
+        "A worksheet that no dashboard of the workbook shows.", PACK), _unused_worksheets, _unused_worksheet),
+    fold_rule(RuleMeta(
         "AUD002", "Orphan data source", "warn",
-        "A data source that no worksheet uses.", PACK), _orphan_sources),
+        "A data source that no worksheet uses.", PACK), _orphan_sources, _orphan_source),
     row_rule(RuleMeta(
         "AUD003", "Deprecated function", "warn",
         "A formula that calls a deprecated function.", PACK),
         "fields", ["datasource", "name", "calc_formula"], _deprecated_functions),
-    set_rule(RuleMeta(
+    fold_rule(RuleMeta(
         "AUD004", "Repeated formula", "info",
-        "The same formula in several calculated fields of a workbook.", PACK), _repeated_formulas),
-    set_rule(RuleMeta(
+        "The same formula in several calculated fields of a workbook.", PACK), _repeated_formulas, _repeated_formula),
+    fold_rule(RuleMeta(
         "AUD005", "Broken column reference", "error",
-        "A formula that refers to a column its data source lacks.", PACK), _broken_references),
+        "A formula that refers to a column its data source lacks.", PACK), _broken_references, _broken_reference),
     row_rule(RuleMeta(
         "AUD006", "Old workbook version", "info",
         "A workbook saved by a release below the supported floor.", PACK),

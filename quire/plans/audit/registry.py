@@ -1,8 +1,10 @@
 """Rules, their registry, and the job that runs them over an estate.
 
-A rule either states conditions on one child row (``row_rule``: a connection, a
-field or the workbook itself) or builds its own frame (``set_rule``). All
-selected row rules on the same kind of row share one scan.
+A rule states conditions on one child row (``row_rule``: a connection, a field
+or the workbook itself), on the rows of a fold over a workbook's own arrays
+(``fold_rule``), or builds its own frame (``set_rule``). All row and fold rules
+share one scan of the estate: each workbook yields the rows of all kinds the
+chosen rules look at in one array.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire import schema
 from quire.operators import tables
@@ -44,10 +47,11 @@ class Hit:
 
 @dataclass(frozen=True)
 class Rule:
-    """``hits`` for a row rule on ``grain``, or ``frame`` for a set rule.
+    """``hits`` for a row rule on ``grain`` or over the rows of a ``fold``, or ``frame`` for a set rule.
 
     A row rule names the child columns it reads, and may derive a column from
-    them that its hits use more than once. A set rule returns ``workbook_path, message, location, remediation,
+    them that its hits use more than once. A fold takes the workbook rows and a name and adds an array of structs under
+    that name. A set rule returns ``workbook_path, message, location, remediation,
     properties``; the columns that tell the rule are added to it.
     """
 
@@ -57,6 +61,7 @@ class Rule:
     hits: Callable[[GovernanceConfig], Sequence[Hit]] | None = None
     derive: Callable[[GovernanceConfig], Mapping[str, Column]] | None = None
     frame: Callable[[DataFrame, GovernanceConfig], DataFrame] | None = None
+    fold: Callable[[DataFrame, str], DataFrame] | None = None
 
 
 def row_rule(
@@ -73,19 +78,49 @@ def set_rule(meta: RuleMeta, frame: Callable[[DataFrame, GovernanceConfig], Data
     return Rule(meta, frame=frame)
 
 
+def fold_rule(
+    meta: RuleMeta, fold: Callable[[DataFrame, str], DataFrame],
+    hits: Callable[[GovernanceConfig], Sequence[Hit]],
+) -> Rule:
+    return Rule(meta, hits=hits, fold=fold)
+
+
 # What a row rule can look at: the workbook itself or one kind of its children.
 GRAINS = ("workbook", *schema.CHILD_COLUMNS)
 
 
-def _rows(estate: DataFrame, grain: str, rules: Sequence[Rule], config: GovernanceConfig) -> DataFrame:
-    """``path``, the columns the rules name and the ones they derive."""
-    columns = list(dict.fromkeys(c for rule in rules for c in rule.columns))
-    if grain == "workbook":
-        rows = readable(estate).select("path", *columns)
-    else:
-        rows = tables.children(estate, grain, columns)
-    derived = {k: v for rule in rules if rule.derive for k, v in rule.derive(config).items()}
-    return rows.withColumns(derived) if derived else rows
+def _kinds(rules: Sequence[Rule]) -> list[list[Rule]]:
+    """Rules that look at the same kind of row: one list per grain and per fold."""
+    by_grain = [[rule for rule in rules if rule.grain == grain] for grain in GRAINS]
+    return [kind for kind in by_grain if kind] + [[rule] for rule in rules if rule.fold is not None]
+
+
+def _rows(estate: DataFrame, kinds: Sequence[Sequence[Rule]]) -> DataFrame:
+    """``path, kind`` and the columns of all kinds: one row for each row of each kind, from one scan."""
+    rows = readable(estate)
+    parts: list[tuple[Column, T.StructType]] = []
+    for number, rules in enumerate(kinds):
+        if rules[0].fold is not None:
+            rows = rules[0].fold(rows, f"_fold{number}")
+            parts.append((F.col(f"_fold{number}"), rows.schema[f"_fold{number}"].dataType.elementType))
+            continue
+        grain, columns = rules[0].grain, list(dict.fromkeys(c for rule in rules for c in rule.columns))
+        whole = schema.WORKBOOK if grain == "workbook" else schema.CHILD_COLUMNS[grain]
+        types = T.StructType([whole[c] for c in columns])
+        parts.append((F.array(F.struct(*columns)) if grain == "workbook" else tables.members(grain, *columns), types))
+    kinds_of: dict[str, T.DataType] = {}
+    for _, types in parts:
+        for column in types:
+            if kinds_of.setdefault(column.name, column.dataType) != column.dataType:
+                raise ValueError(f"rules take '{column.name}' for two types")
+
+    def told(number: int, types: T.StructType) -> Callable[[Column], Column]:
+        own = set(types.names)
+        return lambda m: F.struct(F.lit(number).alias("kind"), *[
+            (m[name] if name in own else F.lit(None)).cast(kind).alias(name) for name, kind in kinds_of.items()])
+
+    arrays = [F.transform(array, told(number, types)) for number, (array, types) in enumerate(parts)]
+    return rows.select("path", F.explode(F.concat(*arrays)).alias("r")).select("path", "r.*")
 
 
 def _properties(values: Mapping[str, Column]) -> Column:
@@ -109,12 +144,18 @@ def _by_rule(hits: Sequence[Hit], value: Callable[[Hit], Column]) -> Column:
     return chosen
 
 
-def _row_findings(estate: DataFrame, grain: str, rules: Sequence[Rule], config: GovernanceConfig) -> DataFrame:
-    found = [(rule.meta, hit) for rule in rules for hit in rule.hits(config)]
-    metas, hits = [meta for meta, _ in found], [hit for _, hit in found]
+def _row_findings(estate: DataFrame, rules: Sequence[Rule], config: GovernanceConfig) -> DataFrame:
+    kinds = _kinds(rules)
+    found = [(number, rule.meta, hit) for number, kind in enumerate(kinds) for rule in kind for hit in rule.hits(config)]
+    metas, hits = [meta for _, meta, _ in found], [hit for _, _, hit in found]
+    rows = _rows(estate, kinds)
+    derived = {k: F.when(F.col("kind") == number, v) for number, kind in enumerate(kinds) for rule in kind if rule.derive
+               for k, v in rule.derive(config).items()}
+    rows = rows.withColumns(derived) if derived else rows
     # One pass for all of them: each row yields the numbers of the hits it scores. Texts are made from these numbers
     # only, above the explode, so that Catalyst drops those that nothing asks for.
-    numbers = F.array_compact(F.array(*[F.when(hit.when, F.lit(place)) for place, hit in enumerate(hits)]))
+    numbers = F.array_compact(F.array(*[
+        F.when((F.col("kind") == number) & hit.when, F.lit(place)) for place, (number, _, hit) in enumerate(found)]))
 
     def told(field: str) -> Column:
         texts = {place: getattr(meta, field) for place, meta in enumerate(metas)}
@@ -123,7 +164,7 @@ def _row_findings(estate: DataFrame, grain: str, rules: Sequence[Rule], config:
     # Outer, then drop the nulls: the plain form would add a filter that
     # evaluates every condition a second time.
     return (
-        _rows(estate, grain, rules, config)
+        rows
         .select("*", F.explode_outer(numbers).alias("hit"))
         .filter(F.col("hit").isNotNull())
         .select(
@@ -185,10 +226,9 @@ class Registry:
             wanted = set(only)
             chosen = [rule for rule in chosen if rule.meta.id in wanted]
         frames = []
-        for grain in GRAINS:
-            on_grain = [rule for rule in chosen if rule.grain == grain]
-            if on_grain:
-                frames.append(_row_findings(estate, grain, on_grain, config))
+        in_row = [rule for rule in chosen if rule.frame is None]
+        if in_row:
+            frames.append(_row_findings(estate, in_row, config))
         for rule in chosen:
             if rule.frame is not None:
                 frames.append(

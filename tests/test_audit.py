@@ -193,3 +193,41 @@ def test_files_are_audited_without_a_store(spark):
         [(f"{rule}.twb", bytearray(xml.encode())) for rule, xml in ONE_EACH.items()], "path string, content binary")
     found = reports.audit_files(files, "audit")
     assert {r.rule_id for r in found.collect()} == {f"AUD00{i}" for i in range(1, 7)}
+
+
+def test_one_scan_serves_all_rules(spark, ingest, tmp_path):
+    path = str(tmp_path / "estate")
+    ingest({"a.twb": workbook(source(body=column("[x]", "[y] + 1")))}).write.parquet(path)
+    findings = default_registry().run(spark.read.parquet(path))
+    plan = findings._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan and "Join" not in plan
+    counted = findings.groupBy("severity").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("which is deprecated") and not counted.count("which is deprecated")
+
+
+def test_repeated_and_broken_formulas_against_plain_python(spark, ingest):
+    import random
+    from collections import defaultdict
+
+    rng = random.Random(11)
+    books, repeats, broken = {}, set(), set()
+    for b in range(25):
+        sources, places, known, used = [], defaultdict(list), set(), []
+        for s in range(rng.randrange(4)):
+            body = ""
+            for f in range(rng.randrange(8)):
+                refs = [f"c{rng.randrange(10)}" for _ in range(rng.randrange(4))]
+                formula = " + ".join(f"[{r}]" for r in refs) or None
+                body += column(f"[c{f}]", formula)
+                known.add((s, f"[c{f}]"))
+                if formula:
+                    places[formula].append(f"s{s}:[c{f}]")
+                    used += [(s, f"[{r}]", f"[c{f}]") for r in refs]
+            sources.append(source(f"s{s}", body))
+        books[f"{b}.twb"] = workbook("".join(sources))
+        repeats |= {(f"{b}.twb", ", ".join(p)) for p in places.values() if len(p) > 1}
+        broken |= {(f"{b}.twb", f"datasource:s{s}/field:{name}", ref) for s, ref, name in used if (s, ref) not in known}
+    found = default_registry().run(ingest(books), only=["AUD004", "AUD005"]).collect()
+    assert {(r.workbook_path, r.message.split(": ", 1)[1][:-1]) for r in found if r.rule_id == "AUD004"} == repeats
+    assert {(r.workbook_path, r.location, r.properties["referenced"]) for r in found if r.rule_id == "AUD005"} == broken
+    assert len([r for r in found if r.rule_id == "AUD005"]) == len(broken) and broken and repeats
