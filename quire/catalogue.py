@@ -24,7 +24,7 @@ from quire.plans import diff, inventory, normalize, scan
 from quire.plans.audit import GovernanceConfig, default_registry, reports
 from quire.plans.pipeline import Pipeline
 from quire.session import configure, fresh_path
-from quire.sinks.findings import findings_json, findings_sarif
+from quire.sinks.findings import write_findings_documents, write_findings_sarif
 from quire.sinks.tabular import export_result
 from quire.sources.tabular import CsvSource
 from quire.sources.workbooks import ingest, parse_workbooks
@@ -354,29 +354,42 @@ def dup_text_documents(spark, sf_dir):
 
 
 # ---- export -----------------------------------------------------------------------
+def _lines(spark: SparkSession, folder: str, start: str, schema: str) -> DataFrame:
+    """``file, j``: the elements of all documents below a folder that begin like ``start``, read line by line."""
+    lines = spark.read.option("recursiveFileLookup", True).text(folder).where(F.col("value").startswith(start))
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.from_json(F.rtrim("value", F.lit(",")), schema).alias("j"))
+
+
+def _named(properties: str):
+    """Properties as ``name=value`` texts in the order of their names."""
+    pairs = F.transform(F.map_entries(properties), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return F.array_join(F.array_sort(pairs), ",").alias("properties")
+
+
 @query
 def export_json(spark, sf_dir):
-    documents = findings_json(default_registry().run(estate(spark, sf_dir)))
-    parsed = F.from_json("json", "tool string, findings array<struct<rule_id:string,severity:string>>")
-    return documents.withColumn("j", parsed).select(
-        "workbook_path",
-        F.size("j.findings").alias("findings"),
-        F.size(F.filter("j.findings", lambda f: f["severity"] == "error")).alias("errors"),
-    )
+    folder = fresh_path(spark, "json")
+    write_findings_documents(default_registry().run(estate(spark, sf_dir)), folder)
+    found = _lines(spark, folder, '{"rule_id"', ", ".join(f"{c} string" for c in _FLAT) + ", properties map<string,string>")
+    return found.select(*[f"j.{c}" for c in _FLAT], _named("j.properties"))
 
 
 @query
 def export_sarif(spark, sf_dir):
-    registry = default_registry()
-    documents = findings_sarif(registry.run(estate(spark, sf_dir)), registry.rules)
-    results = F.from_json(F.get_json_object("sarif", "$.runs[0].results"), "array<struct<ruleId:string,level:string>>")
-    rules = F.from_json(F.get_json_object("sarif", "$.runs[0].tool.driver.rules"), "array<struct<id:string>>")
-    return documents.withColumn("r", results).select(
-        "workbook_path",
-        F.size("r").alias("results"),
-        F.size(F.filter("r", lambda f: f["level"] == "warning")).alias("warnings"),
-        F.size(rules).alias("rules"),
-    )
+    folder, registry = fresh_path(spark, "sarif"), default_registry()
+    write_findings_sarif(registry.run(estate(spark, sf_dir)), folder, registry.rules)
+    results = _lines(spark, folder, '{"ruleId"', (
+        "ruleId string, level string, message struct<text:string,markdown:string>, properties map<string,string>, "
+        "locations array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>>,"
+        "logicalLocations:array<struct<fullyQualifiedName:string>>>>"))
+    rules = _lines(spark, folder, '{"id"', "id string, name string").select(
+        "file", F.col("j.id").alias("rule_id"), F.col("j.name").alias("slug"))
+    place = F.col("j.locations")[0]
+    return results.select(
+        "file", F.col("j.ruleId").alias("rule_id"), "j.level", F.col("j.message.text").alias("message"), "j.message.markdown",
+        place["physicalLocation"]["artifactLocation"]["uri"].alias("uri"),
+        place["logicalLocations"][0]["fullyQualifiedName"].alias("location"), _named("j.properties"),
+    ).join(rules, ["file", "rule_id"]).drop("file")
 
 
 # ---- pipelines ----------------------------------------------------------------------

@@ -420,13 +420,14 @@ HAVING count(*) > 1
 """
 
 # ---- export -----------------------------------------------------------------------
-ORACLES["export_json"] = _on_estate("""
-SELECT workbook_path, CAST(count(*) AS INTEGER) AS findings,
-  CAST(count(*) FILTER (severity = 'error') AS INTEGER) AS errors FROM findings GROUP BY 1
-""", _FINDINGS)
+ORACLES["export_json"] = _on_estate("SELECT * FROM findings", _FINDINGS)
 ORACLES["export_sarif"] = _on_estate("""
-SELECT workbook_path, CAST(count(*) AS INTEGER) AS results,
-  CAST(count(*) FILTER (severity = 'warn') AS INTEGER) AS warnings, 11 AS rules FROM findings GROUP BY 1
+SELECT rule_id, CASE severity WHEN 'info' THEN 'note' WHEN 'warn' THEN 'warning' ELSE 'error' END AS level, message,
+  message || chr(10) || chr(10) || '**Remediation:** ' || remediation AS markdown, workbook_path AS uri, location,
+  array_to_string(list_sort(list_filter([properties, 'remediation=' || remediation], lambda x: x <> '')), ',') AS properties,
+  array_to_string(list_transform(string_split_regex(rule_id || ' ' || title, '[^A-Za-z0-9]+'),
+    lambda w: upper(w[1]) || w[2:]), '') AS slug
+FROM findings
 """, _FINDINGS)
 
 # ---- pipelines --------------------------------------------------------------------

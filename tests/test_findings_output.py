@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import artifact_uri, rule_slug
 from quire.plans.audit import default_registry
-from quire.sinks.findings import findings_json, findings_sarif, write_findings_json
+from quire.sinks.documents import _DocumentWriter, _Written, file_name, write_documents
+from quire.sinks.findings import write_findings_documents, write_findings_json, write_findings_sarif
 
 
 @pytest.fixture(scope="module")
@@ -16,17 +17,50 @@ def found(ingest):
     return default_registry().run(ingest({"dir/bad.twb": bad, "clean.twb": CLEAN})).cache()
 
 
-def test_json_envelope(found):
-    rows = findings_json(found).collect()
-    assert [r.workbook_path for r in rows] == ["dir/bad.twb"]
-    document = json.loads(rows[0].json)
+def documents_in(folder):
+    assert (folder / "_SUCCESS").exists()
+    return [p.read_text() for p in sorted(folder.rglob("*")) if p.is_file() and p.suffix in (".json", ".sarif")]
+
+
+def test_json_envelope(found, tmp_path):
+    write_findings_documents(found, str(tmp_path / "d"))
+    texts = documents_in(tmp_path / "d")
+    assert len(texts) == 1 and "hunter2" not in texts[0]
+    document = json.loads(texts[0])
     assert set(document) == {"tool", "version", "findings"}
     by_rule = {f["rule_id"]: f for f in document["findings"]}
     assert set(by_rule) == {"AUD002", "AUD005", "AUD006", "GOV001", "GOV003"}
+    assert {f["workbook_path"] for f in document["findings"]} == {"dir/bad.twb"}
     assert by_rule["GOV003"]["properties"] == {"pattern": "email"} and by_rule["GOV001"]["properties"] == {}
     assert set(by_rule["AUD006"]) == {
         "rule_id", "severity", "title", "message", "workbook_path", "location", "remediation", "properties"}
-    assert "hunter2" not in rows[0].json
+
+
+def test_documents_are_streams_of_their_rows(spark, tmp_path):
+    rows = [(k, p, json.dumps({"x": f"{k}{i}"})) for k in ("a/b", "a_b", "") for p in (0, 1) for i in range(50)]
+    rows += [("a/b", 0, json.dumps({"x": "a/b1"}))] * 3 + [("only rules", 0, "{}"), ("only results", 1, "{}"), (None, 1, "{}")]
+    frame = spark.createDataFrame(rows, "key string, part int, text string").repartition(7)
+    write_documents(frame, str(tmp_path / "d"), "json", '{"rules": [\n', '\n], "results": [\n', "\n]}")
+    parsed = [json.loads(t) for t in documents_in(tmp_path / "d")]
+    # A null key has a document of its own.
+    assert sorted((len(d["rules"]), len(d["results"])) for d in parsed) == [
+        (0, 1), (0, 1), (1, 0), (50, 50), (50, 50), (50, 50)]
+    assert file_name("a/b", "json") != file_name("a_b", "json")
+    write_documents(frame.limit(0), str(tmp_path / "none"), "json", "[", "", "]")
+    assert documents_in(tmp_path / "none") == []
+
+
+def test_only_committed_attempts_stay(tmp_path):
+    options = {"path": str(tmp_path / "d"), "extension": "json", "head": "[\n", "middle": "", "tail": "]"}
+    writer = _DocumentWriter(options)
+    first, again = writer.write(iter([("k", 1, "1")])), writer.write(iter([("k", 1, "1"), ("l", 1, "2")]))
+    writer.commit([again, _Written(None), None])
+    assert [p.name for p in (tmp_path / "d").iterdir() if p.is_dir()] == [again.folder] and first.folder != again.folder
+    assert sorted(documents_in(tmp_path / "d")) == ["[\n1]", "[\n2]"]
+    other = _DocumentWriter(options)
+    other.write(iter([("k", 1, "3")]))
+    other.abort([])
+    assert sorted(documents_in(tmp_path / "d")) == ["[\n1]", "[\n2]"]
 
 
 def test_json_lines(spark, found, tmp_path):
@@ -34,10 +68,12 @@ def test_json_lines(spark, found, tmp_path):
     assert spark.read.json(str(tmp_path / "f")).count() == 5
 
 
-def test_sarif(found):
+def test_sarif(found, tmp_path):
     registry = default_registry()
-    rows = findings_sarif(found, registry.rules).collect()
-    document = json.loads(rows[0].sarif)
+    write_findings_sarif(found, str(tmp_path / "d"), registry.rules)
+    texts = documents_in(tmp_path / "d")
+    assert len(texts) == 1
+    document = json.loads(texts[0])
     assert document["version"] == "2.1.0" and document["$schema"].endswith("sarif-schema-2.1.0.json")
     run = document["runs"][0]
     assert [r["id"] for r in run["tool"]["driver"]["rules"]] == [r.meta.id for r in registry.rules]
@@ -51,8 +87,9 @@ def test_sarif(found):
     assert results["AUD005"]["properties"]["remediation"]
 
 
-def test_sarif_declares_rules_it_was_not_given(found):
-    document = json.loads(findings_sarif(found).first().sarif)
+def test_sarif_declares_rules_it_was_not_given(found, tmp_path):
+    write_findings_sarif(found, str(tmp_path / "d"))
+    document = json.loads(documents_in(tmp_path / "d")[0])
     rules = document["runs"][0]["tool"]["driver"]["rules"]
     assert sorted(r["id"] for r in rules) == ["AUD002", "AUD005", "AUD006", "GOV001", "GOV003"]
     assert all("properties" not in r for r in rules)
