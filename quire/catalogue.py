@@ -304,7 +304,7 @@ def diff_duplicate_names(spark, sf_dir):
 def norm_duplicates(spark, sf_dir):
     docs = documents(spark, sf_dir)
     both = sample_estate.files(docs).unionByName(sample_estate.files(sample_estate.noisy(docs)))
-    groups = normalize.duplicate_groups(normalize.canonical_forms(both))
+    groups = normalize.duplicate_groups(normalize.canonical_digest_table(both))
     return groups.select("first_path", "copies")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 from typing import BinaryIO
 
 # Limits a package must keep to be opened.
@@ -18,7 +19,14 @@ class DocumentError(Exception):
 
 
 def read_document(content: bytes | BinaryIO, label: str = "package") -> bytes:
-    """Bytes of the single ``.twb`` member of a package (its bytes or an open file), refusing oversized or bomb-like ones."""
+    """Bytes of the single ``.twb`` member of a package."""
+    return b"".join(document_pieces(content, label))
+
+
+def document_pieces(content: bytes | BinaryIO, label: str = "package") -> Iterator[bytes]:
+    """The single ``.twb`` member of a package (its bytes or an open file) piece by piece, refusing oversized or
+    bomb-like ones.
+    """
     with zipfile.ZipFile(io.BytesIO(content) if isinstance(content, bytes) else content) as archive:
         documents = [m for m in archive.infolist() if m.filename.lower().endswith(".twb")]
         if not documents:
@@ -40,7 +48,7 @@ def read_document(content: bytes | BinaryIO, label: str = "package") -> bytes:
                     f"above the limit of {MAX_COMPRESSION_RATIO}:1"
                 )
         # The declared size may be wrong, so the bytes are counted as they come.
-        pieces, total = [], 0
+        total = 0
         with archive.open(member) as stream:
             while piece := stream.read(_CHUNK):
                 total += len(piece)
@@ -48,5 +56,4 @@ def read_document(content: bytes | BinaryIO, label: str = "package") -> bytes:
                     raise DocumentError(
                         f"'{member.filename}' grew past {MAX_UNCOMPRESSED_BYTES} bytes while being read"
                     )
-                pieces.append(piece)
-    return b"".join(pieces)
+                yield piece

@@ -15,8 +15,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from quire import schema
 from quire.session import fresh_path, ship_package
-from quire.sources.document import Document, document_bytes, parse_document
-from quire.sources.package import DocumentError
+from quire.sources.document import Document, document_bytes, extension, parse_document
+from quire.sources.package import DocumentError, document_pieces
 
 # Rows go back to the JVM once this much input, or this many rows, is parsed.
 _FLUSH_BYTES = 16 << 20
@@ -137,6 +137,23 @@ def file_document(path: str, content: bytes | None) -> bytes:
         return document if isinstance(document, bytes) else document.read()
 
 
+def file_pieces(path: str, content: bytes | None) -> Iterator[bytes]:
+    """The document of a file piece by piece, never whole unless it came whole."""
+    kind = extension(path)
+    if kind not in (".twb", ".twbx"):
+        document_bytes(path, b"")  # says which kinds there are
+    label = path.rsplit("/", 1)[-1]
+    if content is not None:
+        yield from document_pieces(content, label) if kind == ".twbx" else [content]
+        return
+    with opened(path) as stream:
+        if kind == ".twbx":
+            yield from document_pieces(stream, label)
+        else:
+            while piece := stream.read(1 << 20):
+                yield piece
+
+
 def read_workbook(path: str, content: bytes | None) -> tuple[Document, tuple[str, str] | None]:
     """The document and no error, or an empty document and the reason; never raises."""
     try:
