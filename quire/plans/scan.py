@@ -47,9 +47,9 @@ def scan_files(files: DataFrame, store: EstateStore) -> ScanResult:
     return ScanResult(counts.scanned, counts.indexed, counts.skipped, unreadable(staged))
 
 
-def scan_tree(spark: SparkSession, root: str, store: EstateStore) -> ScanResult:
+def scan_tree(spark: SparkSession, root: str, store: EstateStore, through_spark: bool = False) -> ScanResult:
     """Discover, read and index all workbook files below ``root``.
 
-    Files that have gone from the tree stay in the store, as in any upsert.
+    Files that have gone from the tree stay in the store, as in any upsert. See ``with_file_facts`` for ``through_spark``.
     """
-    return scan_files(with_file_facts(find_workbooks(spark, root)), store)
+    return scan_files(with_file_facts(find_workbooks(spark, root), through_spark), store)

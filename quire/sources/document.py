@@ -87,7 +87,9 @@ def parse_document(xml: bytes | BinaryIO) -> Document:
         if isinstance(xml, bytes):
             parser.Parse(xml, True)
         else:
-            parser.ParseFile(xml)
+            while piece := xml.read(1 << 18):
+                parser.Parse(piece, False)
+            parser.Parse(b"", True)
     except expat.ExpatError as problem:
         raise DocumentError(str(problem)) from problem
     return reader.document

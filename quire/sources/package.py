@@ -27,7 +27,11 @@ def document_pieces(content: bytes | BinaryIO, label: str = "package") -> Iterat
     """The single ``.twb`` member of a package (its bytes or an open file) piece by piece, refusing oversized or
     bomb-like ones.
     """
-    with zipfile.ZipFile(io.BytesIO(content) if isinstance(content, bytes) else content) as archive:
+    try:
+        opened = zipfile.ZipFile(io.BytesIO(content) if isinstance(content, bytes) else content)
+    except ValueError as problem:  # a store's file that is too short to look at its end
+        raise zipfile.BadZipFile("File is not a zip file") from problem
+    with opened as archive:
         documents = [m for m in archive.infolist() if m.filename.lower().endswith(".twb")]
         if not documents:
             raise DocumentError(f"{label} holds no workbook document")

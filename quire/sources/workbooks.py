@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, chain
 from urllib.parse import unquote, urlsplit
 
@@ -26,7 +26,7 @@ _FLUSH_ROWS = 2000
 def find_workbooks(spark: SparkSession, root: str) -> DataFrame:
     """Files below ``root`` with a workbook extension, in any letter case.
 
-    ``content`` is only read when a later step asks for it.
+    ``content`` is only read when a later step asks for it; ``with_file_facts`` does not.
     """
     return (
         spark.read.format("binaryFile")
@@ -36,22 +36,18 @@ def find_workbooks(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-# A row cannot hold more than 2 GiB. Larger files travel without their content
-# and are opened by path where they are parsed.
-MAX_ROW_BYTES = 1 << 30
+def with_file_facts(files: DataFrame, through_spark: bool = False) -> DataFrame:
+    """``path, sha256, mtime, size_bytes, content`` of listed files, without their content.
 
-
-def with_file_facts(files: DataFrame) -> DataFrame:
-    """Add digest, time and size to binary files (``path, content, ...``)."""
-    mtime = (F.unix_millis("modificationTime") / 1000.0).alias("mtime")
-    size = F.col("length").alias("size_bytes")
-    # Both size conditions are answered from the file listing.
-    fitting = files.filter(F.col("length") <= MAX_ROW_BYTES).select(
-        "path", F.sha2("content", 256).alias("sha256"), mtime, size, "content")
-    oversized = files.filter(F.col("length") > MAX_ROW_BYTES).select(
-        "path", F.lit(None).cast("string").alias("sha256"), mtime, size,
-        F.lit(None).cast("binary").alias("content"))
-    return fitting.unionByName(oversized)
+    Spark's listing packs the files of a task by their size; each is opened by path where it is parsed, whatever its
+    size, and its digest is taken there. That needs a store ``pyarrow.fs`` reaches. ``through_spark`` lets Spark read
+    the files instead, for stores that only it reaches; a file may then have 2 GiB at most.
+    """
+    content = F.col("content") if through_spark else F.lit(None).cast("binary")
+    digest = F.sha2("content", 256) if through_spark else F.lit(None).cast("string")
+    return files.select(
+        "path", digest.alias("sha256"), (F.unix_millis("modificationTime") / 1000.0).alias("mtime"),
+        F.col("length").alias("size_bytes"), content.alias("content"))
 
 
 def parse_workbooks(files: DataFrame) -> DataFrame:
@@ -59,7 +55,7 @@ def parse_workbooks(files: DataFrame) -> DataFrame:
 
     ``files`` needs ``path, content``; digest, time and size are taken over
     where present and derived from the content where not. A row without content
-    stands for a file too large for a row: it is read from its path.
+    is read from its path, and its digest is taken there.
     """
     for column, fallback in (
         ("sha256", F.sha2("content", 256)),
@@ -94,13 +90,14 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         columns = [batch.column(i) for i in range(5)]
         for i in range(batch.num_rows):
             *known, content = (column[i].as_py() for column in columns)
-            document, error = read_workbook(known[0], content)
             if content is None:
-                known[1] = file_digest(known[0])
+                document, error, known[1] = read_file(known[0])
+            else:
+                document, error = read_workbook(known[0], content)
             facts.append(tuple(known))
             documents.append(document)
             errors.append(error)
-            pending += len(content or b"")
+            pending += len(content) if content is not None else known[3] or 0
             if pending >= _FLUSH_BYTES or len(facts) >= _FLUSH_ROWS:
                 yield _to_batch(facts, documents, errors)
                 facts, documents, errors, pending = [], [], [], 0
@@ -108,28 +105,59 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield _to_batch(facts, documents, errors)
 
 
+# Names that Hadoop has for stores that pyarrow knows by another.
+_SCHEMES = {"s3a://": "s3://", "s3n://": "s3://"}
+
+
 def opened(path: str) -> pa.NativeFile:
     """A file as Spark names it, open at its start and seekable."""
     if path.startswith("file:/"):
         return pa.OSFile(unquote(urlsplit(path).path))
+    for theirs, ours in _SCHEMES.items():
+        path = path.replace(theirs, ours, 1) if path.startswith(theirs) else path
     system, place = fs.FileSystem.from_uri(path)
     return system.open_input_file(place)
 
 
-def file_digest(path: str) -> str | None:
-    """SHA-256 of a file read piece by piece, null if it cannot be read."""
+class _Digested:
+    """A file whose digest is taken as it is read."""
+
+    def __init__(self, stream: pa.NativeFile) -> None:
+        self.stream, self.sha = stream, hashlib.sha256()
+
+    def read(self, size: int = -1) -> bytes:
+        piece = self.stream.read(size if size >= 0 else None)
+        self.sha.update(piece)
+        return piece
+
+    def digest(self) -> str:
+        """The digest of the whole file, what is unread included."""
+        while self.read(1 << 20):
+            pass
+        return self.sha.hexdigest()
+
+
+def read_file(path: str) -> tuple[Document, tuple[str, str] | None, str | None]:
+    """Document, error and digest of a file by its path; never raises.
+
+    A plain document is parsed as it is read. A package is read twice, since its directory stands at its end: once for
+    the digest, once for the one member that is wanted.
+    """
     try:
         with opened(path) as stream:
-            digest = hashlib.sha256()
-            while piece := stream.read(1 << 20):
-                digest.update(piece)
-            return digest.hexdigest()
-    except OSError:
-        return None
+            whole = _Digested(stream)
+            if extension(path) == ".twbx":
+                digest = whole.digest()
+                stream.seek(0)
+                return *_document_or_error(lambda: parse_document(document_bytes(path, stream))), digest
+            found = _document_or_error(lambda: parse_document(document_bytes(path, whole)))
+            return *found, whole.digest()
+    except Exception as problem:  # one bad file must not fail the scan
+        return Document(), (type(problem).__name__, str(problem)), None
 
 
 def file_document(path: str, content: bytes | None) -> bytes:
-    """The document of a file, whole; one without content is too large for a row and is opened by its path."""
+    """The document of a file, whole; one without content is opened by its path."""
     if content is not None:
         return document_bytes(path, content)
     with opened(path) as stream:
@@ -154,13 +182,14 @@ def file_pieces(path: str, content: bytes | None) -> Iterator[bytes]:
                 yield piece
 
 
-def read_workbook(path: str, content: bytes | None) -> tuple[Document, tuple[str, str] | None]:
+def read_workbook(path: str, content: bytes) -> tuple[Document, tuple[str, str] | None]:
     """The document and no error, or an empty document and the reason; never raises."""
+    return _document_or_error(lambda: parse_document(document_bytes(path, content)))
+
+
+def _document_or_error(read: Callable[[], Document]) -> tuple[Document, tuple[str, str] | None]:
     try:
-        if content is not None:
-            return parse_document(document_bytes(path, content)), None
-        with opened(path) as stream:
-            return parse_document(document_bytes(path, stream)), None
+        return read(), None
     except DocumentError as problem:
         return Document(), ("parse", str(problem))
     except Exception as problem:  # one bad file must not fail the scan

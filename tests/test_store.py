@@ -9,7 +9,7 @@ from quire.operators.upsert import EstateStore, newest_per_key, replace_by_key
 from quire.plans import inventory
 from quire.plans.scan import scan_files, scan_tree
 from quire.session import shared_dir
-from quire.sources.workbooks import find_workbooks, with_file_facts
+from quire.sources.workbooks import find_workbooks, parse_workbooks, with_file_facts
 from quire.streaming.index import index_new_files
 
 
@@ -32,12 +32,23 @@ def tree(tmp_path):
 
 
 def test_discovery_and_facts(spark, tree):
-    rows = {os.path.basename(r.path): r for r in with_file_facts(find_workbooks(spark, str(tree))).collect()}
-    assert set(rows) == {"a.twb", "B.TWB", "bad.twb", "old.twbx"}
+    with zipfile.ZipFile(tree / "good.twbx", "w") as archive:
+        archive.writestr("x/book.twb", CLEAN)
+    listed = find_workbooks(spark, str(tree))
     import hashlib
-    assert rows["a.twb"].sha256 == hashlib.sha256(CLEAN.encode()).hexdigest()
-    assert rows["a.twb"].size_bytes == len(CLEAN.encode())
-    assert abs(rows["a.twb"].mtime - os.path.getmtime(tree / "a.twb")) < 0.01
+    for through_spark in (False, True):
+        facts = with_file_facts(listed, through_spark)
+        assert facts.columns == ["path", "sha256", "mtime", "size_bytes", "content"]
+        rows = {os.path.basename(r.path): r for r in parse_workbooks(facts).collect()}
+        assert set(rows) == {"a.twb", "B.TWB", "bad.twb", "old.twbx", "good.twbx"}
+        # The digest covers the whole file, also where parsing stopped early.
+        for name, row in rows.items():
+            content = next(tree.rglob(name)).read_bytes()
+            assert row.sha256 == hashlib.sha256(content).hexdigest() and row.size_bytes == len(content)
+        assert abs(rows["a.twb"].mtime - os.path.getmtime(tree / "a.twb")) < 0.01
+        assert {n for n, r in rows.items() if r.error} == {"bad.twb", "old.twbx"}
+    plan = parse_workbooks(with_file_facts(listed))._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan[plan.index("ReadSchema"):].split("\n")[0]
 
 
 def test_listing_does_not_read_contents(spark, tree):
@@ -161,7 +172,7 @@ def test_shared_folder_is_the_named_one(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
 
-def test_a_package_beyond_what_a_row_holds_is_read(spark, tmp_path):
+def test_a_package_of_any_size_is_read(spark, tmp_path):
     root = tmp_path / "large files"
     root.mkdir()
     # A sparse file: zip directories are found from the end, whatever stands before.
