@@ -252,7 +252,9 @@ def test_html_cases(page, text):
 
 
 def test_html_regions_follow_surges_and_dives():
-    assert html_text.regions([0, 5, 0, 0, 0, 90, 100, 3, 0, 80, 0, 0, 0, 4], 3, 80, 1) == [(5, 10)]
+    assert html_text.regions([0, 5, 0, 0, 0, 90, 100, 3, 0, 80, 0, 0, 0, 4], 3, 80) == [(5, 10)]
+    # A dive is relative: some characters left in a window end a region of long lines.
+    assert html_text.regions([200, 300, 250, 5, 4, 6, 5, 200, 90], 3, 80) == [(0, 3), (5, 9)]
 
 
 @pytest.mark.parametrize("name", ["site no-sidebar", "content-area has-sidebar", "post-content has-comments", "legal-article", "tag-news"])
