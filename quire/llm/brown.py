@@ -7,9 +7,9 @@ passes read numbers only.
 Every training word is a *unit* of its own, whatever its count: units number the training words, and ``ENDINGS`` more
 stand for the words unseen in training, by their last three characters. The class of each unit is one byte of a
 broadcast array, so driver and workers hold a byte per distinct training word. A round of exchange counts, for every
-training word, the classes before and after it over all training tokens, grouped by blocks of words in the shuffle,
-and moves half of the words to the class that raises the likelihood of the class bigrams most. At last each ending
-takes the class that most training words of that ending have.
+training word of one half, the classes before and after it over all training tokens, grouped by blocks of words in the
+shuffle, and moves it to the class that raises the likelihood of the class bigrams most; the next round takes the other
+half. Rounds go on until they gain next to nothing. At last each ending takes the class that most training words of that ending have.
 
 log10 p(w | v) = log10 p(class(w) | class(v)) + log10 p(w | class(w)), the first smoothed towards the class
 frequencies, the second by one count for every word and one for all unseen words of the class; both sum to one.
@@ -17,6 +17,7 @@ frequencies, the second by one count for every word and one for all unseen words
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -30,11 +31,14 @@ from quire.llm.common import discard, python_ready, staged, table
 
 ENDINGS = 1 << 13
 CLASSES = 48
-ROUNDS = 6
+# Rounds end when two in a row add less than this share to the information of the class bigrams: words move by turns,
+# so that two rounds let each of them move.
+LEAST_GAIN = 0.001
 SMOOTHING = 20.0  # weight of the class frequencies in a transition, in tokens
 END = " "  # the token after each text; no word holds a blank
 CHUNK = 12_000_000  # bytes of text in a chunk
 BLOCK = 2048  # words whose counts travel as one row
+GROUP = 256  # rows of a block that are summed by one call; more are summed in two steps
 
 _CHUNK_SCHEMA = ("chunk long, doc_ids array<long>, held array<boolean>, ends array<int>, tokens binary, "
                  "words array<string>, counts array<int>")
@@ -187,32 +191,60 @@ def _neighbours(encoded: DataFrame, shared, end_unit: int) -> np.ndarray:
     return joint.reshape(k, 2 * k)
 
 
-def _exchange(encoded: DataFrame, shared, joint: np.ndarray, end_unit: int, parity: int) -> np.ndarray:
-    """One round: the words of one parity move to the class that fits their neighbours best. The classes after it."""
+def information(joint: np.ndarray) -> float:
+    """Bits that the class of a token tells about that of the next one, on average."""
+    pairs = joint[:, :CLASSES] / max(joint[:, :CLASSES].sum(), 1)
+    apart = np.outer(pairs.sum(axis=1), pairs.sum(axis=0))
+    met = pairs > 0
+    return float((pairs[met] * np.log2(pairs[met] / apart[met])).sum())
+
+
+def _turn(unit: np.ndarray) -> np.ndarray:
+    """Which of the two halves a word belongs to."""
+    return (unit * 0x9E3779B1 >> 7) % 2
+
+
+def _summed(key, rows: pd.DataFrame) -> pd.DataFrame:
+    """Some rows of counts of a block as one."""
+    counts = np.zeros(BLOCK * 2 * CLASSES, np.int64)
+    for steps, n in zip(rows["steps"], rows["counts"]):
+        counts[np.cumsum(_unpacked(steps, np.int32))] += _unpacked(n, np.int64)
+    cells = np.flatnonzero(counts)
+    steps = np.diff(cells, prepend=0).astype(np.int32)
+    return pd.DataFrame({"block": [key[0]], "steps": [_packed(steps)], "counts": [_packed(counts[cells])]})
+
+
+def _exchange(encoded: DataFrame, shared, joint: np.ndarray, end_unit: int, parity: int, chunks: int) -> np.ndarray:
+    """One round: the words of one half move to the class that fits their neighbours best. The classes after it."""
     k = CLASSES
 
     def neighbours(batches):
         """Counts of (word, class before) and (word, class after) in each chunk, a row per block of words."""
         of = shared.value
         for batch in batches:
-            for _, ends, held, sizes, tokens, unit in _opened(batch):
+            for i, ends, held, sizes, tokens, unit in _opened(batch):
                 now = of[unit][tokens].astype(np.int64)
                 before = _before(now, ends, of[end_unit])
                 training = np.repeat(~held, sizes)
                 first = np.zeros(len(tokens), bool)
                 first[np.append(0, ends[:-1])] = True
+                of_turn = (_turn(unit) == parity)[tokens]
                 base = unit[tokens] * (2 * k)
                 inner = np.flatnonzero(training & ~first)
+                inner = inner[of_turn[inner - 1]]
+                asked = training & of_turn
                 cells, n = np.unique(np.concatenate(
-                    [base[training] + before[training], base[inner - 1] + k + now[inner]]), return_counts=True)
+                    [base[asked] + before[asked], base[inner - 1] + k + now[inner]]), return_counts=True)
                 blocks, starts = np.unique(cells // (BLOCK * 2 * k), return_index=True)
                 rows = []
                 for block, a, b in zip(blocks, starts, np.append(starts[1:], len(cells))):
                     steps = np.diff(cells[a:b], prepend=block * BLOCK * 2 * k).astype(np.int32)
-                    rows.append((_packed(steps), _packed(n[a:b].astype(np.int32))))
+                    rows.append((_packed(steps), _packed(n[a:b].astype(np.int64))))
+                salt = int(batch.column("chunk")[i].as_py()) * 0x9E3779B1 % (1 << 31)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(blocks, pa.int64()), pa.array([x for x, _ in rows], pa.binary()),
-                     pa.array([x for _, x in rows], pa.binary())], ["block", "steps", "counts"])
+                    [pa.array(blocks, pa.int64()), pa.array(np.full(len(blocks), salt), pa.int64()),
+                     pa.array([x for x, _ in rows], pa.binary()), pa.array([x for _, x in rows], pa.binary())],
+                    ["block", "salt", "steps", "counts"])
 
     # log of how much likelier a neighbour class is beside a class than anywhere.
     with_class = joint + 0.5
@@ -224,7 +256,7 @@ def _exchange(encoded: DataFrame, shared, joint: np.ndarray, end_unit: int, pari
         """The words of one block that move, and their new classes."""
         counts = np.zeros(BLOCK * 2 * k)
         for steps, n in zip(rows["steps"], rows["counts"]):
-            counts[np.cumsum(_unpacked(steps, np.int32))] += _unpacked(n, np.int32)
+            counts[np.cumsum(_unpacked(steps, np.int32))] += _unpacked(n, np.int64)
         counts = counts.reshape(BLOCK, 2 * k)
         met = np.flatnonzero(counts.any(axis=1))
         unit = key[0] * BLOCK + met
@@ -232,11 +264,16 @@ def _exchange(encoded: DataFrame, shared, joint: np.ndarray, end_unit: int, pari
         best = gain.argmax(axis=1)
         at = np.arange(len(unit))
         better = gain[at, best] > gain[at, shared.value[unit]] + 1e-9
-        moves = better & ((unit * 0x9E3779B1 >> 7) % 2 == parity) & (unit != end_unit)
+        moves = better & (_turn(unit) == parity) & (unit != end_unit)
         return pd.DataFrame({"unit": [_packed(unit[moves])], "class": [best[moves].astype(np.int8).tobytes()]})
 
-    moved = encoded.mapInArrow(neighbours, "block long, steps binary, counts binary").groupBy("block").applyInPandas(
-        choose, "unit binary, class binary").toArrow()
+    counts = encoded.mapInArrow(neighbours, "block long, salt long, steps binary, counts binary")
+    # A chunk gives a block one row: many chunks are summed by their salt first, so that no call holds more than a group.
+    salts = math.ceil(chunks / GROUP)
+    if salts > 1:
+        counts = counts.groupBy("block", F.pmod("salt", F.lit(salts))).applyInPandas(
+            lambda key, rows: _summed(key, rows), "block long, steps binary, counts binary")
+    moved = counts.drop("salt").groupBy("block").applyInPandas(choose, "unit binary, class binary").toArrow()
     classes = shared.value.copy()
     for unit, to in zip(moved["unit"], moved["class"]):
         classes[_unpacked(unit.as_py(), np.int64)] = np.frombuffer(to.as_py(), np.int8)
@@ -268,9 +305,13 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     context = spark.sparkContext
     shared = context.broadcast(classes)
     joint = _neighbours(encoded, shared, end_unit)
-    for turn in range(ROUNDS):
-        shared = context.broadcast(_exchange(encoded, shared, joint, end_unit, turn % 2))
+    told, turn, small, count = [information(joint)], 0, 0, encoded.count()
+    while small < 2:
+        shared = context.broadcast(_exchange(encoded, shared, joint, end_unit, turn % 2, count))
         joint = _neighbours(encoded, shared, end_unit)
+        told.append(information(joint))
+        small = small + 1 if told[-1] - told[-2] < LEAST_GAIN * told[-1] or not told[-1] else 0
+        turn += 1
 
     classes, *model = _estimate(words, shared, joint, known)
     shared = context.broadcast((classes, *model))
