@@ -37,13 +37,17 @@ LEAST_GAIN = 0.001
 SMOOTHING = 20.0  # weight of the class frequencies in a transition, in tokens
 END = " "  # the token after each text; no word holds a blank
 CHUNK = 12_000_000  # bytes of text in a chunk
-BLOCK = 2048  # words whose counts travel as one row
+BLOCK = 8192  # words whose counts travel as one row
 GROUP = 256  # rows of a block that are summed by one call; more are summed in two steps
 
 _CHUNK_SCHEMA = ("chunk long, doc_ids array<long>, held array<boolean>, ends array<int>, tokens binary, "
                  "words array<string>, counts array<int>")
 
 
+# What a pass over the tokens reads of the chunks.
+_TOKENS = ("chunk", "held", "ends", "tokens", "unit")
+
+
 def _packed(numbers: np.ndarray) -> bytes:
     """Numbers by the places of their bytes, compressed: high bytes are mostly zero."""
     planes = numbers.view(np.uint8).reshape(-1, numbers.itemsize).T
@@ -59,18 +63,24 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
 
 
+class _Numbers(dict):
+    """Words by the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 class _Chunk:
     def __init__(self):
-        self.numbers: dict[bytes, int] = {}
+        self.numbers = _Numbers()
         self.parts: list[np.ndarray] = []
         self.docs, self.held, self.ends, self.size, self.bytes = [], [], [], 0, 0
 
     def add(self, doc_id: int | None, text: bytes | None) -> None:
         words = (text or b"").lower().split()
         words.append(END.encode())
-        numbers = self.numbers
-        number = numbers.setdefault
-        part = np.fromiter((number(w, len(numbers)) for w in words), np.int32, len(words))
+        part = np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words))
         self.parts.append(part)
         self.size += len(part)
         self.bytes += len(text or b"")
@@ -172,20 +182,24 @@ def _neighbours(encoded: DataFrame, shared, end_unit: int) -> np.ndarray:
     k = CLASSES
 
     def count(batches):
-        total = np.zeros(k * 2 * k, np.int64)
+        total = np.zeros((k, 2 * k), np.int64)
         of = shared.value
         for batch in batches:
             for _, ends, held, sizes, tokens, unit in _opened(batch):
                 now = of[unit][tokens].astype(np.int64)
                 before = _before(now, ends, of[end_unit])
                 training = np.repeat(~held, sizes)
-                total += np.bincount(now[training] * (2 * k) + before[training], minlength=len(total))
-                training[np.append(0, ends[:-1])] = False
-                total += np.bincount(before[training] * (2 * k) + k + now[training], minlength=len(total))
+                pairs = np.bincount((now * k + before)[training], minlength=k * k).reshape(k, k)
+                starts = np.append(0, ends[:-1])[~held]
+                first = np.bincount(now[starts] * k + before[starts], minlength=k * k).reshape(k, k)
+                # What stands before a token has the token after it, but for the end before a text.
+                total[:, :k] += pairs
+                total[:, k:] += (pairs - first).T
+        total = total.ravel()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
-    cells = encoded.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells = encoded.select(*_TOKENS).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     joint = np.zeros(k * 2 * k)
     joint[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     return joint.reshape(k, 2 * k)
@@ -204,11 +218,17 @@ def _turn(unit: np.ndarray) -> np.ndarray:
     return (unit * 0x9E3779B1 >> 7) % 2
 
 
-def _summed(key, rows: pd.DataFrame) -> pd.DataFrame:
-    """Some rows of counts of a block as one."""
+def _total(rows: pd.DataFrame, kind) -> np.ndarray:
+    """Counts of all cells of a block."""
     counts = np.zeros(BLOCK * 2 * CLASSES, np.int64)
     for steps, n in zip(rows["steps"], rows["counts"]):
-        counts[np.cumsum(_unpacked(steps, np.int32))] += _unpacked(n, np.int64)
+        counts[np.cumsum(_unpacked(steps, np.int32))] += _unpacked(n, kind)
+    return counts
+
+
+def _summed(key, rows: pd.DataFrame) -> pd.DataFrame:
+    """Some rows of counts of a block as one, with 64-bit counts."""
+    counts = _total(rows, np.int32)
     cells = np.flatnonzero(counts)
     steps = np.diff(cells, prepend=0).astype(np.int32)
     return pd.DataFrame({"block": [key[0]], "steps": [_packed(steps)], "counts": [_packed(counts[cells])]})
@@ -226,20 +246,19 @@ def _exchange(encoded: DataFrame, shared, joint: np.ndarray, end_unit: int, pari
                 now = of[unit][tokens].astype(np.int64)
                 before = _before(now, ends, of[end_unit])
                 training = np.repeat(~held, sizes)
-                first = np.zeros(len(tokens), bool)
-                first[np.append(0, ends[:-1])] = True
-                of_turn = (_turn(unit) == parity)[tokens]
-                base = unit[tokens] * (2 * k)
-                inner = np.flatnonzero(training & ~first)
-                inner = inner[of_turn[inner - 1]]
-                asked = training & of_turn
+                # Training tokens whose word may move, and those of them with a token after them in the same text.
+                asked = np.flatnonzero(training & (_turn(unit) == parity)[tokens])
+                last = np.zeros(len(tokens), bool)
+                last[ends - 1] = True
+                base = (unit * (2 * k))[tokens[asked]]
+                inner = ~last[asked]
                 cells, n = np.unique(np.concatenate(
-                    [base[asked] + before[asked], base[inner - 1] + k + now[inner]]), return_counts=True)
+                    [base + before[asked], base[inner] + k + now[asked[inner] + 1]]), return_counts=True)
                 blocks, starts = np.unique(cells // (BLOCK * 2 * k), return_index=True)
                 rows = []
                 for block, a, b in zip(blocks, starts, np.append(starts[1:], len(cells))):
                     steps = np.diff(cells[a:b], prepend=block * BLOCK * 2 * k).astype(np.int32)
-                    rows.append((_packed(steps), _packed(n[a:b].astype(np.int64))))
+                    rows.append((_packed(steps), _packed(n[a:b].astype(np.int32))))
                 salt = int(batch.column("chunk")[i].as_py()) * 0x9E3779B1 % (1 << 31)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(blocks, pa.int64()), pa.array(np.full(len(blocks), salt), pa.int64()),
@@ -252,12 +271,11 @@ def _exchange(encoded: DataFrame, shared, joint: np.ndarray, end_unit: int, pari
         slice(0, k), slice(k, 2 * k))]
     fit = encoded.sparkSession.sparkContext.broadcast(np.concatenate(odds, axis=1))
 
+    salts = math.ceil(chunks / GROUP)
+
     def choose(key, rows: pd.DataFrame) -> pd.DataFrame:
         """The words of one block that move, and their new classes."""
-        counts = np.zeros(BLOCK * 2 * k)
-        for steps, n in zip(rows["steps"], rows["counts"]):
-            counts[np.cumsum(_unpacked(steps, np.int32))] += _unpacked(n, np.int64)
-        counts = counts.reshape(BLOCK, 2 * k)
+        counts = _total(rows, np.int64 if salts > 1 else np.int32).reshape(BLOCK, 2 * k).astype(float)
         met = np.flatnonzero(counts.any(axis=1))
         unit = key[0] * BLOCK + met
         gain = counts[met] @ fit.value.T
@@ -267,9 +285,8 @@ def _exchange(encoded: DataFrame, shared, joint: np.ndarray, end_unit: int, pari
         moves = better & (_turn(unit) == parity) & (unit != end_unit)
         return pd.DataFrame({"unit": [_packed(unit[moves])], "class": [best[moves].astype(np.int8).tobytes()]})
 
-    counts = encoded.mapInArrow(neighbours, "block long, salt long, steps binary, counts binary")
+    counts = encoded.select(*_TOKENS).mapInArrow(neighbours, "block long, salt long, steps binary, counts binary")
     # A chunk gives a block one row: many chunks are summed by their salt first, so that no call holds more than a group.
-    salts = math.ceil(chunks / GROUP)
     if salts > 1:
         counts = counts.groupBy("block", F.pmod("salt", F.lit(salts))).applyInPandas(
             lambda key, rows: _summed(key, rows), "block long, steps binary, counts binary")

@@ -35,7 +35,7 @@ def test_sums_of_rows_are_sums_of_counts():
         cells = np.sort(rng.choice(size, 50, replace=False))
         n = rng.integers(1, 9, 50)
         total[cells] += n
-        rows.append((brown._packed(np.diff(cells, prepend=0).astype(np.int32)), brown._packed(n.astype(np.int64))))
+        rows.append((brown._packed(np.diff(cells, prepend=0).astype(np.int32)), brown._packed(n.astype(np.int32))))
     out = brown._summed((7, 0), pd.DataFrame(rows, columns=["steps", "counts"])).iloc[0]
     again = np.zeros_like(total)
     again[np.cumsum(brown._unpacked(out["steps"], np.int32))] = brown._unpacked(out["counts"], np.int64)
