@@ -189,12 +189,7 @@ def _neighbours(encoded: DataFrame, shared, end_unit: int) -> np.ndarray:
                 now = of[unit][tokens].astype(np.int64)
                 before = _before(now, ends, of[end_unit])
                 training = np.repeat(~held, sizes)
-                pairs = np.bincount((now * k + before)[training], minlength=k * k).reshape(k, k)
-                starts = np.append(0, ends[:-1])[~held]
-                first = np.bincount(now[starts] * k + before[starts], minlength=k * k).reshape(k, k)
-                # What stands before a token has the token after it, but for the end before a text.
-                total[:, :k] += pairs
-                total[:, k:] += (pairs - first).T
+                total += _pairs(now, before, ends, held, training)
         total = total.ravel()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
@@ -234,18 +229,34 @@ def _summed(key, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": [key[0]], "steps": [_packed(steps)], "counts": [_packed(counts[cells])]})
 
 
-def _exchange(encoded: DataFrame, shared, joint: np.ndarray, end_unit: int, parity: int, chunks: int) -> np.ndarray:
-    """One round: the words of one half move to the class that fits their neighbours best. The classes after it."""
+def _pairs(now: np.ndarray, before: np.ndarray, ends: np.ndarray, held: np.ndarray, training: np.ndarray) -> np.ndarray:
+    """How often each class stands before and after each class in the training texts of a chunk."""
+    k = CLASSES
+    pairs = np.bincount((now * k + before)[training], minlength=k * k).reshape(k, k)
+    starts = np.append(0, ends[:-1])[~held]
+    first = np.bincount(now[starts] * k + before[starts], minlength=k * k).reshape(k, k)
+    # What stands before a token has the token after it, but for the end before a text.
+    return np.concatenate([pairs, (pairs - first).T], axis=1)
+
+
+def _exchange(encoded: DataFrame, shared, joint: np.ndarray, end_unit: int, parity: int, chunks: int,
+              ) -> tuple[np.ndarray, np.ndarray]:
+    """One round: the words of one half move to the class that fits their neighbours best, by the neighbours that
+    classes had in ``joint``. The classes after it, and the neighbours of classes before it, both from one pass.
+    """
     k = CLASSES
 
     def neighbours(batches):
-        """Counts of (word, class before) and (word, class after) in each chunk, a row per block of words."""
-        of = shared.value
+        """Counts of (word, class before) and (word, class after) in each chunk, a row per block of words; block -1 has
+        those of classes in all chunks of a task.
+        """
+        of, total, salt = shared.value, np.zeros((k, 2 * k), np.int64), 0
         for batch in batches:
             for i, ends, held, sizes, tokens, unit in _opened(batch):
                 now = of[unit][tokens].astype(np.int64)
                 before = _before(now, ends, of[end_unit])
                 training = np.repeat(~held, sizes)
+                total += _pairs(now, before, ends, held, training)
                 # Training tokens whose word may move, and those of them with a token after them in the same text.
                 asked = np.flatnonzero(training & (_turn(unit) == parity)[tokens])
                 last = np.zeros(len(tokens), bool)
@@ -264,6 +275,14 @@ def _exchange(encoded: DataFrame, shared, joint: np.ndarray, end_unit: int, pari
                     [pa.array(blocks, pa.int64()), pa.array(np.full(len(blocks), salt), pa.int64()),
                      pa.array([x for x, _ in rows], pa.binary()), pa.array([x for _, x in rows], pa.binary())],
                     ["block", "salt", "steps", "counts"])
+        cells = np.flatnonzero(total)
+        # Pieces of 32 bits each, as the counts of blocks are.
+        for low in range(0, 62, 31):
+            part = total.ravel()[cells] >> low & ((1 << 31) - 1)
+            steps = np.diff(cells + (low > 0) * k * 2 * k, prepend=0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([-1], pa.int64()), pa.array([salt], pa.int64()), pa.array([_packed(steps)], pa.binary()),
+                 pa.array([_packed(part.astype(np.int32))], pa.binary())], ["block", "salt", "steps", "counts"])
 
     # log of how much likelier a neighbour class is beside a class than anywhere.
     with_class = joint + 0.5
@@ -274,8 +293,12 @@ def _exchange(encoded: DataFrame, shared, joint: np.ndarray, end_unit: int, pari
     salts = math.ceil(chunks / GROUP)
 
     def choose(key, rows: pd.DataFrame) -> pd.DataFrame:
-        """The words of one block that move, and their new classes."""
-        counts = _total(rows, np.int64 if salts > 1 else np.int32).reshape(BLOCK, 2 * k).astype(float)
+        """The words of one block that move, and their new classes; of block -1 the cells that are not empty."""
+        counts = _total(rows, np.int64 if salts > 1 else np.int32)
+        if key[0] < 0:
+            low, high = counts[:k * 2 * k], counts[k * 2 * k:2 * k * 2 * k]
+            return pd.DataFrame({"block": [-1], "unit": [(low + (high << 31)).tobytes()], "class": [b""]})
+        counts = counts.reshape(BLOCK, 2 * k).astype(float)
         met = np.flatnonzero(counts.any(axis=1))
         unit = key[0] * BLOCK + met
         gain = counts[met] @ fit.value.T
@@ -283,18 +306,22 @@ def _exchange(encoded: DataFrame, shared, joint: np.ndarray, end_unit: int, pari
         at = np.arange(len(unit))
         better = gain[at, best] > gain[at, shared.value[unit]] + 1e-9
         moves = better & (_turn(unit) == parity) & (unit != end_unit)
-        return pd.DataFrame({"unit": [_packed(unit[moves])], "class": [best[moves].astype(np.int8).tobytes()]})
+        return pd.DataFrame({"block": [key[0]], "unit": [_packed(unit[moves])], "class": [best[moves].astype(np.int8).tobytes()]})
 
     counts = encoded.select(*_TOKENS).mapInArrow(neighbours, "block long, salt long, steps binary, counts binary")
     # A chunk gives a block one row: many chunks are summed by their salt first, so that no call holds more than a group.
     if salts > 1:
         counts = counts.groupBy("block", F.pmod("salt", F.lit(salts))).applyInPandas(
             lambda key, rows: _summed(key, rows), "block long, steps binary, counts binary")
-    moved = counts.drop("salt").groupBy("block").applyInPandas(choose, "unit binary, class binary").toArrow()
-    classes = shared.value.copy()
-    for unit, to in zip(moved["unit"], moved["class"]):
-        classes[_unpacked(unit.as_py(), np.int64)] = np.frombuffer(to.as_py(), np.int8)
-    return classes
+    moved = counts.drop("salt").groupBy("block").applyInPandas(
+        choose, "block long, unit binary, class binary").toArrow()
+    classes, before = shared.value.copy(), np.zeros((k, 2 * k))
+    for block, unit, to in zip(*(moved[c].to_pylist() for c in ("block", "unit", "class"))):
+        if block < 0:
+            before += np.frombuffer(unit, np.int64).reshape(k, 2 * k)
+        else:
+            classes[_unpacked(unit, np.int64)] = np.frombuffer(to, np.int8)
+    return classes, before
 
 
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -322,13 +349,14 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     context = spark.sparkContext
     shared = context.broadcast(classes)
     joint = _neighbours(encoded, shared, end_unit)
-    told, turn, small, count = [information(joint)], 0, 0, encoded.count()
+    told, turn, small, count = information(joint), 0, 0, encoded.count()
     while small < 2:
-        shared = context.broadcast(_exchange(encoded, shared, joint, end_unit, turn % 2, count))
-        joint = _neighbours(encoded, shared, end_unit)
-        told.append(information(joint))
-        small = small + 1 if told[-1] - told[-2] < LEAST_GAIN * told[-1] or not told[-1] else 0
-        turn += 1
+        classes, joint = _exchange(encoded, shared, joint, end_unit, turn % 2, count)
+        shared = context.broadcast(classes)
+        turn, last, told = turn + 1, told, information(joint)
+        # The first round tells what is known already: the information of the start.
+        small = small + 1 if turn > 1 and told - last < LEAST_GAIN * told or not told else 0
+    joint = _neighbours(encoded, shared, end_unit)
 
     classes, *model = _estimate(words, shared, joint, known)
     shared = context.broadcast((classes, *model))
