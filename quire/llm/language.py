@@ -1,7 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Every training text is counted; the counts per language and bucket are summed by Spark, smoothed into one matrix of
-log probabilities (languages x 2^16, a proven bound) and broadcast. Texts are scored in batches by adding the rows of
+log probabilities (languages x 2^16, so 256 KB a language: bounded by how many
+languages the table names) and broadcast. Texts are scored in batches by adding the rows of
 that matrix that their n-grams point to.
 """
 
