@@ -81,7 +81,8 @@ def fit_logistic(parts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray,
     """Weights per bucket, ratio included, and intercept: full-batch Adam on the logistic loss with decay.
 
     ``parts`` holds the rows in order, some at a time: how many buckets each has, and the buckets one after another
-    (32-bit). Each step goes over the parts, so its own arrays are as large as one part, not as the sample.
+    (32-bit). Each step goes over the parts, so its own arrays are as large as one part, not as the sample. The list is
+    used up: its buckets are replaced by their places among those met.
     """
     met = np.zeros(1 << BITS, bool)
     for _, buckets in parts:
@@ -89,7 +90,9 @@ def fit_logistic(parts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray,
     used = np.flatnonzero(met)
     place = np.zeros(1 << BITS, np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
-    parts = [(sizes, place[buckets]) for sizes, buckets in parts]
+    # In place: the sample is held once, not twice.
+    for at, (sizes, buckets) in enumerate(parts):
+        parts[at] = sizes, place[buckets]
     value = ratios[used]
     weight = np.full(len(used), 0.1)
     rate = toxic.mean()
@@ -129,6 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     if not toxic or not clean:
         return np.zeros(1 << BITS, np.float32), 40.0 if toxic else -40.0
     ratios = log_count_ratios(found)
+    del found
     wanted = docs.sparkSession.sparkContext.broadcast(ratios != 0)
 
     def telling(batches):
