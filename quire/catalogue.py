@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire import sample_estate
+from quire import sample_estate, sample_parts
 from quire.functions.text import normalize_formula
 from quire.operators import tables
 from quire.operators.keyed_diff import keyed_diff
@@ -23,15 +23,17 @@ from quire.operators.upsert import EstateStore
 from quire.plans import diff, inventory, normalize, scan
 from quire.plans.audit import GovernanceConfig, default_registry, reports
 from quire.plans.pipeline import Pipeline
-from quire.session import configure, fresh_path
+from quire.session import configure, fresh_path, hadoop_path
 from quire.sinks.findings import write_findings_documents, write_findings_sarif
 from quire.sinks.tabular import export_result
 from quire.sources.tabular import CsvSource
-from quire.sources.workbooks import ingest, parse_workbooks
+from quire.sources.workbooks import parse_workbooks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-_STORES: dict[tuple[str, str, str], str] = {}
+_STORES: dict[tuple, str] = {}
+# Workbooks whose findings share a document, in exports of whole estates.
+WORKBOOKS_PER_DOCUMENT = 1000
 
 
 def query(function: Query) -> Query:
@@ -47,11 +49,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _stored(spark: SparkSession, sf_dir: str, label: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Rows written to the shared folder on first use, read from there ever after."""
-    key = (spark.sparkContext.applicationId, sf_dir, label)
+    """Rows written to the shared folder on first use, read from there until a table in the folder changes.
+
+    The files go when the driver's JVM ends.
+    """
+    place, files = hadoop_path(spark, sf_dir)
+    state = tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files.listStatus(place)))
+    key = (spark.sparkContext.applicationId, sf_dir, label, state)
     if key not in _STORES:
         path = fresh_path(spark, label)
         build().write.parquet(path)
+        handle, files = hadoop_path(spark, path)
+        files.deleteOnExit(handle)
         _STORES[key] = path
     return spark.read.parquet(_STORES[key])
 
@@ -70,6 +79,13 @@ def estate(spark: SparkSession, sf_dir: str, variant: str = "a") -> DataFrame:
         lambda: parse_workbooks(sample_estate.files(documents(spark, sf_dir, variant))))
 
 
+def part_books(spark: SparkSession, sf_dir: str, later: bool = False) -> DataFrame:
+    """Ingested rows of one workbook per part, in one of two snapshots."""
+    return _stored(
+        spark, sf_dir, f"parts-{'b' if later else 'a'}",
+        lambda: parse_workbooks(sample_estate.files(sample_parts.documents(spark, sf_dir, later))))
+
+
 # ---- inventory ----------------------------------------------------------------
 @query
 def inv_embedded_credentials(spark, sf_dir):
@@ -91,6 +107,12 @@ def inv_references_datasource(spark, sf_dir):
     return inventory.references_table(estate(spark, sf_dir), "Federated.S1")
 
 
+@query
+def inv_references_unconnected(spark, sf_dir):
+    """Data sources found by name, most of them without any connection."""
+    return inventory.references_table(part_books(spark, sf_dir, later=True), "BARE")
+
+
 @query
 def inv_user_identity_fields(spark, sf_dir):
     return inventory.user_identity_fields(estate(spark, sf_dir))
@@ -166,6 +188,11 @@ def table_zones(spark, sf_dir):
     return tables.zones(estate(spark, sf_dir))
 
 
+@query
+def table_nested_zones(spark, sf_dir):
+    return tables.zones(part_books(spark, sf_dir))
+
+
 # ---- scan -----------------------------------------------------------------------
 @query
 def scan_summary(spark, sf_dir):
@@ -206,6 +233,16 @@ def zip_ingest(spark, sf_dir):
         F.count("*").alias("files"), F.sum(tables.size_of("fields")).alias("fields"))
 
 
+@query
+def zip_ingest_files(spark, sf_dir):
+    """What became of each package."""
+    packed = sample_estate.packaged(documents(spark, sf_dir))
+    said = F.regexp_extract(F.coalesce("error.message", F.lit("")), "(holds .*)$", 1)
+    return parse_workbooks(packed).select(
+        "path", said.alias("said"), tables.size_of("datasources").cast("long").alias("sources"),
+        tables.size_of("fields").cast("long").alias("fields"))
+
+
 # ---- audit ----------------------------------------------------------------------
 _FLAT = ["rule_id", "severity", "title", "message", "workbook_path", "location", "remediation"]
 
@@ -233,6 +270,18 @@ def audit_all(spark, sf_dir):
     return _flat(default_registry().run(estate(spark, sf_dir)))
 
 
+@query
+def audit_wordings(spark, sf_dir):
+    """Formulas, captions and files in every wording the rules tell apart."""
+    return _flat(default_registry().run(part_books(spark, sf_dir), only=["AUD003", "GOV003", "GOV004", "GOV005"]))
+
+
+@query
+def audit_gravest(spark, sf_dir):
+    """The head of the report: gravest findings first."""
+    return _flat(reports.ordered(default_registry().run(estate(spark, sf_dir))).limit(50))
+
+
 @query
 def audit_findings_by_workbook(spark, sf_dir):
     return reports.by_workbook(default_registry().run(estate(spark, sf_dir)))
@@ -291,12 +340,29 @@ def diff_keyed_table(spark, sf_dir):
     return found.withColumn("changed_cols", F.array_join("changed_cols", ","))
 
 
+@query
+def diff_every_kind(spark, sf_dir):
+    changes = diff.diff_workbooks(part_books(spark, sf_dir), part_books(spark, sf_dir, later=True))
+    return changes.select(
+        "a_path", "kind", "category", "identifier", F.coalesce("detail", F.lit("")).alias("detail"))
+
+
+@query
+def diff_every_kind_summary(spark, sf_dir):
+    a, b = part_books(spark, sf_dir), part_books(spark, sf_dir, later=True)
+    return diff.diff_summary(diff.workbook_pairs(a, b), diff.diff_workbooks(a, b)).drop("b_path")
+
+
 @query
 def diff_duplicate_names(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    later = sample_estate.with_repeated_source(documents(spark, sf_dir, "b"))
-    a, b = (ingest(sample_estate.files(rows)) for rows in (docs, later))
-    return diff.diff_workbooks(a, b).groupBy("kind", "category").agg(F.count("*").alias("n"))
+    """The later snapshot with repeated names in some workbooks: errors for these, changes of all others."""
+    repeated = F.regexp_extract("path", r"^estate/(\d+)", 1).cast("long") % 10 == 0
+    docs = documents(spark, sf_dir, "b").filter(F.col("o") % 10 == 0)
+    twins = _stored(spark, sf_dir, "estate-twins", lambda: parse_workbooks(
+        sample_estate.files(sample_estate.with_repeated_source(docs))))
+    later = estate(spark, sf_dir, "b").filter(~repeated).unionByName(twins)
+    return diff.diff_workbooks(estate(spark, sf_dir), later).select(
+        "a_path", "kind", "category", "identifier", F.coalesce("detail", F.lit("")).alias("detail"))
 
 
 # ---- canonical forms --------------------------------------------------------------
@@ -341,6 +407,13 @@ def conformance(spark, sf_dir):
     return normalize.conformance_summary(normalize.conformance(sample_estate.files(docs), xsd))
 
 
+@query
+def conformance_documents(spark, sf_dir):
+    docs = sample_estate.with_broken(documents(spark, sf_dir))
+    xsd = sample_estate.schema_file(spark)
+    return normalize.conformance(sample_estate.files(docs), xsd)
+
+
 @query
 def dup_text_documents(spark, sf_dir):
     digest = F.sha2(normalize_formula(F.col("text")), 256)
@@ -366,18 +439,22 @@ def _named(properties: str):
     return F.array_join(F.array_sort(pairs), ",").alias("properties")
 
 
+def _documents_for(rows: DataFrame) -> int:
+    return -(-rows.count() // WORKBOOKS_PER_DOCUMENT)
+
+
 @query
 def export_json(spark, sf_dir):
-    folder = fresh_path(spark, "json")
-    write_findings_documents(default_registry().run(estate(spark, sf_dir)), folder)
+    folder, rows = fresh_path(spark, "json"), estate(spark, sf_dir)
+    write_findings_documents(default_registry().run(rows), folder, documents=_documents_for(rows))
     found = _lines(spark, folder, '{"rule_id"', ", ".join(f"{c} string" for c in _FLAT) + ", properties map<string,string>")
     return found.select(*[f"j.{c}" for c in _FLAT], _named("j.properties"))
 
 
 @query
 def export_sarif(spark, sf_dir):
-    folder, registry = fresh_path(spark, "sarif"), default_registry()
-    write_findings_sarif(registry.run(estate(spark, sf_dir)), folder, registry.rules)
+    folder, registry, rows = fresh_path(spark, "sarif"), default_registry(), estate(spark, sf_dir)
+    write_findings_sarif(registry.run(rows), folder, registry.rules, documents=_documents_for(rows))
     results = _lines(spark, folder, '{"ruleId"', (
         "ruleId string, level string, message struct<text:string,markdown:string>, properties map<string,string>, "
         "locations array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>>,"

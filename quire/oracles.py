@@ -73,6 +73,12 @@ SELECT DISTINCT path, name AS datasource, server, dbname, 'datasource' AS matche
 FROM ds WHERE contains(lower(name), 'federated.s1')
 """)
 
+ORACLES["inv_references_unconnected"] = """
+SELECT 'parts/' || p_partkey || '.twb' AS path, 'bare' AS datasource,
+  CAST(NULL AS VARCHAR) AS server, CAST(NULL AS VARCHAR) AS dbname, 'datasource' AS matched_via
+FROM part WHERE p_partkey % 17 <> 7
+"""
+
 ORACLES["inv_user_identity_fields"] = _on_estate("""
 SELECT DISTINCT path, 'federated.s' || s AS datasource, name AS field
 FROM calc WHERE contains(formula, 'USERNAME()')
@@ -208,6 +214,14 @@ SELECT path, 0, '1/' || row_number() OVER (PARTITION BY path ORDER BY s), 1, CAS
 FROM ds WHERE s % 2 = 0 AND o % 3 <> 0
 """)
 
+ORACLES["table_nested_zones"] = """
+SELECT 'parts/' || p_partkey || '.twb' AS path, 0 AS dash_pos, z.*
+FROM part, (VALUES
+  ('1', 0, '1', 'layout-flow', NULL, NULL), ('1/1', 1, '2', 'layout-basic', NULL, NULL),
+  ('1/1/1', 2, '3', 'worksheet', 'w1', 'w1'), ('1/2', 1, '4', 'worksheet', 'w2', 'w2'), ('2', 0, '5', 'text', NULL, NULL)
+) z(zone_path, depth, id, zone_type, name, worksheet_ref)
+"""
+
 ORACLES["scan_summary"] = _on_estate("""
 SELECT count(*) AS scanned, count(*) FILTER (o % 50 <> 0) AS indexed, count(*) FILTER (o % 50 = 0) AS skipped FROM wb
 """)
@@ -237,6 +251,16 @@ FROM wb JOIN (SELECT path, count(*) + count(*) FILTER (p % 4 = 0) AS n FROM doc_
 GROUP BY 1
 """)
 
+ORACLES["zip_ingest_files"] = _on_estate("""
+SELECT path || 'x' AS path,
+  CASE WHEN o % 41 = 0 THEN 'holds no workbook document'
+       WHEN o % 40 = 0 THEN 'holds several workbook documents: book.twb, copy.TWB' ELSE '' END AS said,
+  CASE WHEN o % 41 = 0 OR o % 40 = 0 THEN 0 ELSE sources END AS sources,
+  CASE WHEN o % 41 = 0 OR o % 40 = 0 THEN 0 ELSE fields END AS fields
+FROM wb JOIN (SELECT path, count(DISTINCT s) AS sources, count(*) + count(*) FILTER (p % 4 = 0) AS fields
+              FROM doc_rows GROUP BY path) USING (path)
+""")
+
 # ---- audit ----------------------------------------------------------------------
 _FIELD = "'datasource:federated.s' || s || '/field:' || name"
 _CONN = "'datasource:' || name || '/connection:sqlserver'"
@@ -300,6 +324,35 @@ _COUNTS = """count(*) FILTER (severity = 'error') AS error_count, count(*) FILTE
   count(*) FILTER (severity = 'info') AS info_count, count(*) AS total_count"""
 
 ORACLES["audit_all"] = _on_estate("SELECT * FROM findings", _FINDINGS)
+# By remainders of the part's key, as the workbooks of parts are rendered.
+ORACLES["audit_wordings"] = """
+WITH books AS (SELECT p_partkey AS k, 'parts/' || p_partkey || '.twb' AS path FROM part),
+labels AS (SELECT * FROM (VALUES (0, 'ssn'), (1, 'dob'), (2, 'email'), (3, 'phone'), (4, 'address'), (5, 'credit_card'),
+  (6, 'medical'), (7, 'personal_name'), (8, 'ip_address'), (9, 'phone')) t(m, label)),
+files AS (SELECT * FROM (VALUES (0, 'C:\\Users\\u\\x.csv'), (1, 'd:\\USERS\\u\\y.csv'), (2, '/home/u/z.csv'),
+  (3, '/Users/u/z.csv')) t(m, filename))
+SELECT 'AUD003' AS rule_id, 'warn' AS severity, 'Deprecated function' AS title,
+  'Formula of ''[calc]'' on ''main'' calls ATTR(), which is deprecated.' AS message, path AS workbook_path,
+  'datasource:main/field:[calc]' AS location, 'Use MIN or MAX where one value per partition is meant.' AS remediation,
+  'function=ATTR' AS properties
+FROM books WHERE k % 9 = 7
+UNION ALL SELECT 'GOV003', 'warn', 'Personal data in field name',
+  'The name of field ''[id]'' on ''main'' reads like personal data (' || label || ').', path,
+  'datasource:main/field:[id]', 'Check that it may be published, or take it out.', 'pattern=' || label
+FROM books JOIN labels ON m = k % 13
+UNION ALL SELECT 'GOV004', 'warn', 'Access control in a formula',
+  'Formula of ''[calc]'' on ''main'' decides by who is looking.', path, 'datasource:main/field:[calc]',
+  'Filter rows in the data source; a formula in the workbook can be bypassed.', ''
+FROM books WHERE k % 9 < 5
+UNION ALL SELECT 'GOV005', 'warn', 'File in a user profile',
+  'Data source ''main'' reads ''' || filename || ''' from a user''s own folder.', path,
+  'datasource:main/connection:sqlserver', 'Move the file to a shared place, or use an extract.', 'path=' || filename
+FROM books JOIN files ON m = k % 6
+"""
+ORACLES["audit_gravest"] = _on_estate("""
+SELECT * FROM findings
+ORDER BY CASE severity WHEN 'error' THEN 2 WHEN 'warn' THEN 1 ELSE 0 END DESC, rule_id, workbook_path, location LIMIT 50
+""", _FINDINGS)
 ORACLES["audit_findings_by_workbook"] = _on_estate(
     f"SELECT workbook_path, {_COUNTS} FROM findings GROUP BY workbook_path", _FINDINGS)
 ORACLES["audit_severity_counts"] = _on_estate(f"SELECT {_COUNTS} FROM findings", _FINDINGS)
@@ -360,11 +413,50 @@ FROM orders FULL JOIN later ON o_orderkey = k
 WHERE k IS NULL OR o_orderkey IS NULL OR o_orderstatus IS DISTINCT FROM st OR o_totalprice IS DISTINCT FROM tp
 """
 
+_PART_CHANGES = """
+books AS (SELECT 'parts/' || p_partkey || '.twb' AS path, p_partkey % 17 AS m,
+  CASE p_partkey % 6 WHEN 0 THEN 'C:\\Users\\u\\x.csv' WHEN 1 THEN 'd:\\USERS\\u\\y.csv' WHEN 2 THEN '/home/u/z.csv'
+    WHEN 3 THEN '/Users/u/z.csv' WHEN 4 THEN '/var/home/u/z.csv' ELSE 'C:\\Data\\Users\\q.csv' END AS filename FROM part),
+-- One change per remainder; 0, 1 (version) and 5 (user name) change nothing that counts.
+kinds AS (SELECT * FROM (VALUES
+  (2, 'removed', 'connection', 'main::sqlserver|old.internal.example.com|d|', ''),
+  (2, 'added', 'connection', 'main::sqlserver|new.internal.example.com|d|', ''),
+  (3, 'added', 'connection', 'bare::excel-direct|||', ''),
+  (4, 'removed', 'connection', 'main::sqlserver|old.internal.example.com|d|', ''),
+  (6, 'added', 'datasource', 'extra', ''),
+  (7, 'removed', 'datasource', 'bare', ''),
+  (8, 'added', 'field', 'bare/[more]', ''),
+  (9, 'removed', 'field', 'bare/[x]', ''),
+  (10, 'modified', 'field', 'main/[id]', 'role ''dimension''→''measure'''),
+  (11, 'modified', 'field', 'main/[calc]', 'datatype ''real''→''string''; role ''measure''→''dimension''; calculation removed'),
+  (12, 'modified', 'field', 'bare/[x]', 'calculation added'),
+  (13, 'modified', 'field', 'main/[id]', 'fields differ'),
+  (14, 'removed', 'dashboard', 'Main', ''),
+  (14, 'added', 'dashboard', 'Next', ''),
+  (15, 'removed', 'worksheet', 'w2', ''),
+  (15, 'modified', 'dashboard', 'Main', 'worksheet set changed: [w1, w2] → [w1]'),
+  (16, 'modified', 'field', 'main/[id]', 'role ''dimension''→''''')
+) t(m, kind, category, identifier, detail)),
+changes AS (SELECT path AS a_path, kind, category,
+  identifier || CASE WHEN starts_with(identifier, 'main::') THEN filename ELSE '' END AS identifier, detail
+  FROM books JOIN kinds USING (m))
+"""
+
+ORACLES["diff_every_kind"] = f"WITH {_PART_CHANGES} SELECT * FROM changes"
+
+ORACLES["diff_every_kind_summary"] = f"""
+WITH {_PART_CHANGES}
+SELECT path AS a_path, CASE WHEN count(kind) = 0 THEN 'no semantic differences' ELSE concat_ws(', ',
+    CASE WHEN count(*) FILTER (kind = 'added') > 0 THEN count(*) FILTER (kind = 'added') || ' added' END,
+    CASE WHEN count(*) FILTER (kind = 'removed') > 0 THEN count(*) FILTER (kind = 'removed') || ' removed' END,
+    CASE WHEN count(*) FILTER (kind = 'modified') > 0 THEN count(*) FILTER (kind = 'modified') || ' modified' END)
+  END AS summary
+FROM books LEFT JOIN changes ON a_path = path GROUP BY path
+"""
+
 ORACLES["diff_duplicate_names"] = _on_estate("""
-SELECT kind, category, count(*) AS n FROM (
-  SELECT kind, category FROM changes JOIN wb ON path = a_path WHERE o % 10 <> 0
-  UNION ALL SELECT 'error', 'datasource' FROM wb WHERE o % 10 = 0)
-GROUP BY 1, 2
+SELECT changes.* FROM changes JOIN wb ON path = a_path WHERE o % 10 <> 0
+UNION ALL SELECT path, 'error', 'datasource', 'twin', 'name is not unique' FROM wb WHERE o % 10 = 0
 """, _CHANGES)
 
 # ---- canonical forms --------------------------------------------------------------
@@ -413,6 +505,11 @@ SELECT count(*) AS documents, count(*) FILTER (version IS NOT NULL AND o % 50 <>
 FROM wb
 """)
 
+ORACLES["conformance_documents"] = _on_estate("""
+SELECT path, version IS NOT NULL AND o % 50 <> 0 AS is_valid, CASE WHEN version IS NOT NULL AND o % 50 <> 0 THEN 0 ELSE 1 END AS error_count
+FROM wb
+""")
+
 ORACLES["dup_text_documents"] = """
 SELECT min(doc_id) AS first_doc_id, count(*) AS copies FROM documents
 GROUP BY sha256(lower(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')))

@@ -107,3 +107,23 @@ def test_artifact_uri(spark, path, uri):
 def test_slug(spark):
     row = spark.createDataFrame([("AUD001", "unused work-sheet (x)")], "i string, t string")
     assert row.select(rule_slug(F.col("i"), F.col("t"))).first()[0] == "AUD001UnusedWorkSheetX"
+
+
+def test_few_documents_share_all_workbooks(spark, ingest, tmp_path):
+    """Dealt to a number of documents: every finding once, a workbook in one document only, rules declared once each."""
+    bad = workbook(source("s", column("[email]"), connection='<connection class="c" password="x"/>'), version="9.0")
+    registry = default_registry()
+    found = registry.run(ingest({f"d/{i}.twb": bad for i in range(20)})).cache()
+    write_findings_documents(found, str(tmp_path / "j"), documents=3)
+    parts = [json.loads(t)["findings"] for t in documents_in(tmp_path / "j")]
+    paths = [{f["workbook_path"] for f in p} for p in parts]
+    assert 1 < len(parts) <= 3 and sum(map(len, parts)) == found.count() and sum(map(len, paths)) == 20
+    write_findings_sarif(found, str(tmp_path / "s"), registry.rules[:1], documents=3)
+    logs = [json.loads(t)["runs"][0] for t in documents_in(tmp_path / "s")]
+    for run in logs:
+        declared = [r["id"] for r in run["tool"]["driver"]["rules"]]
+        assert len(declared) == len(set(declared)) and {r["ruleId"] for r in run["results"]} <= set(declared)
+    assert sum(len(run["results"]) for run in logs) == found.count()
+    # No workbooks at all still make a valid call.
+    write_findings_documents(found.limit(0), str(tmp_path / "none"), documents=0)
+    assert documents_in(tmp_path / "none") == []
