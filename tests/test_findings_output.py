@@ -1,5 +1,6 @@
 import json
 
+import pyarrow as pa
 import pytest
 from conftest import CLEAN, column, source, workbook
 from pyspark.sql import functions as F
@@ -50,15 +51,20 @@ def test_documents_are_streams_of_their_rows(spark, tmp_path):
     assert documents_in(tmp_path / "none") == []
 
 
+def batches(*rows):
+    """Each row in a batch of its own."""
+    return iter([pa.RecordBatch.from_pylist([dict(zip(("key", "part", "text"), row))]) for row in rows])
+
+
 def test_only_committed_attempts_stay(tmp_path):
     options = {"path": str(tmp_path / "d"), "extension": "json", "head": "[\n", "middle": "", "tail": "]"}
     writer = _DocumentWriter(options)
-    first, again = writer.write(iter([("k", 1, "1")])), writer.write(iter([("k", 1, "1"), ("l", 1, "2")]))
+    first, again = writer.write(batches(("k", 1, "1"))), writer.write(batches(("k", 1, "1"), ("l", 1, "2")))
     writer.commit([again, _Written(None), None])
     assert [p.name for p in (tmp_path / "d").iterdir() if p.is_dir()] == [again.folder] and first.folder != again.folder
     assert sorted(documents_in(tmp_path / "d")) == ["[\n1]", "[\n2]"]
     other = _DocumentWriter(options)
-    other.write(iter([("k", 1, "3")]))
+    other.write(batches(("k", 1, "3")))
     other.abort([])
     assert sorted(documents_in(tmp_path / "d")) == ["[\n1]", "[\n2]"]
 
