@@ -66,3 +66,33 @@ def test_a_batch_replaces_stored_rows_in_one_exchange(spark):
     assert plan_of(found).count("Exchange") == 1
     assert {(r.k, r.v) for r in found.collect()} == {
         (None, 5), (None, 6), (None, 8), ("a", 4), ("b", 2), ("c", 0), ("d", 1)} and found.count() == 7
+
+
+def test_documents_exchange_no_text_for_suppliers(spark, tmp_path):
+    tables = {
+        "region": ([(0, "ASIA")], "r_regionkey int, r_name string"),
+        "nation": ([(0, "N0", 0)], "n_nationkey int, n_name string, n_regionkey int"),
+        # One key comes twice with two names: a data source for each of them.
+        "supplier": ([(1, "A", 0, 0.0), (1, "B", 0, 0.0), (2, "C", 0, 0.0)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double"),
+        "part": ([(3, "bolt"), (4, "gear")], "p_partkey long, p_name string"),
+        "orders": ([(5, "F", "1-URGENT")], "o_orderkey long, o_orderstatus string, o_orderpriority string"),
+        "lineitem": ([(5, 3, 1, "R"), (5, 3, 1, "N"), (5, 4, 2, None), (5, 4, 9, "N")],
+                     "l_orderkey long, l_partkey long, l_suppkey long, l_returnflag string"),
+    }
+    for name, (rows, kind) in tables.items():
+        spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / f"{name}.parquet"))
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    found = {}
+    for most in ("10m", "-1"):
+        spark.conf.set(threshold, most)
+        try:
+            docs = catalogue.documents(spark, str(tmp_path))
+            found[most] = [tuple(r) for r in docs.collect()]
+            # What is above the last exchange makes the texts of columns and of sources.
+            above = plan_of(docs).split("Exchange")[0]
+            assert "collect_list(struct(p, " in above and "collect_list(struct(s, " in above
+        finally:
+            spark.conf.unset(threshold)
+    [(order, path, xml)] = found["-1"]
+    assert found["10m"] == found["-1"] and (order, path) == (5, "estate/5-0.twb")
+    assert [xml.count(f'caption="{n}"') for n in "ABC"] == [1, 1, 1] and xml.count('name="[p3]"') == 2 and xml.count("password") == 2
