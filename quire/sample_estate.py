@@ -268,7 +268,7 @@ def packaged(docs: DataFrame) -> DataFrame:
             contents = []
             for o, xml in zip(frame["o"], frame["xml"]):
                 buffer = io.BytesIO()
-                with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+                with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as archive:
                     archive.writestr("data/extract.txt", "x")
                     if o % 41 != 0:
                         archive.writestr("book.twb", xml)
