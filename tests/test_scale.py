@@ -96,3 +96,19 @@ def test_documents_exchange_no_text_for_suppliers(spark, tmp_path):
     [(order, path, xml)] = found["-1"]
     assert found["10m"] == found["-1"] and (order, path) == (5, "estate/5-0.twb")
     assert [xml.count(f'caption="{n}"') for n in "ABC"] == [1, 1, 1] and xml.count('name="[p3]"') == 2 and xml.count("password") == 2
+
+
+def test_rules_read_their_columns_only_and_build_no_rows_of_other_kinds(spark, ingest, tmp_path):
+    body = column("[email]") + column("[c]", "ATTR([email]) + [gone]") + column("[d]", "1 + 1") + column("[e]", " 1  +  1 ")
+    books = {"a.twb": workbook(source("s", body, connection='<connection class="c" server="x.org" password="p"/>'), version="9.0"),
+             "b.twb": workbook(), "c.twb": workbook(source("t", connection="") + source("t"))}
+    ingest(books).write.parquet(str(tmp_path / "estate"))
+    found = default_registry().run(spark.read.parquet(str(tmp_path / "estate")))
+    scan = found._jdf.queryExecution().executedPlan().toString().split("ReadSchema: ")[1]
+    assert "calc_formula" in scan and not any(name in scan for name in ("attrs", "username", "hidden", "zones"))
+    # A workbook without a kind, or with fewer of one, shifts no column of another.
+    assert sorted((r.workbook_path, r.rule_id, r.location) for r in found.collect()) == [
+        ("a.twb", "AUD002", "datasource:s"), ("a.twb", "AUD003", "datasource:s/field:[c]"), ("a.twb", "AUD004", "s/[d]"),
+        ("a.twb", "AUD005", "datasource:s/field:[c]"), ("a.twb", "AUD006", "workbook"),
+        ("a.twb", "GOV001", "datasource:s/connection:c"), ("a.twb", "GOV002", "datasource:s/connection:c"),
+        ("a.twb", "GOV003", "datasource:s/field:[email]"), ("c.twb", "AUD002", "datasource:t"), ("c.twb", "AUD002", "datasource:t")]
