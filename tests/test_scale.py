@@ -7,9 +7,11 @@ from conftest import CLEAN, column, source, workbook
 from pyspark.sql import functions as F
 
 from quire import catalogue, sample_parts
+from quire.functions import text
 from quire.operators.upsert import replace_by_newest
 from quire.plans import diff
 from quire.plans.audit import default_registry
+from quire.sinks import documents
 from quire.sinks.findings import write_findings_documents, write_findings_sarif
 
 BASE = "/root/testdata/sf0.001"
@@ -112,3 +114,47 @@ def test_rules_read_their_columns_only_and_build_no_rows_of_other_kinds(spark, i
         ("a.twb", "AUD005", "datasource:s/field:[c]"), ("a.twb", "AUD006", "workbook"),
         ("a.twb", "GOV001", "datasource:s/connection:c"), ("a.twb", "GOV002", "datasource:s/connection:c"),
         ("a.twb", "GOV003", "datasource:s/field:[email]"), ("c.twb", "AUD002", "datasource:t"), ("c.twb", "AUD002", "datasource:t")]
+
+
+def test_names_in_plain_ascii_need_no_unicode(spark):
+    """Whatever the way a term is looked for, letters of any case and borders of any kind count as before."""
+    names = ["[E-Mail]", "[email_address]", "EMAILED", "Zip\tCode", "Zip\vCode", "a.ssn", "a1ssn", "éssn", "é ssn", "ſSN", "é ſsn",
+             "K ZIP CODE", "", None, "x_dob_y", "İp address", "FIRST-Name", "first name", "mrń", "mrn'"]
+    rows = spark.createDataFrame([(n,) for n in names], "name string")
+    words = text.field_words(F.col("name"), F.lit(None).cast("string"))
+    before = F.coalesce(*[F.when(words.rlike(text.pii_pattern(label)), label) for label in text.PII_TERMS])
+    found = rows.select("name", text.pii_label(F.col("name"), F.lit(None).cast("string")).alias("now"), before.alias("before"))
+    assert [r.name for r in found.collect() if r.now != r.before] == []
+    assert {r.now for r in found.collect()} >= {"email", "address", "ssn", "dob", "personal_name", None}
+    assert "octet_length" in plan_of(found)
+
+
+def test_compressed_documents_are_written_in_pieces(spark, tmp_path, monkeypatch):
+    system, path = documents.fs.LocalFileSystem(), str(tmp_path / "d.gz")
+    texts = [f"é{i}\n" for i in range(30_000)]
+    out = documents._Document(system, path, "gzip")
+    for piece in texts:
+        out.add(piece)
+        assert len(out.waiting) <= documents._PIECE
+    out.close()
+    whole = (tmp_path / "d.gz").read_bytes()
+    assert gzip.decompress(whole).decode() == "".join(texts)
+    # The fourth flag of the header says that it was not packed the slowest way.
+    assert whole[8] != 2
+
+
+def test_an_estate_that_is_read_once_is_not_stored(spark, tmp_path):
+    for name, kind in (("lineitem", "l_orderkey long, l_partkey long, l_suppkey long, l_returnflag string"), ("part", "p_partkey long, p_name string"),
+                       ("orders", "o_orderkey long, o_orderstatus string, o_orderpriority string"), ("nation", "n_nationkey int, n_name string, n_regionkey int"),
+                       ("supplier", "s_suppkey long, s_name string, s_nationkey int"), ("region", "r_regionkey int, r_name string")):
+        values = {"lineitem": [(5, 3, 1, "R")], "part": [(3, "bolt")], "orders": [(5, "F", "1-URGENT")], "nation": [(0, "N", 0)],
+                  "supplier": [(1, "A", 0)], "region": [(0, "ASIA")]}[name]
+        spark.createDataFrame(values, kind).write.parquet(str(tmp_path / f"{name}.parquet"))
+    place = str(tmp_path)
+    told = lambda rows: [str(r) for r in rows.drop("scanned_at").collect()]
+    found = catalogue.QUERIES["audit_all"](spark, place).count()
+    listed = catalogue.QUERIES["inv_upsert_then_list"](spark, place).count()
+    assert found and listed == 1 and not [key for key in catalogue._STORES if key[1] == place and key[2].startswith("estate")]
+    once = told(catalogue.estate_read_once(spark, place))
+    assert once == told(catalogue.estate(spark, place)) == told(catalogue.estate_read_once(spark, place))
+    assert "MapInArrow" not in plan_of(catalogue.estate_read_once(spark, place))
